@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import bpe, mixing, quality, simhash
 
 QUERIES = {
     "op2_simhash_anchors": simhash.query,
+    "op4_mixing_flow": mixing.query,
     "op8_quality_trees": quality.query,
+    "op10_bpe_words": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
