@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, edits, html_text, media, mixing, quality, simhash, urls, warc
 
 QUERIES = {
+    "op1_edit_token_counts": edits.query,
     "op2_simhash_anchors": simhash.query,
     "op4_mixing_flow": mixing.query,
+    "op5_url_trees": urls.query,
+    "op6_warc_index": warc.query,
+    "op7_media_boxes": media.query,
     "op8_quality_trees": quality.query,
+    "op9_html_blocks": html_text.query,
     "op10_bpe_words": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_warc_index": warc.SQL}
