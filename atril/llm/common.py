@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import itertools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -73,11 +74,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 def pack(array: np.ndarray) -> bytes:
     """Compress integers: bytes of equal weight lie together, which lets zstd drop the unused high ones."""
+    if not len(array):
+        return b""
     planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, dtype)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
@@ -121,5 +126,8 @@ def words_of(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    return zip(itertools.count(), batches, strict=False)
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once their plans are garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)

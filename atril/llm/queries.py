@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, edits, html_text, media, mixing, quality, simhash, urls, warc
+from . import bpe, edits, html_text, katz, media, mixing, quality, simhash, urls, warc
 
 QUERIES = {
     "op1_edit_token_counts": edits.query,
     "op2_simhash_anchors": simhash.query,
+    "op3_katz_backoff": katz.query,
     "op4_mixing_flow": mixing.query,
     "op5_url_trees": urls.query,
     "op6_warc_index": warc.query,
