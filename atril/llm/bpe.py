@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Index, as_bytes, chunked, dealt, pack, unpack
+from .common import Index, chunked, dealt, pack, unpack
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 _REGULAR = re.compile(r"(?<=\S) (?=\S)")
@@ -101,8 +101,12 @@ def _named(chunks: Iterator[list[tuple]], ways: int) -> Iterator[tuple]:
         yield f"{task}-{k}-{digest}", chunk, *rest
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids array<int>) of every row of ``docs`` (doc_id, text)."""
+def encode(docs: DataFrame, path: str = VOCABULARY, then: tuple | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) of every row of ``docs`` (doc_id, text).
+
+    then: (function of a pyarrow table doc_id, ids; schema of its result), to be applied in the worker that joined the
+    ids, so that a task has one Python worker.
+    """
     ways = dealt(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -154,11 +158,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             bounds = ends[np.concatenate([[0], np.cumsum(r["sizes"])]).astype(np.int64)]
             out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), got.flatten()))
             out_ids.append(pa.array(r["doc_ids"], batches_type[0]))
-        return pa.table({"doc_id": pa.chunked_array(out_ids, batches_type[0]), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
+        table = pa.table({"doc_id": pa.chunked_array(out_ids, batches_type[0]), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
+        return then[0](table) if then else table
 
     replies = rows.mapInArrow(words, "way int, chunk string, words binary, n int").groupBy("way").applyInPandas(encoded, "chunk string, way int, sizes binary, ids binary")
     texts = rows.mapInArrow(places, f"chunk string, doc_ids array<{id_type}>, sizes array<int>, positions binary")
-    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(joined, f"doc_id {id_type}, ids array<int>")
+    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(joined, then[1].format(id_type) if then else f"doc_id {id_type}, ids array<int>")
 
 
 def decode_ids(ids: pa.Array, path: str = VOCABULARY) -> list[bytes]:
@@ -185,24 +190,27 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of ids and decoded text."""
+def digests(path: str = VOCABULARY) -> tuple:
+    """For ``encode``: n_tokens, SHA-256 of the ids (little-endian) and of the text decoded from them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(1)
-            flat = ids.flatten().to_numpy().astype("<u4")
-            ends = np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False).cumsum()]).astype(np.int64)
-            sums = [hashlib.sha256(flat[a:z].tobytes()).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)]
-            texts = [hashlib.sha256(t).hexdigest() for t in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends)), pa.array(sums, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def made(table: pa.Table) -> pa.Table:
+        sums, texts, sizes = [], [], []
+        for ids in table["ids"].chunks:
+            for at in range(0, len(ids), 256):
+                part = ids.slice(at, 256)
+                flat = part.flatten().to_numpy().astype("<u4")
+                n = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.concatenate([[0], n.cumsum()])
+                sizes.append(n)
+                sums += [hashlib.sha256(flat[a:z].tobytes()).hexdigest() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+                texts += [hashlib.sha256(t.decode(errors="replace").encode()).hexdigest() for t in decode_ids(part, path)]
+        return pa.table({"doc_id": table["doc_id"], "n_tokens": np.concatenate(sizes) if sizes else np.zeros(0, np.int64), "ids_sha256": pa.array(sums, pa.string()), "decoded_sha256": pa.array(texts, pa.string())})
 
-    rows = encoded.select("doc_id", "ids", "decoded")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return made, "doc_id {}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def run(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    return digests(decode(encode(docs, path), path))
+    return encode(docs, path, digests(path))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
