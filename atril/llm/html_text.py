@@ -121,8 +121,6 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         elif tag == "p" or tag == "li":
             if stack and stack[-1][0] == tag:
                 stack.pop()
-        if attributes.endswith("/"):
-            continue
         link += tag == "a"
         skipped += tag in SKIPPED
         stack.append((tag, _tells(tag, attributes)))
