@@ -34,10 +34,10 @@ def hyps(spark: SparkSession, sf_dir: str, q: int) -> DataFrame:
 
 #: The same in DuckDB: clips, lines(q, ...), best(q, clip_id, hyp, secs, error), pairs(q, ...).
 SQL = r"""
-clips AS (SELECT *, CASE WHEN clip_id % 4 = 0 THEN [] ELSE list_filter(list_concat([ref[3], ref[7] || ' ' || ref[8]], CASE WHEN clip_id % 5 = 0 THEN ['zzz absent'] ELSE [] END), t -> t IS NOT NULL) END AS terms
+clips AS (SELECT *, CASE WHEN clip_id % 4 = 0 THEN [] ELSE list_filter(list_concat([ref[3], ref[7] || ' ' || ref[8]], CASE WHEN clip_id % 5 = 0 THEN ['zzz absent'] ELSE [] END), lambda t: t IS NOT NULL) END AS terms
   FROM (SELECT doc_id AS clip_id, source AS block, CASE WHEN doc_id % 2 = 0 THEN 'clean' ELSE 'degraded' END AS condition, n_chars / 15.0::DOUBLE AS duration_s,
-    list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), t -> t <> '')[1:24] AS ref FROM documents)),
-made AS (SELECT q, clip_id, duration_s, ref, flatten(list_transform(ref, (t, p) -> CASE (clip_id * 31 + p * 7 * q + q) % 23 WHEN 0 THEN [] WHEN 1 THEN [reverse(t) || 'x'] WHEN 2 THEN [t, t] ELSE [t] END)) AS kept
+    list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f]+'), lambda t: t <> '')[1:24] AS ref FROM documents)),
+made AS (SELECT q, clip_id, duration_s, ref, flatten(list_transform(ref, lambda t, p: CASE (clip_id * 31 + p * 7 * q + q) % 23 WHEN 0 THEN [] WHEN 1 THEN [reverse(t) || 'x'] WHEN 2 THEN [t, t] ELSE [t] END)) AS kept
   FROM clips, (VALUES (1), (2)) AS s(q) WHERE clip_id % 29 <> 3),
 lines AS (
   SELECT q, clip_id, clip_id * 3 + 1 AS line_no, CASE WHEN clip_id % 31 = 4 OR clip_id % 37 = 5 THEN '' ELSE array_to_string(CASE WHEN clip_id % 41 = 6 AND len(ref) > 0 THEN list_concat(kept, [ref[-1], ref[-1], ref[-1], ref[-1], ref[-1]]) ELSE kept END, ' ') END AS hyp,
@@ -46,21 +46,21 @@ lines AS (
   UNION ALL SELECT q, clip_id, clip_id * 3 + 2, '', NULL, 'late' FROM made WHERE clip_id % 11 = 0),
 best AS (SELECT q, clip_id, CASE WHEN error IS NULL THEN hyp ELSE '' END AS hyp, CASE WHEN error IS NULL THEN secs END AS secs, error FROM
   (SELECT *, row_number() OVER (PARTITION BY q, clip_id ORDER BY (error IS NULL) DESC, line_no DESC) AS rn FROM lines) WHERE rn = 1),
-pairs AS (SELECT s.q, c.*, b.clip_id IS NULL AS missing, b.error, b.secs, list_filter(string_split(coalesce(b.hyp, ''), ' '), t -> t <> '') AS hyp
+pairs AS (SELECT s.q, c.*, b.clip_id IS NULL AS missing, b.error, b.secs, list_filter(string_split(coalesce(b.hyp, ''), ' '), lambda t: t <> '') AS hyp
   FROM clips c CROSS JOIN (VALUES (1), (2)) AS s(q) LEFT JOIN best b ON b.q = s.q AND b.clip_id = c.clip_id)
 """
 #: Edit counts by a fold over the reference: each cell carries (c, s, d, i).
 EDITS_SQL = r"""
 dp AS (
-  SELECT q, clip_id, ref, hyp, 0 AS at, list_transform(range(0, len(hyp) + 1), j -> {'c': j, 's': 0, 'd': 0, 'i': j}) AS w FROM pairs
+  SELECT q, clip_id, ref, hyp, 0 AS step, list_transform(range(0, len(hyp) + 1), lambda j: {'c': j, 's': 0, 'd': 0, 'i': j}) AS w FROM pairs
   UNION ALL
-  SELECT q, clip_id, ref, hyp, at + 1,
-    list_reduce(list_prepend([{'c': w[1].c + 1, 's': w[1].s, 'd': w[1].d + 1, 'i': w[1].i}], list_transform(range(1, len(hyp) + 1), j -> [{'c': j, 's': 0, 'd': 0, 'i': 0}])),
-      (acc, x) -> list_append(acc, CASE
-        WHEN ref[at + 1] = hyp[x[1].c] THEN w[x[1].c]
+  SELECT q, clip_id, ref, hyp, step + 1,
+    list_reduce(list_prepend([{'c': w[1].c + 1, 's': w[1].s, 'd': w[1].d + 1, 'i': w[1].i}], list_transform(range(1, len(hyp) + 1), lambda j: [{'c': j, 's': 0, 'd': 0, 'i': 0}])),
+      lambda acc, x: list_append(acc, CASE
+        WHEN ref[step + 1] = hyp[x[1].c] THEN w[x[1].c]
         WHEN acc[-1].c <= w[x[1].c + 1].c AND acc[-1].c <= w[x[1].c].c THEN {'c': acc[-1].c + 1, 's': acc[-1].s, 'd': acc[-1].d, 'i': acc[-1].i + 1}
         WHEN w[x[1].c + 1].c <= w[x[1].c].c THEN {'c': w[x[1].c + 1].c + 1, 's': w[x[1].c + 1].s, 'd': w[x[1].c + 1].d + 1, 'i': w[x[1].c + 1].i}
         ELSE {'c': w[x[1].c].c + 1, 's': w[x[1].c].s + 1, 'd': w[x[1].c].d, 'i': w[x[1].c].i} END))
-  FROM dp WHERE at < len(ref)),
-edits AS (SELECT q, clip_id, len(ref) AS n_ref, len(hyp) AS n_hyp, w[-1].s AS s, w[-1].d AS d, w[-1].i AS i FROM dp WHERE at = len(ref))
+  FROM dp WHERE step < len(ref)),
+edits AS (SELECT q, clip_id, len(ref) AS n_ref, len(hyp) AS n_hyp, w[-1].s AS s, w[-1].d AS d, w[-1].i AS i FROM dp WHERE step = len(ref))
 """
