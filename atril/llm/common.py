@@ -128,6 +128,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 def settle(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so once their plans are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.5)

@@ -282,6 +282,7 @@ def score(docs: DataFrame) -> DataFrame:
     own = uni.where("level = 1")
     requests = texts.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(asked, "way int, chunk string, a binary, b binary, c binary")
     bi = materialize(requests.groupBy("way").applyInArrow(_bigram_table(level, hot), ANSWER), "bigrams")
+    del requests
     settle(spark)
     n = bi.where("level = 0").select(*(F.sum(F.col("stats")[k]) for k in range(K + 1))).first()
     factors = discounts(np.array([0.0, *(x or 0.0 for x in n)]))
