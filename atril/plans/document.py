@@ -1,0 +1,162 @@
+"""The summary document and its Markdown views.
+
+Two small tables carry everything: ``systems`` (SYSTEMS, a row a system) and ``cells`` (CELLS, a row a system, subset,
+part and metric; the part is "all" or a condition). The views are joins and pivots of the two; as many rows as there
+are systems reach the driver, which formats the cells.
+"""
+
+from __future__ import annotations
+
+import json
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import report
+
+SYSTEMS = "id string, ord int, label string, type string, runner string, license string, settings string, note string"
+CELLS = "id string, subset string, part string, metric string, value double, lo double, hi double, n_clips long"
+#: Metrics of the document, and the fact table's names for them.
+METRICS = {
+    "wer": "wer",
+    "term_recall": "term_recall",
+    "bwer": "term_word_error_rate",
+    "uwer": "other_word_error_rate",
+    "insertions_per_1k": "insertions_per_1k",
+    "degenerate_rate": "degenerate_rate",
+}
+CONDITIONS = ["clean", "degraded"]
+#: The subset under which the mean over real-speech subsets stands.
+MEAN = "mean"
+FIELDS = ("label", "type", "runner", "license", "settings", "note")
+_CELL = "struct(value, lo, hi)"
+
+
+def cells_of(values: DataFrame, subset: str, metric: str) -> DataFrame:
+    """Cells from (system, value, lo, hi, n_clips) and, where there are parts, ``part``."""
+    part = F.col("part") if "part" in values.columns else F.lit("all")
+    return values.select(F.col("system").cast("string").alias("id"), F.lit(subset).alias("subset"), part.alias("part"), F.lit(metric).alias("metric"), "value", "lo", "hi", F.col("n_clips").cast("long"))
+
+
+def _pivoted(cells: DataFrame, by: str, values: list[str]) -> DataFrame:
+    return cells.groupBy("id").pivot(by, values).agg(F.first(F.expr(_CELL)))
+
+
+def clinical(systems: DataFrame, cells: DataFrame, subset: str) -> DataFrame:
+    """Systems with results on ``subset``: a column a metric, ranked by word error rate."""
+    wide = _pivoted(cells.where((F.col("subset") == subset) & (F.col("part") == "all")), "metric", list(METRICS))
+    return report.ranked(systems.join(wide, "id").withColumn("by", F.col("wer.value")), "by")
+
+
+def conditions(systems: DataFrame, cells: DataFrame, subset: str) -> DataFrame:
+    """The same systems: word error rate and term recall of each condition (``wer_clean`` and so on)."""
+    names = [f"{m}_{c}" for m in ("wer", "term_recall") for c in CONDITIONS]
+    parts = cells.where((F.col("subset") == subset) & F.col("part").isin(CONDITIONS)).withColumn("name", F.concat_ws("_", "metric", "part"))
+    ranked = cells.where((F.col("subset") == subset) & (F.col("part") == "all") & (F.col("metric") == "wer")).select("id", F.col("value").alias("by"))
+    return report.ranked(systems.join(ranked, "id").join(_pivoted(parts, "name", names), "id", "left"), "by")
+
+
+def real(systems: DataFrame, cells: DataFrame, subsets: list[str]) -> DataFrame:
+    """Systems with a result on any of ``subsets``: word error rate of each and the mean, ranked by the mean."""
+    wer = cells.where((F.col("metric") == "wer") & (F.col("part") == "all"))
+    some = wer.where(F.col("subset").isin(subsets)).select("id").distinct()
+    wide = _pivoted(wer, "subset", [MEAN, *subsets])
+    return report.ranked(systems.join(some, "id", "left_semi").join(wide, "id").withColumn("by", F.col(f"{MEAN}.value")), "by")
+
+
+def listed(systems: DataFrame, cells: DataFrame, subset: str) -> DataFrame:
+    """All systems, ranked by their word error rate on ``subset``."""
+    wer = cells.where((F.col("subset") == subset) & (F.col("part") == "all") & (F.col("metric") == "wer")).select("id", F.col("value").alias("by"))
+    return report.ranked(systems.join(wer, "id", "left"), "by")
+
+
+def number(cell, scale: float = 100, interval: bool = True) -> str:
+    """A value with its interval in small type, a dash where there is none."""
+    if cell is None or cell["value"] is None:
+        return report.DASH
+    text = f"{scale * cell['value']:.1f}"
+    if interval and cell["lo"] is not None and cell["hi"] is not None:
+        text += f" <sub>{scale * cell['lo']:.1f}{report.DASH}{scale * cell['hi']:.1f}</sub>"
+    return text
+
+
+def _name(row) -> str:
+    return f"**{row['label']}** ¹" if row["type"] == "results-only" else row["label"]
+
+
+def _table(title: str, heads: list[str], rows: list[list[str]]) -> str:
+    return f"## {title}\n\n" + report.markdown([dict(zip(heads, r, strict=True)) for r in rows], heads)
+
+
+def render(systems: DataFrame, cells: DataFrame, subset: str, subsets: list[str], notes: tuple[str, ...] = ()) -> str:
+    """The leaderboard: tables for ``subset``, its conditions and ``subsets``, the systems and the notes; a table without rows is left out."""
+    out = ["# Leaderboard\n"]
+    if rows := clinical(systems, cells, subset).collect():
+        heads = ["System", "Type", "WER", "Term recall", "B-WER (term words)", "U-WER (other words)", "Insertions / 1k", "Degenerate"]
+        shown = lambda r, m: number(r[m], 1 if m == "insertions_per_1k" else 100, m != "degenerate_rate")
+        out.append(_table(f"Clinical dictation (`{subset}`)", heads, [[_name(r), r["type"], *(shown(r, m) for m in METRICS)] for r in rows]))
+        parts = conditions(systems, cells, subset).collect()
+        names = [f"{m}_{c}" for m in ("wer", "term_recall") for c in CONDITIONS]
+        if any(r[n] is not None for r in parts for n in names):
+            heads = ["System", "WER clean", "WER degraded", "Term recall clean", "Term recall degraded"]
+            out.append(_table("Clean and degraded audio", heads, [[_name(r), *(number(r[n]) for n in names)] for r in parts]))
+    if rows := real(systems, cells, subsets).collect():
+        out.append(_table("Real speech (word error rate)", ["System", "Type", "Mean WER", *subsets], [[_name(r), r["type"], *(number(r[s]) for s in (MEAN, *subsets))] for r in rows]))
+    rows = listed(systems, cells, subset).collect()
+    out.append(_table("Systems", ["System", "Type", "License", "Runner", "Settings"], [[_name(r), r["type"], r["license"], r["runner"] and f"`{r['runner']}`", r["settings"]] for r in rows]))
+    lines = [f"* {'¹ ' if r['type'] == 'results-only' else ''}**{r['label']}**: {r['note']}" for r in systems.where("note <> ''").orderBy("ord").collect()]
+    if bare := [r["label"] for r in rows if r["type"] == "open" and not r["runner"]]:
+        lines.append(f"* **Open-weights rows without a runner**: {', '.join(bare)}")
+    return "\n".join([*out, "## Notes\n", *lines, *(f"* {n}" for n in notes), ""])
+
+
+def summary(systems: DataFrame, cells: DataFrame, **head: object) -> dict:
+    """The document: ``head`` and the systems in their order, each with its results by subset, condition and metric."""
+    results: dict[str, dict] = {}
+    for r in cells.orderBy("id", "subset", "part", "metric").collect():
+        held = results.setdefault(r["id"], {}).setdefault(r["subset"], {})
+        if r["part"] != "all":
+            held = held.setdefault("by_condition", {}).setdefault(r["part"], {})
+        if r["n_clips"] is not None:
+            held["n_clips"] = r["n_clips"]
+        held[r["metric"]] = {"value": r["value"], "ci95": None if r["lo"] is None else [r["lo"], r["hi"]]}
+    made = []
+    for r in systems.orderBy("ord").collect():
+        got = results.get(r["id"], {})
+        mean = got.pop(MEAN, {}).get("wer")
+        made.append({"id": r["id"], **{f: r[f] for f in FIELDS}, "results": got, **({"real_speech_mean_wer": mean} if mean else {})})
+    return {**head, "systems": made}
+
+
+def published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``systems`` and ``cells`` of a summary document."""
+    document = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    systems, cells = [], []
+
+    def add(name: str, subset: str, part: str, held: dict) -> None:
+        for metric, cell in held.items():
+            if metric in METRICS and cell:
+                lo, hi = cell.get("ci95") or (None, None)
+                cells.append((name, subset, part, metric, *(None if v is None else float(v) for v in (cell.get("value"), lo, hi)), held.get("n_clips")))
+
+    for ord_, s in enumerate(document["systems"]):
+        name = s.get("id") or s["label"]
+        systems.append((name, ord_, *(s.get(f) for f in FIELDS)))
+        for subset, held in s.get("results", {}).items():
+            add(name, subset, "all", held)
+            for part, inner in (held.get("by_condition") or {}).items():
+                add(name, subset, part, inner)
+        if s.get("real_speech_mean_wer"):
+            add(name, MEAN, "all", {"wer": s["real_speech_mean_wer"]})
+    return spark.createDataFrame(systems, SYSTEMS), spark.createDataFrame(cells, CELLS)
+
+
+def write(document: dict, leaderboard: str, folder: str | Path) -> tuple[Path, Path]:
+    """``summary.json`` and, once that is there, ``leaderboard.md`` in a folder of the driver."""
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    made = folder / "summary.json", folder / "leaderboard.md"
+    for path, text in zip(made, (json.dumps(document, indent=2, ensure_ascii=False) + "\n", leaderboard), strict=True):
+        path.write_text(text, encoding="utf-8")
+    return made

@@ -74,7 +74,7 @@ def discovered(spark: SparkSession, path: str, subsets: list[str]) -> DataFrame:
 def run_infos(spark: SparkSession, path: str, known: tuple[str, ...] = ()) -> dict[str, dict]:
     """What the ``*.run.json`` files of each model folder tell: label and model_id of the first file, runner of the last
     file that names one. Files that are no JSON objects are passed over; a known model is its own runner."""
-    files = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/*/*.run.json").select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(f"{path.rstrip('/')}/*/*.run.json", wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     out: dict[str, dict] = {}
     for r in files.orderBy("file").toLocalIterator():  # a few small files a model
         model = r["file"].rsplit("/", 2)[-2]

@@ -80,7 +80,7 @@ def test_folders(spark, tmp_path):
         (tmp_path / model).mkdir()
         (tmp_path / model / "real.jsonl").write_text('{"clip_id": "1"}\n\n{"clip_id": "2"}\n')
         (tmp_path / model / "other.jsonl").write_text('{"clip_id": "1"}\n')
-    for name, text in (("a", json.dumps({"label": "A", "model_id": "x", "model": "r1"})), ("b", "[]"), ("c", "{"), ("d", json.dumps({"label": "D", "model": "r2"}))):
+    for name, text in (("a", json.dumps({"label": "A", "model_id": "x", "model": "r1"}, indent=2)), ("b", "[]"), ("c", "{"), ("d", json.dumps({"label": "D", "model": "r2"}))):
         (tmp_path / "m" / f"{name}.run.json").write_text(text)
     got = archives.discovered(spark, str(tmp_path), ["real"]).collect()
     assert sorted((r["model"], r["subset"], r["line_no"]) for r in got) == [("m", "real", 1), ("m", "real", 3), ("n", "real", 1), ("n", "real", 3)]
