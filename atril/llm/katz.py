@@ -11,7 +11,8 @@ chunk sends its distinct bigrams, training counts and the second words' counts t
 by history; histories that make up over a thousandth of all training tokens (fewer than a thousand) are dealt by second
 word too. The partitions sum the counts and answer with each bigram's count and each history's sums. (3) The chunk
 evaluates its bigrams, seen ones by their discounted counts and others by backoff, and sums them over each text's
-tokens. Bigrams and answers travel as sorted, compressed blocks. All counts come from all training documents.
+tokens. Bigrams and answers travel as sorted, compressed blocks; a word's count goes once a block, in the order of its
+rank, where neighbours are alike, and a history's sums are whole numbers that both levels' discounts apply to. All counts come from all training documents.
 
 Words are told apart by 64-bit XXH64. Null texts are empty (one token, the end); a null doc_id has the text "" and so is
 held out. Without training documents every token has probability 1. Repeated rows count and come back as often as they
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import Index, chunked, dealt, materialize, pack, pieces_of, settle, unpack, words_of
 
 K = 5
+#: Sums of a history: bigrams of each count to K, the tokens of the others; the same for their second words' counts.
+SUMS = 2 * K + 2
 #: The end of a text as a word: white space is in no word.
 END = b"\n"
 BEGIN = (1 << 32) - 1
@@ -192,28 +195,28 @@ def _unigram_table(ways: int):
         for chunk, h in zip(table["chunk"].to_pylist(), hashes, strict=True):
             own = inverse[at : at + len(h)]
             at += len(h)
-            rows.append((chunk, way, 1, pack(ids[own].astype(np.uint32)), pack(total[own].astype(np.uint32)), None, None))
+            rows.append((chunk, way, 1, pack(rank[own].astype(np.uint32)), pack(total[own][np.argsort(rank[own])].astype(np.uint64)), None, None))
         return _answers(rows)
 
     return run
 
 
-def _bigram_table(level: Unigrams, hot: np.ndarray):
+def _bigram_table(hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         way = table["way"][0].as_py()
         keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in table["a"].to_pylist()]
         counts = np.concatenate([unpack(b, np.uint32) for b in table["b"].to_pylist()])
-        seconds = np.concatenate([unpack(b, np.uint32) for b in table["c"].to_pylist()])
+        seconds = np.concatenate([unpack(b, np.uint64).astype(np.int64)[np.unique(k & np.uint64(BEGIN), return_inverse=True)[1]] for b, k in zip(table["c"].to_pylist(), keys, strict=True)])
         key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.bincount(inverse, counts).astype(np.int64)
         h, opens = key >> np.uint64(32), _runs(key >> np.uint64(32))
         seen = total > 0
         of = np.cumsum(np.isin(np.arange(len(h)), opens)) - 1 if len(h) else np.zeros(0, int)
-        sums = np.zeros((len(opens), K + 2))
-        for r in range(1, K + 1):
-            sums[:, r - 1] = np.bincount(of, total == r, len(opens))
-        sums[:, K] = np.bincount(of, np.where(total > K, total, 0), len(opens))
-        sums[:, K + 1] = np.bincount(of, np.where(seen, level.probability(seconds[first].astype(np.int64)), 0.0), len(opens))
+        sums = np.zeros((len(opens), SUMS))
+        for at, n in ((0, total), (K + 1, np.where(seen, seconds[first], 0))):
+            for r in range(1, K + 1):
+                sums[:, at + r - 1] = np.bincount(of, n == r, len(opens))
+            sums[:, at + K] = np.bincount(of, np.where(n > K, n, 0), len(opens))
         histories = h[opens]
         rows, at = [(None, way, 0, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])], 0
         rows += [(None, way, 3, None, None, None, [float(histories[k]), *sums[k]]) for k in np.flatnonzero(np.isin(histories, hot))]
@@ -221,24 +224,28 @@ def _bigram_table(level: Unigrams, hot: np.ndarray):
             own = inverse[at : at + len(k)]
             at += len(k)
             mine = of[own][_runs(k >> np.uint64(32))]
-            rows.append((chunk, way, 2, pack(total[own].astype(np.uint32)), pack(sums[mine, : K + 1].T.astype(np.uint32).reshape(-1)), pack(sums[mine, K + 1]), None))
+            rows.append((chunk, way, 2, pack(total[own].astype(np.uint64)), pack(sums[mine].T.astype(np.uint64).reshape(-1)), None, None))
         return _answers(rows)
 
     return run
 
 
-def _restored(texts: pa.Table, answers: pa.Table) -> tuple[dict, np.ndarray, np.ndarray, pa.Table]:
+def _restored(texts: pa.Table, answers: pa.Table, ways: int) -> tuple[dict, np.ndarray, np.ndarray, pa.Table]:
     """A chunk's row, ids and counts of its words, and the bigram table's answers."""
     row = texts.to_pylist()[0]
     ours = answers.sort_by("way")
     words = ours.filter(pa.compute.equal(ours["level"], 1))
-    ids = [unpack(b, np.uint32) for b in words["a"].to_pylist()]
+    ids, c = [], []
+    for way, ranks, counts in zip(words["way"].to_pylist(), words["a"].to_pylist(), words["b"].to_pylist(), strict=True):
+        rank, by_rank = unpack(ranks, np.uint32).astype(np.int64), unpack(counts, np.uint64)
+        ids.append(rank * ways + way)
+        c.append(np.empty(len(rank), np.int64))
+        c[-1][np.argsort(rank)] = by_rank
     if sum(map(len, ids)) != row["words"]:
         raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
-    c = np.concatenate([unpack(b, np.uint32) for b in words["b"].to_pylist()]).astype(np.int64)
     tokens, starts = _sequences(unpack(row["positions"], np.uint32), np.array(row["sizes"], np.int64), row["end"])
     row |= {"tokens": tokens, "starts": starts}
-    return row, np.concatenate(ids).astype(np.uint64), c, ours.filter(pa.compute.equal(ours["level"], 2))
+    return row, np.concatenate(ids).astype(np.uint64), np.concatenate(c), ours.filter(pa.compute.equal(ours["level"], 2))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -273,30 +280,31 @@ def score(docs: DataFrame) -> DataFrame:
     texts = rows.mapInArrow(places, f"chunk string, doc_ids array<{id_type.simpleString()}>, held array<boolean>, sizes array<long>, positions binary, end int, words int")
 
     def asked(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        row, ids, c, _ = _restored(texts, answers)
+        row, ids, c, _ = _restored(texts, answers, ways)
         key, way, second, inverse = _bigrams(ids, c, row["tokens"], row["starts"], hot_from, ways)
         learnt = np.bincount(inverse, np.repeat(~np.array(row["held"]), np.array(row["sizes"]) + 1), len(key)).astype(np.uint32)
-        out = [(w, row["chunk"], pack(np.diff(key[i:j], prepend=np.uint64(0))), pack(learnt[i:j]), pack(second[i:j].astype(np.uint32))) for w, i, j in _stretches(way)]
+        words = key & np.uint64(BEGIN)
+        by_word = lambda i, j: second[i:j][np.unique(words[i:j], return_index=True)[1]].astype(np.uint64)
+        out = [(w, row["chunk"], pack(np.diff(key[i:j], prepend=np.uint64(0))), pack(learnt[i:j]), pack(by_word(i, j))) for w, i, j in _stretches(way)]
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["way", "chunk", "a", "b", "c"])
 
     own = uni.where("level = 1")
     requests = texts.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(asked, "way int, chunk string, a binary, b binary, c binary")
-    bi = materialize(requests.groupBy("way").applyInArrow(_bigram_table(level, hot), ANSWER), "bigrams")
+    bi = materialize(requests.groupBy("way").applyInArrow(_bigram_table(hot), ANSWER), "bigrams")
     del requests
     settle(spark)
     n = bi.where("level = 0").select(*(F.sum(F.col("stats")[k]) for k in range(K + 1))).first()
     factors = discounts(np.array([0.0, *(x or 0.0 for x in n)]))
-    shared = {int(r[0]): np.array(r[1:]) for r in bi.where("level = 3").groupBy(F.col("stats")[0].alias("h")).agg(*(F.sum(F.col("stats")[k]) for k in range(1, K + 3))).collect()}
+    shared = {int(r[0]): np.array(r[1:]) for r in bi.where("level = 3").groupBy(F.col("stats")[0].alias("h")).agg(*(F.sum(F.col("stats")[k]) for k in range(1, SUMS + 1))).collect()}
 
     def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        row, ids, c, ours = _restored(texts, answers)
+        row, ids, c, ours = _restored(texts, answers, ways)
         tokens, starts = row["tokens"], row["starts"]
         key, way, second, inverse = _bigrams(ids, c, tokens, starts, hot_from, ways)
-        count = np.concatenate([unpack(b, np.uint32) for b in ours["a"].to_pylist()]).astype(np.int64)
+        count = np.concatenate([unpack(b, np.uint64) for b in ours["a"].to_pylist()]).astype(np.int64)
         if len(count) != len(key):
             raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
-        parts = [unpack(b, np.uint32).reshape(K + 1, -1) for b in ours["b"].to_pylist()]
-        sums = np.concatenate([np.concatenate(parts, 1).astype(float), np.concatenate([unpack(b, np.float64) for b in ours["c"].to_pylist()])[None, :]]).T
+        sums = np.concatenate([unpack(b, np.uint64).reshape(SUMS, -1) for b in ours["b"].to_pylist()], 1).astype(float).T
         h = key >> np.uint64(32)
         opens = np.concatenate([i + _runs(h[i:j]) for _, i, j in _stretches(way)])
         of = np.zeros(len(h), np.int64)
@@ -307,9 +315,10 @@ def score(docs: DataFrame) -> DataFrame:
         by_id = np.argsort(ids)
         at = np.minimum(np.searchsorted(ids, h[opens], sorter=by_id), len(ids) - 1)
         total = np.where(h[opens] == BEGIN, level.documents, c[by_id[at]]).astype(float)
-        kept = (sums[:, : K + 1] * np.append(np.arange(1, K + 1) * factors[1:], 1.0)).sum(1)
+        weighed = lambda part, d: part @ np.append(np.arange(1, K + 1) * d[1:], 1.0)
+        kept, lower = weighed(sums[:, : K + 1], factors), weighed(sums[:, K + 1 :], level.factors) / level.total
         total = np.where(kept >= total * (1 - 1e-12), total + 1, total)
-        backoff = np.where(sums[:, :K].sum(1) + sums[:, K] > 0, (1 - kept / total) / (1 - sums[:, K + 1]), 1.0)
+        backoff = np.where(sums[:, : K + 1].sum(1) > 0, (1 - kept / total) / (1 - lower), 1.0)
         p = np.where(count > 0, discounted(count, factors) / total[of], backoff[of] * level.probability(second))
         counts = c[tokens]
         base = np.log10((counts + 0.1) / (level.tokens + 0.1 * (level.words + 1)))
