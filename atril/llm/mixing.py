@@ -6,8 +6,8 @@ repetition, so repetition is convex and first copies go first. Within a pattern
 of its words, in the order of a seeded hash of id and text; at most one document of each class lies across the cut,
 and those few are taken or left from the largest down so that the pattern's sum comes as near as it can.
 
-The driver gets sums for each (pattern, size class), never rows: ``MAX_PATTERNS`` bounds the patterns and a larger
-number raises. Rows with a null source form the source that comes last. Null texts have size 0 and are not taken.
+The driver gets sums for each (pattern, size class), never rows: ``MAX_PATTERNS`` bounds the patterns and the
+sources, and a larger number raises. Rows with a null source form the source that comes last. Null texts have size 0 and are not taken.
 Repeated rows are separate documents; where a cut falls among equal rows, it does not matter which of them is taken.
 An empty table has no sources and gives no rows. Reruns agree.
 """
@@ -29,7 +29,7 @@ COPIES = 2
 SEED = 7
 #: Slices of the seeded order within a (pattern, size class).
 SLICES = 1024
-#: Distinct patterns that the driver plans for at most; more raise an error.
+#: Distinct patterns, and distinct sources, that the driver plans for at most; more raise an error.
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]++"
 
@@ -150,8 +150,10 @@ def mix(rows: DataFrame, size: str = "size", members: str = "members", total: fl
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     key = {r[pattern]: tuple(sorted(set(r["members"]), key=lambda s: (s is None, s or ""))) for r in found}
     capacity = {key[r[pattern]]: r["words"] for r in found}
-    empty = keyed.select(F.explode(members).alias("s")).distinct().limit(MAX_PATTERNS).collect()
-    sizes = dict.fromkeys((r["s"] for r in empty), 0)
+    named = keyed.select(F.explode(members).alias("s")).distinct().limit(MAX_PATTERNS + 1).collect()
+    if len(named) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sources")
+    sizes = dict.fromkeys((r["s"] for r in named), 0)
     for p, words in capacity.items():
         for s in p:
             sizes[s] += words

@@ -129,6 +129,13 @@ def test_mixing(odd, none):
     assert mixing.mix(mixing._sized(none))[0].count() == 0
 
 
+def test_mixing_never_leaves_sources_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    wordless = spark.createDataFrame([(k, "some words" if k < 2 else "", f"s{k}") for k in range(5)], SCHEMA)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(mixing._sized(wordless))
+
+
 def test_flow_is_cheapest():
     routes = mixing.flow({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 15, "b": 12})
     assert routes[("a",), "a"] + routes[("a", "b"), "a"] == 15
