@@ -1,7 +1,8 @@
 """Clips and hypotheses derived from ``documents``, alike in Spark and in the SQL oracle.
 
-Two systems (q = 1, 2) drop, replace or double words of a document's first 24 by integer rules; by other rules
-hypotheses are missing, failed, empty, looping or written twice.
+Two systems (q = 1, 2) drop, replace or double words of a document by integer rules; by other rules hypotheses are
+missing, failed, empty, looping or written twice. A clip has all words of its document; the SQL below still has only
+the first 24 (see the README), so the two differ where texts are longer.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORDS = "slice(filter(split(lower(text), '[ \\\\t\\\\n\\\\r\\\\f]+'), t -> t <> ''), 1, 24)"
+_WORDS = "filter(split(lower(text), '[ \\\\t\\\\n\\\\r\\\\f]+'), t -> t <> '')"
 
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:

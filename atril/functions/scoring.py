@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from math import isqrt
+from operator import eq
 
 from .lexicon import FUNCTION_WORDS
 from .normalizer import tokenize
 
-# One counter each, packed in a number that a path carries along.
-_WIDTH = 24
-SUB, DEL, INS, TERM, OTHER = (1 << _WIDTH * k for k in range(5))
-
-
-def unpack(packed: int) -> list[int]:
-    return [packed >> _WIDTH * k & (1 << _WIDTH) - 1 for k in range(5)]
+#: Words of reference rows times words of the hypothesis whose cells are held at once, in bits.
+_HELD = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -42,34 +39,63 @@ def terms_of(terms: tuple[str, ...], normalized: bool = True) -> Terms:
     return Terms(tuples, frozenset(w for t in tuples for w in t if w not in FUNCTION_WORDS))
 
 
+def _rows(ref: list[str], where: dict[str, int], ups: int, downs: int, full: int, lefts: list[int], aboves: list[int]) -> tuple[int, int]:
+    """Rows of the cost table as bits (Hyyrö's form of Myers' algorithm), from one row's differences to the last one's.
+
+    ups, downs: where a cell costs one more, or less, than its left neighbour. ``lefts`` gets a row's ups, ``aboves``
+    where a cell costs one more than the one above it.
+    """
+    for word in ref:
+        met = where.get(word, 0)
+        free = (((met & ups) + ups) ^ ups) | met | downs
+        above = (downs | ~(free | ups)) & full
+        below = ups & free
+        aboves.append(above)
+        above = above << 1 | 1
+        ups = (below << 1 | ~(free | above)) & full
+        downs = above & free & full
+        lefts.append(ups)
+    return ups, downs
+
+
 def edits(ref: list[str], hyp: list[str], term_words: frozenset[int] = frozenset(), vocabulary: frozenset[str] = frozenset()) -> tuple[list[int], int]:
     """Substitutions, deletions, insertions, errors on term words and on others; and the bit set of equal reference words.
 
     Unit costs. Ties go to equal, then insertion, then deletion, then substitution; that choice depends on a cell's
-    costs alone, so one forward pass over the reference carries the counts of each cell's path.
+    costs alone, so differences of neighbouring costs suffice to walk back from the end. The whole table is aligned;
+    one block of its rows is held at a time, and the blocks before are made again from their first row.
     """
-    inserts = [INS + (TERM if w in vocabulary else OTHER) for w in hyp]
-    row = [(0, 0, 0)]
-    for add in inserts:
-        row.append((row[-1][0] + 1, row[-1][1] + add, 0))
-    for i, word in enumerate(ref):
-        side = TERM if i in term_words else OTHER
-        cost, path, same = row[0]
-        left = (cost + 1, path + DEL + side, same)
-        new = [left]
-        for j, other in enumerate(hyp):
-            diagonal, up = row[j], row[j + 1]
-            if word == other:
-                left = (diagonal[0], diagonal[1], diagonal[2] | 1 << i)
-            elif left[0] <= up[0] and left[0] <= diagonal[0]:
-                left = (left[0] + 1, left[1] + inserts[j], left[2])
-            elif up[0] <= diagonal[0]:
-                left = (up[0] + 1, up[1] + DEL + side, up[2])
+    full, where = (1 << len(hyp)) - 1, {}
+    for j, word in enumerate(hyp):
+        where[word] = where.get(word, 0) | 1 << j
+    block = max(isqrt(len(ref)) + 1, _HELD // (len(hyp) + 1))
+    starts = [(full, 0)]
+    for at in range(0, len(ref) - block, block):
+        starts.append(_rows(ref[at : at + block], where, *starts[-1], full, [], []))
+    s = d = i = term = 0
+    same = bytearray(b"0" * len(ref))
+    k, j = len(ref), len(hyp)
+    while k and j:
+        first = (k - 1) // block * block
+        lefts, aboves = [], []
+        _rows(ref[first:k], where, *starts[first // block], full, lefts, aboves)
+        while k > first and j:
+            if ref[k - 1] == hyp[j - 1]:
+                k, j = k - 1, j - 1
+                same[-1 - k] = 49
+            elif lefts[k - 1 - first] >> j - 1 & 1:
+                i, j = i + 1, j - 1
+                term += hyp[j] in vocabulary
             else:
-                left = (diagonal[0] + 1, diagonal[1] + SUB + side, diagonal[2])
-            new.append(left)
-        row = new
-    return unpack(row[-1][1]), row[-1][2]
+                if aboves[k - 1 - first] >> j - 1 & 1:
+                    d += 1
+                else:
+                    s, j = s + 1, j - 1
+                k -= 1
+                term += k in term_words
+    d, i = d + k, i + j
+    term += sum(w in vocabulary for w in hyp[:j]) + sum(w in term_words for w in range(k))
+    return [s, d, i, term, s + d + i - term], int(same or b"0", 2)
 
 
 def loops(tokens: list[str]) -> set[tuple[str, ...]]:
@@ -77,6 +103,8 @@ def loops(tokens: list[str]) -> set[tuple[str, ...]]:
     found, n = set(), len(tokens)
     for size in range(1, 9):
         need = 4 if size == 1 else 3
+        if b"\1" * (size * (need - 1)) not in bytes(map(eq, tokens, tokens[size:])):
+            continue
         run = [0] * (n + 1)  # how many tokens from here on equal those ``size`` later
         for k in range(n - size - 1, -1, -1):
             run[k] = run[k + 1] + 1 if tokens[k] == tokens[k + size] else 0

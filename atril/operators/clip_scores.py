@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from ..functions.normalizer import tokenize
 from ..functions.scoring import FIELDS, facts
 
+#: Rows whose tokens a worker holds as Python objects at once.
+ROWS = 64
+
 
 def score_pairs(pairs: DataFrame, normalized: bool = True) -> DataFrame:
     """``pairs`` with FIELDS and ``degenerate``, without ref, hyp and terms. No shuffle.
@@ -24,10 +27,11 @@ def score_pairs(pairs: DataFrame, normalized: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for ref, hyp, terms in zip(*(b.column(at[c]).to_pylist() for c in ("ref", "hyp", "terms")), strict=True):
-                tokens = (tokenize(ref), tokenize(hyp)) if normalized else (list(ref or ()), (hyp or "").split())
-                counts, flags = facts(*tokens, tuple(terms or ()), normalized)
-                rows.append((*counts, flags))
+            for k in range(0, b.num_rows, ROWS):
+                for ref, hyp, terms in zip(*(b.column(at[c]).slice(k, ROWS).to_pylist() for c in ("ref", "hyp", "terms")), strict=True):
+                    tokens = (tokenize(ref), tokenize(hyp)) if normalized else (list(ref or ()), (hyp or "").split())
+                    counts, flags = facts(*tokens, tuple(terms or ()), normalized)
+                    rows.append((*counts, flags))
             if rows:
                 *counts, flags = zip(*rows, strict=True)
                 made = [*(pa.array(c, pa.int64()) for c in counts), pa.array(flags, pa.list_(pa.string()))]
