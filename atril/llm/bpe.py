@@ -131,7 +131,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, then: tuple | None = None) -
             ids += [e.ids for e in tokenizer(path).encode_batch(distinct[at : at + 4096], add_special_tokens=False)]
         table = pa.array(ids, pa.list_(pa.int32()))
         made = [table.take(pa.array(a)) for a in asked]
-        return pd.DataFrame({"chunk": frame["chunk"], "way": frame["way"], "sizes": [pack(m.value_lengths().to_numpy().astype(np.uint16)) for m in made], "ids": [pack(m.flatten().to_numpy()) for m in made]})
+        return pd.DataFrame({"chunk": frame["chunk"], "way": frame["way"], "sizes": [pack(m.value_lengths().to_numpy().astype(np.uint32)) for m in made], "ids": [pack(m.flatten().to_numpy()) for m in made]})
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batches_type[0]
@@ -144,9 +144,11 @@ def encode(docs: DataFrame, path: str = VOCABULARY, then: tuple | None = None) -
 
     def joined(texts: pa.Table, replies: pa.Table) -> pa.Table:
         replies = replies.sort_by("way")
-        sizes = [unpack(b, np.uint16).astype(np.int64) for b in replies["sizes"].to_pylist()]
+        sizes = [unpack(b, np.uint32).astype(np.int64) for b in replies["sizes"].to_pylist()]
         flat = [unpack(b, np.int32) for b in replies["ids"].to_pylist()]
         sizes, flat = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, flat))
+        if sizes.sum() != len(flat):
+            raise RuntimeError(f"{len(flat)} ids came back where words have {sizes.sum()}")
         words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(flat.astype(np.int32)))
         out_ids, out = [], []
         for r in texts.to_pylist():
