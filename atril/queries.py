@@ -107,12 +107,20 @@ def rep5_rate(spark, sf_dir):
 
 
 def span_contains(spark, sf_dir):
-    """Benchmark openings that occur in documents: spans of five words, met by equality and not by comparing all pairs."""
+    """Benchmark texts that occur whole in documents: met by their first five words (all words of a shorter text), then compared to the end."""
     words = lambda c: F.filter(F.split(F.lower(c), "[ \\t\\n\\r\\f]+"), lambda t: t != "")
-    needle = _table(spark, sf_dir, "benchmark").select("item_id", F.slice(words("text"), 1, 5).alias("w")).where("size(w) = 5").select("item_id", F.array_join("w", " ").alias("span"))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")).where("size(w) >= 5")
-    spans = docs.select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(1, size(w) - 4), k -> array_join(slice(w, k, 5), ' ')))")).alias("span"))
-    return spans.join(F.broadcast(needle), "span").select("item_id", "doc_id") if needle.count() < 100_000 else spans.join(needle, "span").select("item_id", "doc_id")
+    texts = _table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("w")).where("size(w) > 0").groupBy("item_id", "w").agg(F.count("*").alias("times"))
+    items = texts.select("item_id", "times", F.array_join("w", " ").alias("span"), F.array_join(F.slice("w", 1, 5), " ").alias("head"))
+    sizes = [r.k for r in texts.select(F.least(F.size("w"), F.lit(5)).alias("k")).distinct().collect()] or [5]
+    docs = _table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")).where("size(w) > 0")
+    grams = ", ".join(f"if(size(w) >= {k}, transform(sequence(1, size(w) - {k - 1}), p -> array_join(slice(w, p, {k}), ' ')), cast(array() as array<string>))" for k in sizes)
+    heads = items.select("head").distinct()
+    spans = docs.select("doc_id", F.explode(F.expr(f"array_distinct(concat({grams}))")).alias("head"))
+    spans = spans.join(F.broadcast(heads) if heads.count() < 100_000 else heads, "head", "left_semi")
+    near = spans.join(items, "head").select(F.col("doc_id").alias("near_id"), "item_id", "span", "times").distinct()
+    whole = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), "span", F.lit(" ")))
+    found = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id"))).where(whole)
+    return found.select("item_id", "doc_id", F.explode(F.expr("array_repeat(0, cast(times as int))")).alias("copy")).drop("copy")
 
 
 def block_sums(spark, sf_dir):
