@@ -2,9 +2,9 @@
 
 The labelled URLs are those that a rule decides: the trees learn from a bounded sample of them, of at most
 ``MAX_LABELLED`` distinct URLs (those with the smallest hashes), and decide the rest. The fitted trees become one
-nested CASE expression, so that scoring is a projection without a shuffle. Suffix statistics (how often the path's
-suffix, such as ``html`` or none, occurs in the sample, and how often it is blocked there) come from that sample, so
-their table is bounded by it; a suffix that it lacks has the sample's mean. Of the host's suffix only the length is a
+nested CASE expression. Suffix statistics (how often the path's suffix, such as ``html`` or none, occurs, and how often
+it is blocked) are of all distinct URLs that a rule decides; a suffix that none of them has gets share 0 and their
+mean. Their table is broadcast up to ``MAX_BROADCAST`` suffixes and joined by a shuffle beyond. Of the host's suffix only the length is a
 feature: rules name host suffixes, and trees that knew them would repeat the rules and call every other host the same.
 Both labels weigh the same in training, as rules do not occur in the proportions of the rest.
 
@@ -33,6 +33,7 @@ RULES = (
     ("net/fr/", "block"),
 )
 MAX_LABELLED = 4000
+MAX_BROADCAST = 10_000
 FEATURES = ("length", "host_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "host_suffix", "suffix_share", "suffix_blocked")
 
 
@@ -57,6 +58,10 @@ def ruled(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "said": verdict})
 
 
+def suffix() -> Column:
+    return F.regexp_extract("path", r"\.([^./]*)$", 1)
+
+
 def lexical(rows: DataFrame) -> DataFrame:
     """``rows`` with the features of ``url`` but for those of the suffix, and the suffix."""
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -76,7 +81,7 @@ def lexical(rows: DataFrame) -> DataFrame:
             "parameters": (count(url, "&") + F.when(F.locate("?", url) > 0, 1).otherwise(0)).cast("double"),
             "has_fragment": F.when(F.locate("#", url) > 0, 1.0).otherwise(0.0),
             "host_suffix": F.length(F.regexp_extract("host", r"[^.]*$", 0)).cast("double"),
-            "suffix": F.regexp_extract("path", r"\.([^./]*)$", 1),
+            "suffix": suffix(),
         }
     )
 
@@ -97,11 +102,21 @@ def margin(model: GBTClassificationModel, columns: tuple[str, ...] = FEATURES) -
 
 
 def with_suffixes(rows: DataFrame, stats: DataFrame, mean: float) -> DataFrame:
-    """``rows`` with the suffix statistics; stats has as many rows as the labelled sample at most."""
-    met = rows.join(F.broadcast(stats), "suffix", "left")
+    """``rows`` with the suffix statistics."""
+    small = stats.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    met = rows.join(F.broadcast(stats) if small else stats, "suffix", "left")
     return met.withColumns({"suffix_share": F.coalesce("suffix_share", F.lit(0.0)), "suffix_blocked": F.coalesce("suffix_blocked", F.lit(mean))})
 
 
+def suffixes(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """Share of each suffix among ``labelled`` and how often it is blocked, and the mean of the latter."""
+    sums = labelled.groupBy(suffix().alias("suffix")).agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("blocked"))
+    sums = materialize(sums, "suffixes")
+    n, blocked = sums.agg(F.sum("n"), F.sum("blocked")).first()
+    mean = blocked / n
+    return sums.select("suffix", (F.col("n") / n).alias("suffix_share"), ((F.col("blocked") + 10 * mean) / (F.col("n") + 10)).alias("suffix_blocked")), mean
+
+
 def judge(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """page_id, host, path, rule, verdict and score (null where a rule decides) of ``pages`` (page_id, url)."""
     rows = ruled(pages)
@@ -111,9 +126,7 @@ def judge(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     n, blocked = sample.agg(F.count("*"), F.sum("label")).first()
     if not n or blocked in (0, n):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    mean = blocked / n
-    stats = sample.groupBy("suffix").agg((F.count("*") / n).alias("suffix_share"), ((F.sum("label") + 10 * mean) / (F.count("*") + 10)).alias("suffix_blocked"))
-    stats = materialize(stats, "suffixes")
+    stats, mean = suffixes(labelled)
     learn = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffixes(sample, stats, mean))
     weighed = learn.select("features", "label", F.when(F.col("label") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked))).alias("weight"))
     model = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, seed=11, weightCol="weight").fit(weighed)
