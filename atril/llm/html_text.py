@@ -2,7 +2,8 @@
 
 A page becomes a flat list of blocks, each with its word count, its link density, those of its neighbours, and what it
 lies in: an article or main element, an element that says that it is something else (by its tag, class, id, role), or
-neither. A decision tree, trained at start-up on ``LABELLED``, tells main text from the rest; the last two columns of
+neither. The innermost of these counts, but an article inside a navigation or hidden element stays that; words of a
+wrapper's class or id (``has-sidebar``) do not hold for an article or main element inside it. A decision tree, trained at start-up on ``LABELLED``, tells main text from the rest; the last two columns of
 the table say what the block lies in, because a page's shortest paragraphs cannot be told from menus by counts alone.
 
 Null html gives an empty text. White space (Unicode's, after character references are decoded) becomes one space
@@ -38,6 +39,8 @@ LABELLED = """
   7 0.6  30 0.0  40 0.0  0 0  0 |  2 0.0   0 0.0   5 1.0  0 0  0 | 10 0.0  40 0.0   6 0.0  0 0  0 | 17 0.5   8 1.0   9 1.0  0 0  0
 """
 SKIPPED = frozenset("script style noscript template textarea select option button svg math iframe object canvas audio video head title datalist".split())
+#: Elements that leave a head open; any other ends it, as text does.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split())
@@ -55,16 +58,19 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _tells(tag: str, attributes: str) -> int:
-    """What an element says about its content: 1 article, -1 something else, 0 nothing."""
+    """What an element says about its content: 1 article, -1 something else by its names, -2 by its tag, role or as it is hidden, 0 nothing."""
     if attributes.strip(" /\n\t"):
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-            return -1
-        if tag not in ("html", "body", "main") and ({w.lower() for w in _NAME.findall(found.get("class", "") + " " + found.get("id", ""))} & OTHER_NAMES or found.get("role", "").lower() in OTHER_ROLES):
-            return -1
+            return -2
+        if tag not in ("html", "body", "main") and found.get("role", "").lower() in OTHER_ROLES:
+            return -2
+        named = tag not in ("html", "body", "main") and {w.lower() for w in _NAME.findall(found.get("class", "") + " " + found.get("id", ""))} & OTHER_NAMES
+        if named:
+            return -2 if tag in OTHER_TAGS else -1
         if found.get("role", "").lower() in ("main", "article"):
             return 1
-    return -1 if tag in OTHER_TAGS else 1 if tag in ("article", "main") else 0
+    return -2 if tag in OTHER_TAGS else 1 if tag in ("article", "main") else 0
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
@@ -78,23 +84,35 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         nonlocal link
         if parts:
             if words := "".join(p for p, _ in parts).split():
-                tells = [t for _, t in stack if t]
+                container, firm = 0, False
+                for _, tells in stack:
+                    firm |= tells == -2
+                    container = (-1 if firm or tells < 0 else 1) if tells else container
                 linked = len(" ".join(p for p, in_link in parts if in_link).split())
-                out.append((" ".join(words), len(words), min(linked, len(words)), -1 if -1 in tells else 1 if tells else 0))
+                out.append((" ".join(words), len(words), min(linked, len(words)), container))
             parts.clear()
         link = 0
 
+    def close(k: int) -> None:
+        nonlocal skipped
+        skipped -= sum(t in SKIPPED for t, _ in stack[k:])
+        del stack[k:]
+
     at = 0
     while (m := _TOKEN.match(page, at)) and at < len(page):
         at = m.end()
         closing, tag, attributes, text = m.groups()
         if text is not None:
+            if skipped and stack[-1][0] == "head" and html.unescape(text).strip():
+                close(len(stack) - 1)
             if not skipped:
                 parts.append((html.unescape(text), link > 0))
             continue
         if not tag:
             continue
         tag = tag.lower()
+        if not closing and tag not in IN_HEAD and stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
         if tag in VOID:
             if tag not in INLINE:
                 flush()
@@ -107,8 +125,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             link = max(0, link - (tag == "a"))
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    skipped -= sum(t in SKIPPED for t, _ in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if tag in RAW:
@@ -116,8 +133,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
             at = end.end() if end else len(page)
             continue
         if tag in ("article", "main"):
-            while any(t == "nav" for t, _ in stack):
-                stack.pop()
+            close(next((k for k, (t, _) in enumerate(stack) if t == "nav"), len(stack)))
         elif tag == "p" or tag == "li":
             if stack and stack[-1][0] == tag:
                 stack.pop()

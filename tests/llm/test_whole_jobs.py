@@ -2,7 +2,7 @@
 
 import pytest
 
-from atril.llm import bpe, urls
+from atril.llm import bpe, html_text, urls
 
 
 def test_bpe_words_of_many_tokens(spark):
@@ -33,3 +33,26 @@ def test_suffixes_outside_the_sample_count(spark, monkeypatch):
     assert urls.judge(pages, max_labelled=30).count() == 61 and all(len(s) == 60 and s["s1"] == pytest.approx(1 / 60) for s in seen) and len(seen) == 2
     monkeypatch.setattr(urls, "MAX_BROADCAST", 5)
     assert urls.judge(pages, max_labelled=30).count() == 61
+
+
+LONG = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><meta x><body><article><p>{LONG}</p></article>",
+        f"<head><title>t</title><article><p>{LONG}</p></article>",
+        f"<head><link rel=x>\n{LONG}",
+        *(f"<div class='{c}'><article><p>{LONG}</p></article></div>" for c in ("has-sidebar", "no-sidebar", "content-sidebar-wrap")),
+        f"<nav><a href=/>x</a><button>Open<article><p>{LONG}</p></article>",
+    ],
+)
+def test_articles_are_not_lost(page):
+    assert html_text.extract(page, html_text.train()).split("\n")[-1] == LONG
+
+
+def test_articles_do_not_undo_navigation():
+    text = f"<main><p>{LONG}</p><nav class=menu><article><p>a</p></article></nav><aside><article>teaser</article></aside><div hidden><article>off</article></div><article><div class=comments><p>nice</p></div></article></main>"
+    found = {b[0]: b[3] for b in html_text.blocks(text)}
+    assert found[LONG] == 1 and found["teaser"] == found["off"] == found["nice"] == -1
