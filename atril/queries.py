@@ -128,15 +128,15 @@ def block_sums(spark, sf_dir):
 
 
 def ratio_ci(spark, sf_dir):
-    return _rounded(bootstrap.ratio_ci(scores(spark, sf_dir), "wer", "system", n=200), "value", "lo", "hi")
+    return _rounded(bootstrap.ratio_ci(scores(spark, sf_dir), "wer", "system"), "value", "lo", "hi")
 
 
 def paired_diff(spark, sf_dir):
-    return _rounded(bootstrap.paired(scores(spark, sf_dir), "wer", 1, 2, n=200), "a", "b", "delta", "lo", "hi", "p_two_sided")
+    return _rounded(bootstrap.paired(scores(spark, sf_dir), "wer", 1, 2), "a", "b", "delta", "lo", "hi", "p_two_sided")
 
 
 def paired_macro_diff(spark, sf_dir):
-    return _rounded(bootstrap.paired(scores(spark, sf_dir), "wer", 1, 2, n=200, strata="condition"), "a", "b", "delta", "lo", "hi", "p_two_sided")
+    return _rounded(bootstrap.paired(scores(spark, sf_dir), "wer", 1, 2, strata="condition"), "a", "b", "delta", "lo", "hi", "p_two_sided")
 
 
 def macro_wer(spark, sf_dir):
@@ -144,7 +144,7 @@ def macro_wer(spark, sf_dir):
 
 
 def macro_ci(spark, sf_dir):
-    return _rounded(bootstrap.macro_ci(scores(spark, sf_dir).where("system = 1"), "wer", "condition", n=200), "value", "lo", "hi")
+    return _rounded(bootstrap.macro_ci(scores(spark, sf_dir).where("system = 1"), "wer", "condition"), "value", "lo", "hi")
 
 
 def leaderboard(spark, sf_dir):
