@@ -207,13 +207,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: each document as often as the mix takes it. Texts are looked up by (doc_id, source, text hash)."""
+    """Pipeline: each document as often as the mix takes it. Texts are looked up by (doc_id, source, text hash).
+
+    Rows that are equal in these share what is taken of them, in the order of their other columns.
+    """
     taken, _ = mix(_sized(docs))
-    votes = taken.where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("total"), F.min("copies").alias("low"), F.max("copies").alias("high"), F.count("*").alias("rows"))
-    key, copies = fresh(docs, "text_key", "copies")
-    votes = materialize(votes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "total"), "votes")
+    votes = taken.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).where("total > 0")
+    key, copies, place = fresh(docs, "text_key", "copies", "place")
+    votes = materialize(votes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "total", "rows"), "votes")
+    repeated = materialize(votes.where("rows > 1"), "repeated")
     columns = [f"`{c}`" for c in docs.columns]
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(votes["__id"]) & keyed["source"].eqNullSafe(votes["__source"]) & (keyed[key] == votes["__hash"])
-    met = keyed.join(votes, on)
-    return met.select(*columns, F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias(copies)).select(*columns)
+
+    def met(votes: DataFrame) -> DataFrame:
+        return keyed.join(votes, keyed["doc_id"].eqNullSafe(votes["__id"]) & keyed["source"].eqNullSafe(votes["__source"]) & (keyed[key] == votes["__hash"]))
+
+    among = Window.partitionBy("__id", "__source", "__hash").orderBy(F.to_json(F.struct(*columns)))
+    shared = met(repeated).withColumn(place, F.row_number().over(among))
+    once = met(votes.where("rows = 1")).select(*columns, F.col("total").alias(copies))
+    several = shared.select(*columns, (F.floor(F.col("total") / F.col("rows")) + (F.col(place) <= F.col("total") % F.col("rows")).cast("long")).alias(copies))
+    return once.unionAll(several).select(*columns, F.explode(F.expr(f"array_repeat(0, cast({copies} as int))"))).select(*columns)

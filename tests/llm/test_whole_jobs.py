@@ -1,8 +1,10 @@
 """Training-data operators on rows that once were cut, wrapped or lost."""
 
+import collections
+
 import pytest
 
-from atril.llm import bpe, html_text, urls
+from atril.llm import bpe, html_text, mixing, urls
 
 
 def test_bpe_words_of_many_tokens(spark):
@@ -56,3 +58,13 @@ def test_articles_do_not_undo_navigation():
     text = f"<main><p>{LONG}</p><nav class=menu><article><p>a</p></article></nav><aside><article>teaser</article></aside><div hidden><article>off</article></div><article><div class=comments><p>nice</p></div></article></main>"
     found = {b[0]: b[3] for b in html_text.blocks(text)}
     assert found[LONG] == 1 and found["teaser"] == found["off"] == found["nice"] == -1
+
+
+def test_mixing_stage_on_repeated_rows(spark):
+    rows = [(1, "one two three", "a")] * 5 + [(1, "other words here", "a"), (None, "no id", None), (None, "no id", None)] + [(k, f"text number {k}", "b") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = collections.Counter()
+    for r in mixing.mix(mixing._sized(docs))[0].collect():
+        want[r.doc_id, r.source, r.text_hash] += r.copies
+    got = collections.Counter(tuple(r) for r in mixing.stage(spark, docs, "").selectExpr("doc_id", "source", "xxhash64(text)").collect())
+    assert got == +want and max(want.values()) > 2
