@@ -19,8 +19,11 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local
+    master (tests); on a cluster nobody but this machine would see that, so there it is an error."""
     if not (base := spark.conf.get("spark.checkpoint.dir", "")):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="atril-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/atril-{spark.sparkContext.applicationId}"

@@ -5,7 +5,10 @@ any such container (nested boxes, 64-bit sizes, several chunks a track, fixed or
 and gives codec, duration and the byte ranges of keyframes without touching the payload.
 
 Nulls count as empty; an empty payload is one sample of spaces. The container holds no times, so equal payloads are
-equal containers. Containers that are cut off or have no track give a null codec, zero samples and no keyframes.
+equal containers. Containers that are cut off or have no track give a null codec, zero samples and no keyframes; counts
+in damaged tables are cut to what the tables hold and sample ranges outside the file read as far as the file goes.
+Repeated rows come back as often as they occur, an empty table gives no rows, and columns other than doc_id and text are
+not read, whatever their names. Durations of over 2**32 - 1 samples are written with 64 bits (version 1 boxes).
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from .common import as_bytes, materialize
 UNIT, RATE = 192, 8000
 #: A keyframe every so many samples, a chunk of so many.
 KEY_EVERY, CHUNK = 16, 64
+#: Containers in containers that are looked into; files need six.
+DEPTH = 16
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
 
@@ -37,8 +42,8 @@ def box(kind: bytes, *parts: bytes) -> bytes:
     return struct.pack(">I4s", len(body) + 8, kind) + body if len(body) + 8 < 1 << 32 else struct.pack(">I4sQ", 1, kind, len(body) + 16) + body
 
 
-def full(kind: bytes, *parts: bytes, flags: int = 0) -> bytes:
-    return box(kind, struct.pack(">I", flags), *parts)
+def full(kind: bytes, *parts: bytes, flags: int = 0, version: int = 0) -> bytes:
+    return box(kind, struct.pack(">I", version << 24 | flags), *parts)
 
 
 def mux(payload: bytes) -> bytes:
@@ -62,11 +67,13 @@ def mux(payload: bytes) -> bytes:
             full(b"stsz", struct.pack(">II", UNIT, n)),
             full(b"co64" if wide else b"stco", struct.pack(">I", chunks), at.astype(">u8" if wide else ">u4").tobytes()),
         )
-        length = min(n * UNIT, (1 << 32) - 1)
+        length = n * UNIT
+        long = length >= 1 << 32
+        stamps = struct.pack(">QQIQ", 0, 0, RATE, length) if long else struct.pack(">IIII", 0, 0, RATE, length)
         minf = box(b"minf", full(b"smhd", bytes(4)), box(b"dinf", full(b"dref", struct.pack(">I", 1), full(b"url ", flags=1))), table)
-        mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, RATE, length, 0x55C4, 0)), full(b"hdlr", bytes(4), b"soun", bytes(13)), minf)
-        tkhd = full(b"tkhd", struct.pack(">IIIII", 0, 0, 1, 0, length), bytes(8), struct.pack(">HHHH", 0, 0, 1 << 8, 0), matrix, bytes(8), flags=7)
-        mvhd = full(b"mvhd", struct.pack(">IIIIIH", 0, 0, RATE, length, 1 << 16, 1 << 8), bytes(10), matrix, bytes(24), struct.pack(">I", 2))
+        mdia = box(b"mdia", full(b"mdhd", stamps, struct.pack(">HH", 0x55C4, 0), version=long), full(b"hdlr", bytes(4), b"soun", bytes(13)), minf)
+        tkhd = full(b"tkhd", struct.pack(">QQIIQ" if long else ">IIIII", 0, 0, 1, 0, length), bytes(8), struct.pack(">HHHH", 0, 0, 1 << 8, 0), matrix, bytes(8), flags=7, version=long)
+        mvhd = full(b"mvhd", stamps, struct.pack(">IH", 1 << 16, 1 << 8), bytes(10), matrix, bytes(24), struct.pack(">I", 2), version=long)
         return box(b"moov", mvhd, box(b"trak", tkhd, mdia))
 
     body = box(b"mdat", payload)
@@ -90,43 +97,80 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start = stop
 
 
-def walk(data: memoryview, start: int, end: int, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    for k, (kind, a, b) in enumerate(boxes(data, start, end)):
-        here = (*path, (kind, k))
-        yield here, a, b
-        if kind in CONTAINERS:
-            yield from walk(data, a, b, here)
+def walk(data: memoryview, start: int, end: int, depth: int = 0) -> Iterator[tuple[bytes, int, int, int]]:
+    """(kind, start, end, depth) of all boxes in a range, those in containers after the container itself."""
+    for kind, a, b in boxes(data, start, end):
+        yield kind, a, b, depth
+        if kind in CONTAINERS and depth < DEPTH:
+            yield from walk(data, a, b, depth + 1)
+
+
+NO_TRACK = {"codec": None, "timescale": 0, "duration": 0, "samples": 0, "offset": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "keyframes": np.zeros(0, np.int64)}
+#: Bytes that each table needs at the least.
+LEAST = {b"mdhd": 24, b"stsd": 16, b"stsz": 12, b"stsc": 8, b"stts": 8}
+
+
+def tracks(media: bytes) -> list[dict]:
+    """What ``demux`` tells, of each track in the order of the file; tracks without whole sample tables are left out."""
+    data, parts = memoryview(media), []
+    for kind, a, b, _ in walk(data, 0, len(data)):
+        if kind == b"trak":
+            parts.append({})
+        elif parts:
+            parts[-1].setdefault(kind, data[a:b])
+    return [t for p in parts if (t := _track(p, len(data)))]
+
+
+def _track(found: dict[bytes, memoryview], length: int) -> dict | None:
+    """Samples of one track. Counts that its tables do not bear out are cut to what the tables hold, and samples of a
+    fixed size to what a file of ``length`` bytes can hold, so nothing is made that is larger than the file."""
+    if any(len(found.get(k, b"")) < n for k, n in LEAST.items()):
+        return None
+    offsets, item = (found[b"stco"], ">u4") if b"stco" in found else (found.get(b"co64", b""), ">u8")
+
+    def column(table: memoryview, skip: int, width: int = 1, item: str = ">u4") -> np.ndarray:
+        """The rows that the table declares and has room for."""
+        step = np.dtype(item).itemsize * width
+        if len(table) < skip:
+            return np.zeros((0, width), np.int64)
+        n = min(int.from_bytes(table[skip - 4 : skip], "big"), (len(table) - skip) // step)
+        return np.frombuffer(table[skip : skip + n * step], item).astype(np.int64).reshape(-1, width)
+
+    head = found[b"mdhd"]
+    if head[0] == 1 and len(head) < 32:
+        return None
+    timescale, duration = struct.unpack_from(">IQ", head, 20) if head[0] == 1 else struct.unpack_from(">II", head, 12)
+    even, n = struct.unpack_from(">II", found[b"stsz"], 4)
+    chunk = column(offsets, 8, item=item)[:, 0]
+    runs = column(found[b"stsc"], 8, 3)
+    first, each = runs[:, 0], runs[:, 1]
+    ordered = len(first) and first[0] == 1 and (np.diff(first) > 0).all()
+    if not len(chunk) or not ordered:
+        return None
+    first, each = first[first <= len(chunk)], each[first <= len(chunk)]
+    last = np.append(first[1:], len(chunk) + 1)
+    timed = int(column(found[b"stts"], 8, 2)[:, 0].sum())
+    held = min(int(((last - first) * each).sum()), n, timed)
+    size = np.full(min(held, length // even), even, np.int64) if even else column(found[b"stsz"], 12)[:held, 0]
+    of = np.repeat(np.arange(len(chunk)), _capped(np.repeat(each, last - first), len(size)))
+    before = np.concatenate([[0], size.cumsum()])
+    opens = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    start = np.repeat(before[opens], np.diff(np.append(opens, len(of))))
+    keys = column(found[b"stss"], 8)[:, 0] - 1 if b"stss" in found else np.arange(len(of))
+    keys = keys[(keys >= 0) & (keys < len(of))]
+    return {"codec": bytes(found[b"stsd"][12:16]).decode("latin-1"), "timescale": timescale, "duration": duration, "samples": len(of), "offset": chunk[of] + before[: len(of)] - start, "size": size[: len(of)], "keyframes": keys}
+
+
+def _capped(each: np.ndarray, most: int) -> np.ndarray:
+    """Samples of each chunk until ``most`` are used up."""
+    ends = np.minimum(each.cumsum(), most)
+    return np.diff(ends, prepend=0)
 
 
 def demux(media: bytes) -> dict:
-    """codec, timescale, duration, samples, offsets and sizes of samples, keyframes (sample numbers from 0), of the first track."""
-    data, found = memoryview(media), {}
-    for path, a, b in walk(data, 0, len(data)):
-        found.setdefault(path[-1][0], (a, b))
-    out = {"codec": None, "timescale": 0, "duration": 0, "samples": 0, "offset": np.zeros(0, np.int64), "size": np.zeros(0, np.int64), "keyframes": np.zeros(0, np.int64)}
-    offsets = found.get(b"stco") or found.get(b"co64")
-    if not offsets or not {b"mdhd", b"stsd", b"stsz", b"stsc", b"stts"} <= found.keys():
-        return out
-
-    def column(kind: bytes, skip: int, width: int, item: str = ">u4") -> np.ndarray:
-        a, b = found[kind]
-        return np.frombuffer(data[a + skip : b], item).astype(np.int64).reshape(-1, width)
-
-    at = found[b"mdhd"][0]
-    out["timescale"], out["duration"] = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    out["codec"] = bytes(data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16]).decode("latin-1")
-    even, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    size = np.full(n, even, np.int64) if even else column(b"stsz", 12, 1)[:n, 0]
-    chunk = column(b"stco", 8, 1)[:, 0] if b"stco" in found else column(b"co64", 8, 1, ">u8")[:, 0]
-    first, each, _ = column(b"stsc", 8, 3).T
-    last = np.append(first[1:], len(chunk) + 1)
-    samples = np.repeat(each, last - first)[: len(chunk)]
-    of = np.repeat(np.arange(len(samples)), samples)[:n]
-    before = np.concatenate([[0], size.cumsum()])
-    opens = np.concatenate([[0], samples.cumsum()])[:-1]
-    offset = chunk[of] + before[:-1][: len(of)] - before[np.minimum(opens[of], n)]
-    keys = column(b"stss", 8, 1)[:, 0] - 1 if b"stss" in found else np.arange(n)
-    return out | {"samples": n, "offset": offset, "size": size, "keyframes": keys}
+    """codec, timescale, duration, samples, offsets and sizes of samples, keyframes (sample numbers from 0), of the first
+    track that has whole tables; NO_TRACK where there is none. A box's range outside the file ends the walk there."""
+    return next(iter(tracks(media)), NO_TRACK)
 
 
 def payload_of(media: bytes, info: dict) -> bytes:
