@@ -7,9 +7,10 @@ of its words, in the order of a seeded hash of id and text; at most one document
 and those few are taken or left from the largest down so that the pattern's sum comes as near as it can.
 
 The driver gets sums for each (pattern, size class), never rows: ``MAX_PATTERNS`` bounds the patterns and the
-sources, and a larger number raises. Rows with a null source form the source that comes last. Null texts have size 0 and are not taken.
+sources, and a larger number raises. Documents with an empty array of sources belong to none and are not taken. Rows with a null source form the source that comes last. Null texts have size 0 and are not taken.
 Repeated rows are separate documents; where a cut falls among equal rows, it does not matter which of them is taken.
-An empty table has no sources and gives no rows. Reruns agree.
+An empty table has no sources and gives no rows. Very long documents count whole; where one lies across a cut, its
+pattern misses its words by at most half of it. Columns of any names pass through. Reruns agree.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ TOTAL = 1.5
 #: Copies of a document at most.
 COPIES = 2
 SEED = 7
-#: Slices of the seeded order within a (pattern, size class).
-SLICES = 1024
+#: A cut is looked for in slices of the seeded order, BITS of its bits a step, so that rows met in one window are about
+#: 2**-20 of those of a (pattern, size class).
+BITS, STEPS = 10, 2
+#: Rows of the plan that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 50_000
 #: Distinct patterns, and distinct sources, that the driver plans for at most; more raise an error.
 MAX_PATTERNS = 100_000
 WORD = r"[^\x20\x09-\x0D]++"
@@ -54,53 +58,101 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, to
     return out
 
 
-def flow(capacity: dict[tuple, int], quota: dict[str | None, int], copies: int = COPIES) -> dict[tuple[tuple, str | None], int]:
-    """Min-cost flow: words from each pattern to each of its sources.
+class _Net:
+    """A residual network: arcs k and k ^ 1 are each other's way back."""
 
-    A pattern's k-th copy of its words costs k - 1 a word. Shortest augmenting paths in the residual graph; arcs
-    carry whole numbers, and as costs are whole numbers below ``copies`` times the nodes, few distances occur.
-    """
-    start, end = ("start",), ("end",)
-    arcs: list[list] = []  # to, capacity, cost
-    out: dict[tuple, list[int]] = {}
+    def __init__(self):
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.cost: list[int] = []
+        self.out: list[list[int]] = []
+
+    def node(self) -> int:
+        self.out.append([])
+        return len(self.out) - 1
 
-    def arc(a, b, room, cost):
+    def arc(self, a: int, b: int, room: int, cost: int = 0) -> int:
         for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            out.setdefault(x, []).append(len(arcs))
-            arcs.append([y, r, c])
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+            self.cost.append(c)
+        return len(self.to) - 2
+
+    def distances(self, start: int) -> list[float]:
+        """Least cost of a path to each node."""
+        best, todo, queued = [float("inf")] * len(self.out), deque([start]), {start}
+        best[start] = 0
+        while todo:
+            node = todo.popleft()
+            queued.discard(node)
+            for k in self.out[node]:
+                if self.room[k] and best[node] + self.cost[k] < best[self.to[k]]:
+                    best[self.to[k]] = best[node] + self.cost[k]
+                    if self.to[k] not in queued:
+                        queued.add(self.to[k])
+                        todo.append(self.to[k])
+        return best
+
+    def push(self, start: int, end: int, best: list[float]) -> bool:
+        """A blocking flow over the arcs on cheapest paths, fewest arcs first; whether any was found."""
+        on = lambda node, k: self.room[k] and best[node] + self.cost[k] == best[self.to[k]]
+        level, todo = {start: 0}, deque([start])
+        while todo:
+            node = todo.popleft()
+            for k in self.out[node]:
+                if self.to[k] not in level and on(node, k):
+                    level[self.to[k]] = level[node] + 1
+                    todo.append(self.to[k])
+        if end not in level:
+            return False
+        at, path, node = [0] * len(self.out), [], start
+        while True:
+            if node == end:
+                room = min(self.room[k] for k in path)
+                for k in path:
+                    self.room[k] -= room
+                    self.room[k ^ 1] += room
+                full = next(j for j, k in enumerate(path) if not self.room[k])
+                node = self.to[path[full] ^ 1]
+                del path[full:]
+            elif at[node] < len(self.out[node]):
+                k = self.out[node][at[node]]
+                if level.get(self.to[k]) == level[node] + 1 and on(node, k):
+                    path.append(k)
+                    node = self.to[k]
+                else:
+                    at[node] += 1
+            elif path:
+                node = self.to[path.pop() ^ 1]
+                at[node] += 1
+            else:
+                return True
+
+
+def flow(capacity: dict[tuple, int], quota: dict[str | None, int], copies: int = COPIES) -> dict[tuple[tuple, str | None], int]:
+    """Min-cost flow: words from each pattern to each of its sources.
 
+    A pattern's k-th copy of its words costs k - 1 a word. Primal-dual: for each distance of the end, and there are few
+    as costs are small whole numbers, blocking flows over the arcs on cheapest paths; work grows with the arcs times a
+    few phases.
+    """
+    net = _Net()
+    start, end = net.node(), net.node()
+    sources = {s: net.node() for s in quota}
     routes = {}
     for pattern, words in capacity.items():
+        node = net.node()
         for k in range(copies):
-            arc(start, ("pattern", pattern), words, k)
+            net.arc(start, node, words, k)
         for s in pattern:
-            routes[pattern, s] = len(arcs)
-            arc(("pattern", pattern), ("source", s), copies * words, 0)
+            routes[pattern, s] = net.arc(node, sources[s], copies * words)
     for s, words in quota.items():
-        arc(("source", s), end, words, 0)
-    while True:
-        best, back, todo, queued = {start: 0}, {}, deque([start]), {start}
-        while todo:
-            node = todo.popleft()
-            queued.discard(node)
-            for k in out.get(node, ()):
-                to, room, cost = arcs[k]
-                if room > 0 and best[node] + cost < best.get(to, 1 << 60):
-                    best[to], back[to] = best[node] + cost, k
-                    if to not in queued:
-                        queued.add(to)
-                        todo.append(to)
-        if end not in best:
-            break
-        path, node = [], end
-        while node != start:
-            path.append(back[node])
-            node = arcs[back[node] ^ 1][0]
-        room = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= room
-            arcs[k ^ 1][1] += room
-    return {r: arcs[k ^ 1][1] for r, k in routes.items() if arcs[k ^ 1][1]}
+        net.arc(sources[s], end, words)
+    while (best := net.distances(start))[end] < float("inf"):
+        while net.push(start, end, best):
+            pass
+    return {r: net.room[k ^ 1] for r, k in routes.items() if net.room[k ^ 1]}
 
 
 @dataclass(frozen=True)
@@ -113,85 +165,128 @@ class Plan:
     cuts: list[tuple]
 
 
-def _keyed(df: DataFrame, size: str, members: str, names: list[str]) -> DataFrame:
-    """``df`` with the pattern's key, the size class, the seeded order and its slice."""
-    pattern, level, order, part = names
-    texts = [F.col(f"`{c}`") for c in ("doc_id", "text_hash") if c in df.columns]
+@dataclass(frozen=True)
+class _Names:
+    """Columns that ``mix`` adds to its rows while it works, chosen so that none of the rows' own is hit."""
+
+    size: str
+    members: str
+    pattern: str
+    level: str
+    order: str
+    slice: str
+    whole: str
+    rest: str
+    across: str
+    ahead: str
+    words: str
+
+    @classmethod
+    def of(cls, rows: DataFrame, size: str, members: str) -> _Names:
+        return cls(size, members, *fresh(rows, "pattern_key", "size_level", "seeded_order", "order_slice", "whole_copies", "words_left", "across_cut", "words_ahead", "words_sum"))
+
+
+def _keyed(df: DataFrame, c: _Names) -> DataFrame:
+    """``df`` with the pattern's key, the size class and the seeded order."""
+    texts = [F.col(f"`{t}`") for t in ("doc_id", "text_hash") if t in df.columns]
+    size = F.col(f"`{c.size}`")
     return (
-        df.withColumn(pattern, F.to_json(F.struct(F.sort_array(F.array_distinct(F.col(f"`{members}`"))).alias("m")), {"ignoreNullFields": "false"}))
-        .withColumn(level, F.floor(F.log2(F.greatest(F.col(f"`{size}`"), F.lit(1)).cast("double"))).cast("int"))
-        .withColumn(order, F.xxhash64(F.lit(SEED), *texts, F.col(f"`{size}`")))
-        .withColumn(part, F.shiftrightunsigned(F.col(order), 54).cast("int"))
+        df.withColumn(c.pattern, F.to_json(F.struct(F.sort_array(F.array_distinct(F.col(f"`{c.members}`"))).alias("m")), {"ignoreNullFields": "false"}))
+        .withColumn(c.level, F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int"))
+        .withColumn(c.order, F.xxhash64(F.lit(SEED), *texts, size))
     )
 
 
-def _cut(rows: DataFrame, cuts: DataFrame, size: str, names: list[str]) -> DataFrame:
-    """Rows in a cut's slice, with the words before each."""
-    pattern, level, order, part = names
-    near = rows.join(cuts, on=(rows[pattern] == cuts["pattern"]) & (rows[level] == cuts["level"]) & (rows[part] == cuts["slice"]))
-    ahead = Window.partitionBy(pattern, level).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return near.withColumn("ahead", F.coalesce(F.sum(size).over(ahead), F.lit(0)))
+def _slice(c: _Names, steps: int) -> Column:
+    """The first ``steps`` times BITS bits of the seeded order."""
+    return F.shiftrightunsigned(F.col(c.order), 64 - BITS * steps)
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """``rows`` for a join: broadcast up to MAX_BROADCAST of them."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= MAX_BROADCAST else made
+
+
+def _near(keyed: DataFrame, cuts: list[tuple], c: _Names, steps: int) -> DataFrame:
+    """Rows in the slice of a cut (pattern, level, slice, words left), with the last of these."""
+    plan = _table(keyed.sparkSession, cuts, f"{c.pattern} string, {c.level} int, {c.slice} long, {c.rest} double")
+    return keyed.withColumn(c.slice, _slice(c, steps)).join(plan, [c.pattern, c.level, c.slice])
+
+
+def _cut(sums: DataFrame, wanted: list[tuple], c: _Names) -> list[tuple]:
+    """(pattern, level, slice, words left in it) where the words summed by slice reach those wanted (pattern, level, words).
+
+    At most 2**BITS rows a (pattern, level) are summed in a window. Where less words are there, the slice is -1.
+    """
+    want = _table(sums.sparkSession, wanted, f"{c.pattern} string, {c.level} int, {c.rest} double")
+    run = Window.partitionBy(c.pattern, c.level).orderBy(c.slice)
+    upto = sums.join(want, [c.pattern, c.level]).withColumn(c.ahead, F.sum(c.words).over(run))
+    met = upto.where(F.col(c.ahead) >= F.col(c.rest)).groupBy(c.pattern, c.level).agg(F.min_by(F.struct(c.slice, (F.col(c.rest) - F.col(c.ahead) + F.col(c.words)).alias("left")), c.slice).alias("met"))
+    found = {(r[0], r[1]): (r["met"][0], r["met"][1]) for r in met.collect()}
+    return [(k, lv, *found.get((k, lv), (-1, 0.0))) for k, lv, _ in wanted]
 
 
 def mix(rows: DataFrame, size: str = "size", members: str = "members", total: float = TOTAL, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, Plan]:
     """``rows`` with a column ``copies`` (0, 1, 2), and the plan.
 
     rows: any columns, among them the words of each document, an array of its sources, ``doc_id`` and, where there
-    is one, ``text_hash`` (the two seed the order). The frame is read three times: it should be a written table.
+    is one, ``text_hash`` (the two seed the order); a column ``copies`` of theirs is replaced. The frame is read five
+    times: it should be a written table.
     """
-    spark = rows.sparkSession
-    names = fresh(rows, "pattern_key", "size_level", "seeded_order", "order_slice")
-    pattern, level, order, part = names
-    keyed = _keyed(rows, size, members, names)
-    sums = materialize(keyed.where(F.col(f"`{size}`") > 0).groupBy(pattern, level, part).agg(F.sum(size).alias("words"), F.first(members).alias("members")), "mix-sums")
-    per_pattern = sums.groupBy(pattern).agg(F.sum("words").alias("words"), F.first("members").alias("members"))
-    found = per_pattern.limit(MAX_PATTERNS + 1).collect()
+    spark, columns = rows.sparkSession, [f"`{x}`" for x in rows.columns if x.lower() != "copies"]
+    rows = rows.select(*columns)
+    c = _Names.of(rows, size, members)
+    keyed = _keyed(rows, c)
+    words = F.col(f"`{size}`")
+    by = [c.pattern, c.level, c.slice]
+    some = keyed.where(words > 0)
+    sums = materialize(some.withColumn(c.slice, _slice(c, 1)).groupBy(*by).agg(F.sum(words).alias(c.words), F.first(f"`{members}`").alias("members")), "mix-sums")
+    found = sums.groupBy(c.pattern).agg(F.sum(c.words).alias("words"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    key = {r[pattern]: tuple(sorted(set(r["members"]), key=lambda s: (s is None, s or ""))) for r in found}
-    capacity = {key[r[pattern]]: r["words"] for r in found}
-    named = keyed.select(F.explode(members).alias("s")).distinct().limit(MAX_PATTERNS + 1).collect()
+    key = {r[c.pattern]: tuple(sorted(set(r["members"]), key=lambda s: (s is None, s or ""))) for r in found}
+    capacity = {key[r[c.pattern]]: r["words"] for r in found}
+    named = keyed.select(F.explode(f"`{members}`").alias("s")).distinct().limit(MAX_PATTERNS + 1).collect()
     if len(named) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} sources")
     sizes = dict.fromkeys((r["s"] for r in named), 0)
-    for p, words in capacity.items():
+    for p, n in capacity.items():
         for s in p:
-            sizes[s] += words
+            sizes[s] += n
     goal = targets(sizes, weights, total)
     routes = flow(capacity, {s: round(t) for s, t in goal.items()})
     taken = {p: sum(routes.get((p, s), 0) for s in p) for p in capacity}
 
-    levels = {(r[pattern], r[level]): r["words"] for r in sums.groupBy(pattern, level).agg(F.sum("words").alias("words")).collect()}
-    wanted = []
-    for (k, lv), words in sorted(levels.items()):
-        whole, rest = divmod(taken[key[k]], capacity[key[k]])
-        wanted.append((k, lv, int(whole), float(rest) * words / capacity[key[k]]))
-    want = spark.createDataFrame(wanted, "pattern string, level int, whole int, want double")
-    run = Window.partitionBy(pattern, level).orderBy(part)
-    summed = sums.withColumn("upto", F.sum("words").over(run))
-    cut = want.join(summed, (want["pattern"] == summed[pattern]) & (want["level"] == summed[level]) & (F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("words") < F.col("want")), "left")
-    cuts = [(r["pattern"], r["level"], r["whole"], -1 if r[part] is None else r[part], r["want"] - ((r["upto"] or 0) - (r["words"] or 0)) if r[part] is not None else 0.0) for r in cut.collect()]
-    schema = "pattern string, level int, whole int, slice int, rest double, across boolean"
-    table = lambda c: F.broadcast(spark.createDataFrame(c, schema))  # noqa: E731  patterns times about 40 classes at most
-    across = _cut(keyed, table([(*c, None) for c in cuts]), size, names).where((F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col(f"`{size}`") >= F.col("rest")))
-    lying = {(r["pattern"], r["level"]): (r["ahead"], r["n"]) for r in across.select("pattern", "level", "ahead", F.col(f"`{size}`").alias("n")).collect()}
+    levels = {(r[0], r[1]): r[2] for r in sums.groupBy(c.pattern, c.level).agg(F.sum(c.words)).collect()}
+    whole, wanted = {}, []
+    for (k, lv), n in sorted(levels.items()):
+        whole[k, lv], rest = divmod(taken[key[k]], capacity[key[k]])
+        wanted.append((k, lv, float(rest) * n / capacity[key[k]]))
+    cuts = _cut(sums, wanted, c)
+    for step in range(2, STEPS + 1):
+        finer = _near(some, cuts, c, step - 1).withColumn(c.slice, _slice(c, step)).groupBy(*by).agg(F.sum(words).alias(c.words))
+        cuts = _cut(finer, [(k, lv, rest) for k, lv, _, rest in cuts], c)
+    ahead = Window.partitionBy(c.pattern, c.level).orderBy(c.order).rowsBetween(Window.unboundedPreceding, -1)
+    at_cut = lambda df, plan: _near(df, plan, c, STEPS).withColumn(c.ahead, F.coalesce(F.sum(words).over(ahead), F.lit(0)))
+    lies = (F.col(c.ahead) < F.col(c.rest)) & (F.col(c.ahead) + words >= F.col(c.rest))
+    lying = {(r[0], r[1]): (r[2], r[3]) for r in at_cut(some, cuts).where(lies).select(c.pattern, c.level, c.ahead, words).collect()}
     decided, owed = [], {}
-    for k, lv, whole, at, rest in sorted(cuts, key=lambda c: (c[0], -c[1])):
-        ahead, n = lying.get((k, lv), (rest, 0))
-        owed[k] = owed.get(k, 0.0) + rest - ahead
-        if across_too := n > 0 and owed[k] >= n / 2:
+    for k, lv, at, rest in sorted(cuts, key=lambda x: (x[0], -x[1])):
+        before, n = lying.get((k, lv), (rest, 0))
+        owed[k] = owed.get(k, 0.0) + rest - before
+        if across := n > 0 and owed[k] >= n / 2:
             owed[k] -= n
-        decided.append((k, lv, whole, at, rest, across_too))
+        decided.append((k, lv, int(whole[k, lv]), at, rest, across))
 
-    plan = table(decided)
-    away = keyed.join(plan, (keyed[pattern] == plan["pattern"]) & (keyed[level] == plan["level"]), "left")
-    away = away.where((F.col(f"`{part}`") != F.col("slice")) | F.col("slice").isNull()).withColumn("copies", F.when(F.col(f"`{size}`") == 0, 0).otherwise(F.coalesce(F.col("whole") + (F.col(f"`{part}`") < F.col("slice")).cast("int"), F.lit(0))))
-    at_cut = _cut(keyed, plan, size, names)
-    in_full = F.col("ahead") + F.col(f"`{size}`") < F.col("rest")
-    lies = (F.col("ahead") < F.col("rest")) & ~in_full
-    at_cut = at_cut.withColumn("copies", F.when(F.col(f"`{size}`") == 0, 0).otherwise(F.col("whole") + (in_full | (lies & F.col("across"))).cast("int")))
-    columns = [f"`{c}`" for c in rows.columns]
-    return away.select(*columns, "copies").unionAll(at_cut.select(*columns, "copies")), Plan(sizes, goal, routes, decided)
+    plan = _table(spark, decided, f"{c.pattern} string, {c.level} int, {c.whole} int, {c.ahead} long, {c.rest} double, {c.across} boolean")
+    met = keyed.withColumn(c.slice, _slice(c, STEPS)).join(plan, [c.pattern, c.level], "left")
+    before = F.col(c.slice) < F.col(c.ahead)
+    away = met.where(~F.col(c.slice).eqNullSafe(F.col(c.ahead)) | (words == 0)).withColumn("copies", F.when(words == 0, 0).otherwise(F.coalesce(F.col(c.whole) + before.cast("int"), F.lit(0))))
+    inside = at_cut(some, [(k, lv, at, rest) for k, lv, _, at, rest, _ in decided]).join(_table(spark, [(k, lv, w, x) for k, lv, w, _, _, x in decided], f"{c.pattern} string, {c.level} int, {c.whole} int, {c.across} boolean"), [c.pattern, c.level])
+    full = F.col(c.ahead) + words < F.col(c.rest)
+    inside = inside.withColumn("copies", F.col(c.whole) + (full | (lies & F.col(c.across))).cast("int"))
+    return away.select(*columns, "copies").unionAll(inside.select(*columns, "copies")), Plan(sizes, goal, routes, decided)
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -212,18 +307,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that are equal in these share what is taken of them, in the order of their other columns.
     """
     taken, _ = mix(_sized(docs))
-    votes = taken.groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("total"), F.count("*").alias("rows")).where("total > 0")
-    key, copies, place = fresh(docs, "text_key", "copies", "place")
-    votes = materialize(votes.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), "total", "rows"), "votes")
-    repeated = materialize(votes.where("rows > 1"), "repeated")
+    key, copies, place, i, source, text_hash, total, rows = fresh(docs, "text_key", "times", "place", "vote_id", "vote_source", "vote_hash", "vote_total", "vote_rows")
+    votes = taken.groupBy(F.col("doc_id").alias(i), F.col("source").alias(source), F.col("text_hash").alias(text_hash)).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
+    votes = materialize(votes.where(f"{total} > 0"), "votes")
+    repeated = materialize(votes.where(f"{rows} > 1"), "repeated")
     columns = [f"`{c}`" for c in docs.columns]
     keyed = docs.withColumn(key, F.xxhash64("text"))
 
     def met(votes: DataFrame) -> DataFrame:
-        return keyed.join(votes, keyed["doc_id"].eqNullSafe(votes["__id"]) & keyed["source"].eqNullSafe(votes["__source"]) & (keyed[key] == votes["__hash"]))
+        return keyed.join(votes, keyed["doc_id"].eqNullSafe(votes[i]) & keyed["source"].eqNullSafe(votes[source]) & (keyed[key] == votes[text_hash]))
 
-    among = Window.partitionBy("__id", "__source", "__hash").orderBy(F.to_json(F.struct(*columns)))
+    among = Window.partitionBy(i, source, text_hash).orderBy(F.to_json(F.struct(*columns)))
     shared = met(repeated).withColumn(place, F.row_number().over(among))
-    once = met(votes.where("rows = 1")).select(*columns, F.col("total").alias(copies))
-    several = shared.select(*columns, (F.floor(F.col("total") / F.col("rows")) + (F.col(place) <= F.col("total") % F.col("rows")).cast("long")).alias(copies))
+    once = met(votes.where(f"{rows} = 1")).select(*columns, F.col(total).alias(copies))
+    several = shared.select(*columns, (F.floor(F.col(total) / F.col(rows)) + (F.col(place) <= F.col(total) % F.col(rows)).cast("long")).alias(copies))
     return once.unionAll(several).select(*columns, F.explode(F.expr(f"array_repeat(0, cast({copies} as int))"))).select(*columns)
