@@ -1,47 +1,71 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page becomes a flat list of blocks, each with its word count, its link density, those of its neighbours, and what it
-lies in: an article or main element, an element that says that it is something else (by its tag, class, id, role), or
-neither. The innermost of these counts, but an article inside a navigation or hidden element stays that; words of a
-wrapper's class or id (``has-sidebar``) do not hold for an article or main element inside it. A decision tree, trained at start-up on ``LABELLED``, tells main text from the rest; the last two columns of
-the table say what the block lies in, because a page's shortest paragraphs cannot be told from menus by counts alone.
+A page becomes a flat list of blocks, each with its word count, its link density and those of its neighbours. A decision
+tree, trained at start-up on ``LABELLED``, tells main text from the rest. It asks counts and densities first; only where
+these leave a mixed group does it also ask what the block lies in (``container``): an article or main element, an element
+that says that it is something else (by its tag, class, id, role), or neither. That last question is needed because a
+heading of one word and an advert of six have the same counts. The innermost telling element counts, but an article
+inside a navigation or hidden element stays that; words of a wrapper's class or id (``has-sidebar``) do not hold for an
+article or main element inside it.
 
 Null html gives an empty text. White space (Unicode's, after character references are decoded) becomes one space
-within a block; blocks without words vanish. Tags may be unclosed, attributes unquoted, comments cut off. Repeated
-rows come back as they are.
+within a block; blocks without words vanish. Tags may be unclosed, attributes unquoted, comments cut off, elements nested
+to any depth; the walk is linear in the page. Ties in the tree's training go to the earlier feature and the lower cut, so
+every worker grows the same tree. Repeated rows come back as they are, an empty table gives no rows, and columns other
+than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "container", "page has an article")
-#: Labelled blocks: FEATURES and whether the block is main text. Container: 1 article, 0 neither, -1 something else.
-LABELLED = """
- 40 0.0  35 0.0  60 0.0  1 1  1 |  1 0.0  80 0.0   2 0.0  1 1  1 |  2 0.0   0 0.0  90 0.0  1 1  1 |  3 1.0  20 0.0  30 0.0  1 1  1
-  8 0.9   5 1.0   6 1.0  1 1  1 | 12 0.0   1 0.0   0 0.0  1 1  1 |200 0.1  30 0.0  12 0.0  1 1  1 |  5 0.0   4 1.0   3 1.0  1 1  1
- 60 0.0  40 0.0   0 0.0 -1 1  0 |  1 1.0   1 1.0   1 1.0 -1 1  0 | 90 0.0  80 0.0  70 0.0 -1 1  0 | 10 0.0   0 0.0  12 0.0 -1 1  0
- 30 0.0  20 0.0  25 0.0 -1 0  0 |  2 1.0   2 1.0  50 0.0 -1 0  0 |120 0.0  60 0.0  60 0.0 -1 0  0 |  6 0.2  40 0.0   8 0.4 -1 0  0
- 50 0.0  60 0.0  45 0.0  0 1  0 |  1 0.0   2 0.0   1 0.0  0 1  0 | 25 0.1  12 0.3  40 0.0  0 1  0 |  9 0.8   8 0.9   7 0.9  0 1  0
- 70 0.0  12 0.0  15 0.0  0 1  0 |  4 0.0  30 0.0   0 0.0  0 1  0 | 15 0.0   3 1.0  80 0.0  0 1  0 |100 0.0  90 0.0  95 0.0  0 1  0
- 40 0.0  35 0.0  60 0.0  0 0  1 | 18 0.0  50 0.0  20 0.0  0 0  1 | 25 0.1   3 1.0  80 0.0  0 0  1 | 90 0.2  20 0.0   4 0.9  0 0  1
- 16 0.0  22 0.1  17 0.0  0 0  1 | 60 0.0   0 0.0   0 0.0  0 0  1 | 22 0.3  40 0.0  35 0.0  0 0  1 | 33 0.0   2 1.0   2 1.0  0 0  1
-  6 0.0   2 1.0  70 0.0  0 0  1 |  9 0.0  60 0.0  40 0.0  0 0  1 |  2 0.0  45 0.0  30 0.0  0 0  1 | 11 0.0   0 0.0  55 0.0  0 0  1
-  3 0.0  30 0.0  25 0.0  0 0  1 |  8 0.0  20 0.0  18 0.0  0 0  1 |  1 0.0  90 0.0  60 0.0  0 0  1 |  5 0.1  16 0.0  40 0.0  0 0  1
-  1 1.0   1 1.0   1 1.0  0 0  0 |  3 1.0   2 1.0  60 0.0  0 0  0 | 20 0.9  10 0.8  12 0.9  0 0  0 | 40 0.7  30 0.0  50 0.0  0 0  0
-  4 0.0   3 1.0   2 1.0  0 0  0 |  6 0.0  50 0.0   0 0.0  0 0  0 |  3 0.0   4 0.0   2 0.0  0 0  0 |  9 0.0   5 0.0   3 0.0  0 0  0
-  7 0.6  30 0.0  40 0.0  0 0  0 |  2 0.0   0 0.0   5 1.0  0 0  0 | 10 0.0  40 0.0   6 0.0  0 0  0 | 17 0.5   8 1.0   9 1.0  0 0  0
-"""
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "container")
+#: Features that the upper levels of the tree may ask, and how many levels these are.
+COUNTS, COUNT_LEVELS = 6, 3
+#: Labelled blocks, one group a kind: FEATURES and whether the block is main text. Container: 1 article, 0 neither, -1 something else.
+LABELLED = {
+    "menu entries": """1 1.0 0 0.0 1 1.0 -1 0 | 1 1.0 1 1.0 1 1.0 -1 0 | 2 1.0 1 1.0 2 1.0 -1 0 | 1 1.0 1 1.0 6 0.0 -1 0 | 3 1.0 2 1.0 9 0.0 -1 0
+        1 1.0 1 1.0 1 1.0 0 0 | 2 1.0 2 1.0 3 1.0 0 0 | 3 1.0 2 1.0 60 0.0 0 0 | 1 1.0 0 0.0 2 1.0 0 0 | 2 1.0 1 1.0 1 1.0 1 0 | 1 1.0 1 1.0 2 1.0 1 0
+        1 1.0 0 0.0 40 0.0 0 0 | 2 1.0 0 0.0 90 0.0 0 0 | 1 1.0 40 0.0 1 1.0 0 0 | 1 1.0 1 1.0 0 0.0 0 0 | 2 1.0 80 0.0 3 1.0 0 0 | 1 1.0 1 1.0 12 0.0 0 0 | 3 1.0 0 0.0 20 0.0 0 0""",
+    "link lists beside the text": """8 0.9 5 1.0 6 1.0 0 0 | 9 1.0 8 1.0 7 1.0 0 0 | 20 0.9 10 0.8 12 0.9 0 0 | 6 1.0 4 1.0 7 1.0 -1 0 | 12 1.0 9 1.0 11 1.0 -1 0 | 17 0.6 8 1.0 9 1.0 0 0""",
+    "adverts and notices": """4 0.0 1 1.0 12 0.0 -1 0 | 6 0.0 1 1.0 9 0.0 -1 0 | 8 0.0 2 1.0 14 0.0 -1 0 | 11 0.0 1 1.0 7 0.0 -1 0 | 17 0.1 3 1.0 8 0.0 -1 0 | 25 0.1 12 0.3 40 0.0 -1 0
+        9 0.0 60 0.0 45 0.0 -1 0 | 30 0.1 2 1.0 11 0.0 -1 0 | 40 0.0 55 0.0 38 0.0 -1 0 | 7 0.6 30 0.0 40 0.0 0 0 | 40 0.7 30 0.0 50 0.0 0 0""",
+    "footers": """9 0.0 120 0.0 0 0.0 -1 0 | 12 0.0 48 0.0 0 0.0 -1 0 | 18 0.0 75 0.0 0 0.0 -1 0 | 6 0.2 40 0.0 8 0.4 -1 0 | 3 1.0 9 0.0 3 1.0 -1 0
+        5 0.0 50 0.0 0 0.0 0 0 | 4 0.0 3 1.0 2 1.0 0 0 | 3 0.0 4 0.0 2 0.0 0 0 | 2 0.0 0 0.0 5 1.0 0 0 | 9 0.0 5 0.0 3 0.0 0 0""",
+    "sidebars and comments": """60 0.0 40 0.0 0 0.0 -1 0 | 90 0.0 80 0.0 70 0.0 -1 0 | 30 0.0 20 0.0 25 0.0 -1 0 | 120 0.0 60 0.0 60 0.0 -1 0 | 22 0.0 3 0.0 4 0.0 -1 0 | 3 0.0 22 0.0 18 0.0 -1 0
+        55 0.0 4 1.0 12 0.0 -1 0 | 1 0.0 2 0.0 1 0.0 -1 0 | 200 0.0 150 0.0 140 0.0 -1 0 | 70 0.1 5 0.0 80 0.0 -1 0""",
+    "paragraphs": """40 0.0 35 0.0 60 0.0 1 1 | 90 0.0 80 0.0 70 0.0 1 1 | 200 0.1 30 0.0 12 0.0 1 1 | 120 0.0 11 0.0 64 0.0 1 1 | 60 0.0 40 0.0 9 0.0 1 1 | 25 0.1 9 0.0 80 0.0 1 1
+        30 0.0 60 0.0 22 0.0 1 1 | 150 0.0 140 0.0 17 0.0 1 1 | 35 0.4 40 0.0 35 0.0 1 1 | 22 0.0 3 0.0 4 0.0 1 1 | 55 0.0 4 1.0 12 0.0 1 1 | 18 0.0 120 0.0 0 0.0 1 1
+        40 0.0 35 0.0 60 0.0 0 1 | 18 0.0 50 0.0 20 0.0 0 1 | 25 0.1 3 1.0 80 0.0 0 1 | 90 0.2 20 0.0 4 0.9 0 1 | 60 0.0 0 0.0 0 0.0 0 1 | 22 0.3 40 0.0 35 0.0 0 1
+        33 0.0 2 1.0 2 1.0 0 1 | 40 0.0 1 1.0 40 0.0 0 1 | 75 0.0 60 0.0 5 0.0 0 1
+        40 0.0 0 0.0 0 0.0 0 1 | 20 0.0 0 0.0 0 0.0 0 1 | 110 0.0 0 0.0 0 0.0 0 1 | 41 0.0 40 0.0 1 1.0 0 1 | 60 0.1 80 0.0 2 1.0 0 1 | 30 0.0 6 0.0 45 0.0 0 1 | 45 0.0 0 0.0 30 0.0 0 1 | 28 0.1 45 0.0 0 0.0 0 1""",
+    "short paragraphs": """1 0.0 60 0.0 2 0.0 1 1 | 2 0.0 1 0.0 90 0.0 1 1 | 4 0.0 40 0.0 12 0.0 1 1 | 6 0.0 25 0.0 8 0.0 1 1 | 8 0.0 12 0.0 0 0.0 1 1 | 9 0.0 9 0.0 9 0.0 1 1 | 12 0.0 1 0.0 0 0.0 1 1
+        1 0.0 2 0.0 1 0.0 1 1 | 5 0.0 50 0.0 0 0.0 1 1 | 3 0.0 22 0.0 18 0.0 1 1 | 11 0.0 30 0.0 9 0.0 1 1 | 3 0.0 30 0.0 25 0.0 0 1 | 8 0.0 20 0.0 18 0.0 0 1 | 1 0.0 90 0.0 60 0.0 0 1
+        16 0.0 22 0.1 17 0.0 0 1 | 9 0.0 60 0.0 40 0.0 0 1 | 5 0.1 16 0.0 40 0.0 0 1""",
+    "headings": """12 0.0 6 0.0 70 0.0 1 1 | 9 0.0 8 0.0 30 0.0 1 1 | 11 0.0 4 0.0 25 0.0 1 1 | 1 0.0 80 0.0 2 0.0 1 1 | 7 0.0 11 0.0 1 0.0 1 1 | 14 0.0 3 1.0 90 0.0 1 1 | 8 0.0 2 1.0 14 0.0 1 1
+        6 0.0 2 1.0 70 0.0 0 1 | 11 0.0 0 0.0 55 0.0 0 1 | 2 0.0 45 0.0 30 0.0 0 1
+        6 0.0 1 1.0 40 0.0 0 1 | 8 0.0 0 0.0 40 0.0 0 1 | 4 0.0 2 1.0 90 0.0 0 1 | 3 0.0 0 0.0 60 0.0 0 1 | 5 0.0 70 0.0 80 0.0 0 1""",
+    "links in the text": """3 1.0 20 0.0 30 0.0 1 1 | 9 1.0 60 0.0 45 0.0 1 1 | 8 1.0 40 0.0 7 1.0 1 1 | 12 1.0 9 1.0 11 1.0 1 1 | 6 0.5 5 0.4 9 0.6 1 1 | 1 1.0 70 0.0 80 0.0 1 1 | 40 0.8 30 0.0 50 0.0 1 1 | 17 0.6 8 1.0 9 1.0 1 1""",
+}
 SKIPPED = frozenset("script style noscript template textarea select option button svg math iframe object canvas audio video head title datalist".split())
 #: Elements that leave a head open; any other ends it, as text does.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
+#: Of these, an unclosed one takes the rest of the page; the others' tags are passed over.
+RAW_TO_THE_END = frozenset("script style textarea title".split())
+#: Elements that hold no blocks: a block ends them where they were left open.
+CONTROLS = ("select", "option", "button", "datalist")
+FLOW = frozenset("address article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements that end one of their kind before them.
+ENTRIES = frozenset("li dt dd tr td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr".split())
 OTHER_TAGS = frozenset("nav header footer aside form menu dialog".split())
@@ -73,81 +97,110 @@ def _tells(tag: str, attributes: str) -> int:
     return -2 if tag in OTHER_TAGS else 1 if tag in ("article", "main") else 0
 
 
+class Open(NamedTuple):
+    """An open element, with what holds inside it: its container and whether that is final, whether nothing is read,
+    whether text is a link, and where the innermost open element that is not inline stands."""
+
+    tag: str
+    container: int = 0
+    firm: bool = False
+    silent: int = 0
+    link: bool = False
+    block: int = -1
+
+
+class Stack:
+    """Open elements; where each tag stands is kept, so that an end tag finds its element without a search."""
+
+    def __init__(self):
+        self.items: list[Open] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.top = self.none = Open("")
+
+    def push(self, tag: str, attributes: str) -> None:
+        under, tells = self.top, _tells(tag, attributes)
+        firm = under.firm or tells == -2
+        container = (-1 if firm or tells < 0 else 1) if tells else under.container
+        link = under.link or tag == "a" and "href" in attributes.lower()
+        here = len(self.items)
+        self.top = Open(tag, container, firm, under.silent + (tag in SKIPPED), link, under.block if tag in INLINE else here)
+        self.items.append(self.top)
+        self.at[tag].append(here)
+
+    def close(self, k: int) -> None:
+        """End the elements from place ``k`` on."""
+        while len(self.items) > k:
+            self.at[self.items.pop().tag].pop()
+        self.top = self.items[-1] if self.items else self.none
+
+    def end(self, tag: str) -> None:
+        if self.at[tag]:
+            self.close(self.at[tag][-1])
+
+    def implied(self, tag: str) -> None:
+        """End what the start of ``tag`` ends: a head, controls that hold no blocks, a paragraph, an entry of the same kind, a link."""
+        if self.top.tag == "head" and tag not in IN_HEAD:
+            self.close(len(self.items) - 1)
+        if tag in FLOW and self.top.silent and (opened := [self.at[t][0] for t in CONTROLS if self.at[t]]):
+            self.close(min(opened))
+        if tag in ("article", "main") and self.at["nav"]:
+            self.close(self.at["nav"][0])
+        if tag == "a":
+            self.end("a")
+        if tag not in INLINE:
+            for kind in ("p", tag if tag in ENTRIES else ""):
+                if self.top.block >= 0 and self.items[self.top.block].tag == kind:
+                    self.close(self.top.block)
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
     """(text, words, words in links, container) of each block with words, in page order."""
     out: list[tuple[str, int, int, int]] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int]] = []
-    skipped = link = 0
+    stack = Stack()
 
     def flush() -> None:
-        nonlocal link
-        if parts:
-            if words := "".join(p for p, _ in parts).split():
-                container, firm = 0, False
-                for _, tells in stack:
-                    firm |= tells == -2
-                    container = (-1 if firm or tells < 0 else 1) if tells else container
-                linked = len(" ".join(p for p, in_link in parts if in_link).split())
-                out.append((" ".join(words), len(words), min(linked, len(words)), container))
-            parts.clear()
-        link = 0
-
-    def close(k: int) -> None:
-        nonlocal skipped
-        skipped -= sum(t in SKIPPED for t, _ in stack[k:])
-        del stack[k:]
+        if parts and (words := "".join(p for p, _ in parts).split()):
+            linked = len(" ".join(p for p, in_link in parts if in_link).split())
+            out.append((" ".join(words), len(words), min(linked, len(words)), stack.top.container))
+        parts.clear()
 
     at = 0
     while (m := _TOKEN.match(page, at)) and at < len(page):
         at = m.end()
         closing, tag, attributes, text = m.groups()
         if text is not None:
-            if skipped and stack[-1][0] == "head" and html.unescape(text).strip():
-                close(len(stack) - 1)
-            if not skipped:
-                parts.append((html.unescape(text), link > 0))
+            text = html.unescape(text)
+            if stack.top.tag == "head" and text.strip():
+                stack.close(len(stack.items) - 1)
+            if not stack.top.silent:
+                parts.append((text, stack.top.link))
             continue
         if not tag:
             continue
         tag = tag.lower()
-        if not closing and tag not in IN_HEAD and stack and stack[-1][0] == "head":
-            close(len(stack) - 1)
-        if tag in VOID:
-            if tag not in INLINE:
-                flush()
-            elif tag == "br":
-                parts.append((" ", False))
-            continue
         if tag not in INLINE:
             flush()
         if closing:
-            link = max(0, link - (tag == "a"))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            stack.end(tag)
             continue
-        if tag in RAW:
+        stack.implied(tag)
+        if tag in VOID:
+            if tag == "br":
+                parts.append((" ", False))
+        elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in ("article", "main"):
-            close(next((k for k, (t, _) in enumerate(stack) if t == "nav"), len(stack)))
-        elif tag == "p" or tag == "li":
-            if stack and stack[-1][0] == tag:
-                stack.pop()
-        link += tag == "a"
-        skipped += tag in SKIPPED
-        stack.append((tag, _tells(tag, attributes)))
+            at = end.end() if end else len(page) if tag in RAW_TO_THE_END else at
+        else:
+            stack.push(tag, attributes)
     flush()
     return out
 
 
 class Tree:
-    """A decision tree by Gini impurity, in flat arrays."""
+    """A decision tree by Gini impurity, in flat arrays; its upper ``levels`` ask the first ``narrow`` features only."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7):
+    def __init__(self, x: np.ndarray, y: np.ndarray, narrow: int = COUNTS, levels: int = COUNT_LEVELS, depth: int = 8):
         nodes: list[list[float]] = []
         todo = [(x, y, 0, None, 0)]
         while todo:
@@ -157,7 +210,7 @@ class Tree:
             if parent is not None:
                 nodes[parent][2 + side] = here
             best = None
-            for j in range(x.shape[1]) if level < depth and 0 < y.mean() < 1 else ():
+            for j in range(x.shape[1] if level >= levels else narrow) if level < depth and 0 < y.mean() < 1 else ():
                 values = np.unique(x[:, j])
                 for cut in (values[1:] + values[:-1]) / 2:
                     low = x[:, j] <= cut
@@ -180,9 +233,14 @@ class Tree:
         return self.value[node]
 
 
-def train(labelled: str = LABELLED) -> Tree:
-    table = np.array([r.split() for r in labelled.replace("\n", "|").split("|") if r.strip()], float)
-    return Tree(table[:, :-1], table[:, -1])
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    rows = [r.split() for group in LABELLED.values() for r in group.replace("\n", "|").split("|") if r.strip()]
+    table = np.array(rows, float)
+    return table[:, :-1], table[:, -1]
+
+
+def train() -> Tree:
+    return Tree(*labelled())
 
 
 def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
@@ -190,8 +248,7 @@ def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
     density = np.array([n for _, _, n, _ in found]) / np.maximum(words, 1)
     around = lambda a: (np.concatenate([[0], a[:-1]]), np.concatenate([a[1:], [0]]))
     (w0, w1), (d0, d1) = around(words), around(density)
-    container = np.array([c for *_, c in found], float)
-    return np.stack([words, density, w0, d0, w1, d1, container, np.full(len(found), float((container == 1).any()))], 1)
+    return np.stack([words, density, w0, d0, w1, d1, np.array([c for *_, c in found], float)], 1)
 
 
 def extract(page: str | None, tree: Tree) -> str:
