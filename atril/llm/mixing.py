@@ -29,8 +29,8 @@ TOTAL = 1.5
 COPIES = 2
 SEED = 7
 #: A cut is looked for in slices of the seeded order, BITS of its bits a step, so that rows met in one window are about
-#: 2**-20 of those of a (pattern, size class).
-BITS, STEPS = 10, 2
+#: 2**-21 of those of a (pattern, size class).
+BITS, STEPS = 7, 3
 #: Rows of the plan that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST = 50_000
 #: Distinct patterns, and distinct sources, that the driver plans for at most; more raise an error.
@@ -231,7 +231,7 @@ def mix(rows: DataFrame, size: str = "size", members: str = "members", total: fl
     """``rows`` with a column ``copies`` (0, 1, 2), and the plan.
 
     rows: any columns, among them the words of each document, an array of its sources, ``doc_id`` and, where there
-    is one, ``text_hash`` (the two seed the order); a column ``copies`` of theirs is replaced. The frame is read five
+    is one, ``text_hash`` (the two seed the order); a column ``copies`` of theirs is replaced. The frame is read six
     times: it should be a written table.
     """
     spark, columns = rows.sparkSession, [f"`{x}`" for x in rows.columns if x.lower() != "copies"]
