@@ -2,20 +2,23 @@
 
 The labelled URLs are those that a rule decides: the trees learn from a bounded sample of them, of at most
 ``MAX_LABELLED`` distinct URLs (those with the smallest hashes), and decide the rest. The fitted trees become one
-nested CASE expression. Suffix statistics (how often the path's suffix, such as ``html`` or none, occurs, and how often
-it is blocked) are of all distinct URLs that a rule decides; a suffix that none of them has gets share 0 and their
-mean. Their table is broadcast up to ``MAX_BROADCAST`` suffixes and joined by a shuffle beyond. Of the host's suffix only the length is a
-feature: rules name host suffixes, and trees that knew them would repeat the rules and call every other host the same.
-Both labels weigh the same in training, as rules do not occur in the proportions of the rest.
+nested CASE expression. Suffix statistics are of all distinct URLs that a rule decides, for two suffixes: that of the
+host (its last label, such as ``org``) and that of the path (``html``, or none). They tell how often it occurs and how
+often it is blocked, drawn towards the mean by ``PRIOR`` URLs; a suffix that none of them has gets share 0 and the mean.
+Rules name host suffixes, and trees that knew these for all URLs of the sample would repeat the rules and have nothing
+to say on other hosts; so half of the sample (by hash) is learnt from as if its host suffix were unknown. Each table is broadcast up to ``MAX_BROADCAST`` suffixes and joined by a shuffle
+beyond. Both labels weigh the same in training, as rules do not occur in the proportions of the rest.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule, and are judged by their features (null
 counts as empty). Ties: no two rules have one length and fit one URL. Where the sample lacks one of the two labels,
-URLs without a rule are allowed. Repeated rows get equal verdicts.
+URLs without a rule are allowed. Repeated rows get equal verdicts; an empty table gives no rows; URLs of any length count
+whole; columns other than page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import string
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -34,7 +37,10 @@ RULES = (
 )
 MAX_LABELLED = 4000
 MAX_BROADCAST = 10_000
-FEATURES = ("length", "host_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "host_suffix", "suffix_share", "suffix_blocked")
+FEATURES = ("length", "host_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "parameters", "has_fragment", "host_suffix_length", "host_suffix_share", "host_suffix_blocked", "path_suffix_share", "path_suffix_blocked")
+SUFFIXES = ("host_suffix", "path_suffix")
+#: URLs of the mean that a suffix's blocked share is drawn towards.
+PRIOR = 10
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -58,12 +64,12 @@ def ruled(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "said": verdict})
 
 
-def suffix() -> Column:
-    return F.regexp_extract("path", r"\.([^./]*)$", 1)
+def suffix(kind: str) -> Column:
+    return F.regexp_extract("host", r"[^.]*$", 0) if kind == "host_suffix" else F.regexp_extract("path", r"\.([^./]*)$", 1)
 
 
 def lexical(rows: DataFrame) -> DataFrame:
-    """``rows`` with the features of ``url`` but for those of the suffix, and the suffix."""
+    """``rows`` with the features of ``url`` but for those of the suffixes, and the suffixes."""
     url = F.coalesce(F.col("url"), F.lit(""))
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
     count = lambda of, what: F.length(of) - F.length(F.replace(of, F.lit(what), F.lit("")))
@@ -80,8 +86,8 @@ def lexical(rows: DataFrame) -> DataFrame:
             "entropy": entropy,
             "parameters": (count(url, "&") + F.when(F.locate("?", url) > 0, 1).otherwise(0)).cast("double"),
             "has_fragment": F.when(F.locate("#", url) > 0, 1.0).otherwise(0.0),
-            "host_suffix": F.length(F.regexp_extract("host", r"[^.]*$", 0)).cast("double"),
-            "suffix": suffix(),
+            "host_suffix_length": F.length(suffix("host_suffix")).cast("double"),
+            **{kind: suffix(kind) for kind in SUFFIXES},
         }
     )
 
@@ -101,20 +107,32 @@ def margin(model: GBTClassificationModel, columns: tuple[str, ...] = FEATURES) -
     return total
 
 
-def with_suffixes(rows: DataFrame, stats: DataFrame, mean: float) -> DataFrame:
-    """``rows`` with the suffix statistics."""
-    small = stats.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    met = rows.join(F.broadcast(stats) if small else stats, "suffix", "left")
-    return met.withColumns({"suffix_share": F.coalesce("suffix_share", F.lit(0.0)), "suffix_blocked": F.coalesce("suffix_blocked", F.lit(mean))})
+@dataclass(frozen=True)
+class Suffixes:
+    """Counts (suffix, n, blocked) of each kind of suffix, and the number of URLs counted and of those blocked."""
 
+    tables: dict[str, DataFrame]
+    n: int
+    blocked: int
 
-def suffixes(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """Share of each suffix among ``labelled`` and how often it is blocked, and the mean of the latter."""
-    sums = labelled.groupBy(suffix().alias("suffix")).agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("blocked"))
-    sums = materialize(sums, "suffixes")
-    n, blocked = sums.agg(F.sum("n"), F.sum("blocked")).first()
-    mean = blocked / n
-    return sums.select("suffix", (F.col("n") / n).alias("suffix_share"), ((F.col("blocked") + 10 * mean) / (F.col("n") + 10)).alias("suffix_blocked")), mean
+
+def suffixes(labelled: DataFrame) -> Suffixes:
+    """Counts over all of ``labelled`` (host, path, said)."""
+    count = lambda kind: labelled.groupBy(suffix(kind).alias(kind)).agg(F.count("*").alias("n"), F.count_if(F.col("said") == "block").alias("blocked"))
+    tables = {kind: materialize(count(kind), kind) for kind in SUFFIXES}
+    n, blocked = tables[SUFFIXES[0]].agg(F.sum("n"), F.sum("blocked")).first()
+    return Suffixes(tables, n, blocked)
+
+
+def with_suffixes(rows: DataFrame, stats: Suffixes, hidden: Column | None = None) -> DataFrame:
+    """``rows`` with the share and the blocked share of their suffixes; where ``hidden``, those of an unknown host suffix."""
+    mean = stats.blocked / stats.n
+    for kind in SUFFIXES:
+        table = stats.tables[kind]
+        table = F.broadcast(table) if table.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else table
+        n, blocked = (F.coalesce(F.when(~hidden, F.col(c)) if hidden is not None and kind == "host_suffix" else F.col(c), F.lit(0)) for c in ("n", "blocked"))
+        rows = rows.join(table, kind, "left").withColumns({f"{kind}_share": n / stats.n, f"{kind}_blocked": (blocked + PRIOR * mean) / (n + PRIOR)}).drop("n", "blocked")
+    return rows
 
 
 def judge(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -126,11 +144,11 @@ def judge(pages: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     n, blocked = sample.agg(F.count("*"), F.sum("label")).first()
     if not n or blocked in (0, n):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    stats, mean = suffixes(labelled)
-    learn = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffixes(sample, stats, mean))
+    stats = suffixes(labelled)
+    learn = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffixes(sample, stats, F.xxhash64(F.lit(1), "url") % 2 == 0))
     weighed = learn.select("features", "label", F.when(F.col("label") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked))).alias("weight"))
     model = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.2, seed=11, weightCol="weight").fit(weighed)
-    scored = with_suffixes(lexical(rows), stats, mean).withColumn("margin", margin(model))
+    scored = with_suffixes(lexical(rows), stats).withColumn("margin", margin(model))
     decided = F.when(F.col("rule").isNotNull(), F.col("said")).otherwise(F.when(F.col("margin") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", decided.alias("verdict"), F.when(F.col("rule").isNull(), F.col("margin")).alias("score"))
 

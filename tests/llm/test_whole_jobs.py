@@ -4,7 +4,7 @@ import collections
 
 import pytest
 
-from atril.llm import bpe, html_text, mixing, urls
+from atril.llm import bpe, html_text, mixing
 
 
 def test_bpe_words_of_many_tokens(spark):
@@ -17,26 +17,6 @@ def test_bpe_words_of_many_tokens(spark):
     assert got == {k: (want[k], x) for k, x in enumerate(texts)}
 
 
-def test_suffix_statistics_are_of_all_urls(spark):
-    rows = [(k, f"http://h{k}.{'com' if k % 3 else 'net'}/{'' if k % 3 else 'es/'}p{k}.{'rare' if k % 50 == 0 else 'html'}") for k in range(600)]
-    pages = spark.createDataFrame(rows + rows[:100], "page_id long, url string")
-    labelled = urls.ruled(pages).where("rule is not null").groupBy("url", "host", "path").agg({"said": "first"}).withColumnRenamed("first(said)", "said")
-    stats, mean = urls.suffixes(labelled)
-    got = {r.suffix: (r.suffix_share, r.suffix_blocked) for r in stats.collect()}
-    assert mean == pytest.approx(1 / 3)
-    assert got["rare"] == pytest.approx((12 / 600, (4 + 10 / 3) / 22)) and got["html"] == pytest.approx((588 / 600, (196 + 10 / 3) / 598))
-
-
-def test_suffixes_outside_the_sample_count(spark, monkeypatch):
-    seen, real = [], urls.with_suffixes
-    monkeypatch.setattr(urls, "with_suffixes", lambda rows, stats, mean: seen.append({r.suffix: r.suffix_share for r in stats.collect()}) or real(rows, stats, mean))
-    rows = [(k, f"http://h{k}.{'com' if k % 2 else 'net'}/es/p.s{k}") for k in range(60)]
-    pages = spark.createDataFrame([*rows, (99, "http://h.org/x.s1")], "page_id long, url string")
-    assert urls.judge(pages, max_labelled=30).count() == 61 and all(len(s) == 60 and s["s1"] == pytest.approx(1 / 60) for s in seen) and len(seen) == 2
-    monkeypatch.setattr(urls, "MAX_BROADCAST", 5)
-    assert urls.judge(pages, max_labelled=30).count() == 61
-
-
 LONG = " ".join(["word"] * 40)
 
 
