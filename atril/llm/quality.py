@@ -74,10 +74,12 @@ def base_failed(n_words, n_repeat_words):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the sample. The sample has ``max_labels`` ids at most, so it may be broadcast."""
+    """Features and labels of the sample. The sample has ``max_labels`` ids at most, so it may be broadcast; where an id
+    has several texts, that with the least hash is learnt from, so as many rows at most reach the driver."""
     agreed = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
     sample = agreed.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = met.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("quality", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
