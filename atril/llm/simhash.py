@@ -3,13 +3,21 @@
 Anchors are the words of a product of four perfect codes on 64 bits: Golay [23,12] twice, Hamming [15,11] and
 repetition [3,1]; 2**36 anchors, covering radius 3+3+1+1. Two fingerprints at 2 or fewer differing bits have a
 point within one bit of both; that point's own anchor lies within the covering radius plus one of both. So each
-fingerprint is replicated to the anchors of its 65 points within one bit (about 16 differ), and fingerprints are
-compared only where they share an anchor: there they are linked through the points that they have in common,
-each of which belongs to one anchor. Points tell the same as a comparison of all pairs (a common point within one
-bit means two differing bits at most, and the other way round), but a large group costs in proportion to its size.
-
-Nulls in ``text`` count as empty; texts without words have fingerprint zero and link like others. A null ``doc_id``
-is larger than any other: a component's id is null only where all its ids are. Repeated rows all come back.
+fingerprint is replicated to the anchors of its 65 points within one bit (about 16 differ). These are all the anchors
+within radius plus threshold that can bring a pair together: the ball of radius 10 holds some 700 anchors, and the others
+of them would only show pairs again.
+
+Fingerprints are compared anchor by anchor: each anchor's group is one row, in which members are linked through the
+points of that anchor that they have in common. Common points tell the same as a comparison of all pairs (a common
+point within one bit means two differing bits at most, and the other way round), but a group costs in proportion to its
+size. Anchors with more than ``GROUP`` members are split by point: each of their points is compared by itself, and at
+most 65 fingerprints can meet there.
+
+Nulls in ``text`` count as empty; texts without words have fingerprint zero and link like others. Very long texts are
+hashed whole, in stretches. A null ``doc_id`` is larger than any other: a component's id is null only where all its ids
+are. Ties need no order: equal fingerprints are one member, and a component's id is its least id however often it occurs.
+Repeated rows all come back; an empty table gives no rows; columns other than doc_id and text are not read by
+``near_duplicates`` and pass through ``fingerprints`` and ``stage`` whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +28,19 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, fresh, materialize, pieces_of, words_of
 from .graph import components
 
 SEED, SHINGLE, BITS = 42, 3, 64
+#: Members of an anchor that are compared in one row at most.
+GROUP = 4096
+#: Members whose points a worker holds at once.
+SLICE = 1 << 14
+#: Bits in which linked fingerprints differ at most.
+DISTANCE = 2
 
 
 def fingerprint(text: bytes) -> int:
@@ -128,15 +142,41 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, mine.sum(1))), pa.array(at[mine])], ["fp", "point"])
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between different fingerprints that hold each other's groups together: of all fingerprints at a
-    point, 65 at most, each is linked with the least."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each anchor's group: of the members at one of the anchor's points, each is linked with the least."""
+    for batch in batches:
+        anchors, groups = batch.column(0).to_numpy(), batch.column(1)
+        size = groups.value_lengths().to_numpy(zero_copy_only=False)
+        ends = size.cumsum()
+        for k in np.split(np.arange(len(size)), np.flatnonzero(np.diff(ends // SLICE)) + 1):
+            if not len(k):
+                continue
+            fp = groups.slice(k[0], len(k)).flatten().to_numpy()
+            group = np.repeat(k, size[k])
+            at, own = points(fp)
+            member, place = np.nonzero(own == anchors[group][:, None])
+            group, point, fp = group[member], at[member, place], fp[member]
+            order = np.lexsort((fp, point, group))
+            group, point, fp = group[order], point[order], fp[order]
+            opens = np.concatenate([[True], (point[1:] != point[:-1]) | (group[1:] != group[:-1])])
+            least = fp[np.flatnonzero(opens)[opens.cumsum() - 1]]
+            near = (fp != least) & (np.bitwise_count((fp ^ least).view(np.uint64)) <= DISTANCE)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[near]), pa.array(least[near])], ["a", "b"])
+
+
+def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between different fingerprints at 2 or fewer bits that hold each other's groups together."""
     members = distinct.select("fp").mapInArrow(_anchors, "fp long, anchor long")
-    shared = members.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = members.join(shared, "anchor", "left_semi").select("fp", "anchor").mapInArrow(_points, "fp long, point long")
-    group = met.groupBy("point").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
-    pairs = group.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
-    return pairs.where("bit_count(a ^ b) <= 2").distinct()
+    shared = materialize(members.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    met = members.join(shared, "anchor")
+    rows = met.where(F.col("n") <= group).groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
+    within = rows.mapInArrow(_compared, "a long, b long")
+    if not shared.where(F.col("n") > group).limit(1).count():
+        return within.distinct()
+    split = met.where(F.col("n") > group).select("fp", "anchor").mapInArrow(_points, "fp long, point long")
+    at = split.groupBy("point").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")  # 65 at most
+    across = at.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where(f"a <> b and bit_count(a ^ b) <= {DISTANCE}")
+    return within.unionAll(across).distinct()
 
 
 def classes(fps: DataFrame) -> DataFrame:
@@ -162,17 +202,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays: that with the least doc_id, then the least text hash; of equal rows, one."""
-    key, many = fresh(docs, "text_key", "copies")
+    key, many, i, text_hash = fresh(docs, "text_key", "copies", "stay_id", "stay_key")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     fps = materialize(fingerprints(rows), "rows")
     mine = fps.join(classes(fps), "fp").where("doc_id <=> component_id")
     each = mine.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies"))
-    first = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "text_key")
-    stay = each.withColumn("rank", F.row_number().over(first)).where("rank = 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("copies").alias(many))
-    stay = materialize(stay, "stay")
+    first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "copies")).alias("first"))
+    stay = materialize(first.select(F.col("first.doc_id").alias(i), F.col("first.text_key").alias(text_hash), F.col("first.copies").alias(many)), "stay")
     columns = [f"`{c}`" for c in docs.columns]
     keyed = docs.withColumn(key, F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(stay["__id"]) & (keyed[key] == stay["__key"])
+    on = keyed["doc_id"].eqNullSafe(stay[i]) & (keyed[key] == stay[text_hash])
     once = keyed.join(stay.where(f"`{many}` = 1"), on, "left_semi").select(*columns)
     again = keyed.join(stay.where(f"`{many}` > 1"), on, "left_semi").dropDuplicates(["doc_id", key]).select(*columns)
     return once.unionAll(again)
