@@ -8,7 +8,6 @@ from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +16,27 @@ from . import lexicon as lx
 VERSION = "es1+lc1"
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _NUMBER = re.compile(r"\d+(?:,\d+)?\Z")
+# Patterns of the cleaning steps, in their order, and what each match becomes. \x01 stands for a decimal mark.
+CLEANING = (
+    (re.compile(r"(?<=\d)[.,](?=\d)"), "\x01"),
+    (re.compile(r"[/\-\u2010\u2011\u2012\u2013\u2014_]"), " "),
+    (re.compile(r"[^\w\s%º\x01]"), " "),
+    (re.compile(r"(\d)([^\W\d_])"), r"\1 \2"),
+    (re.compile(r"([^\W\d_])(\d)"), r"\1 \2"),
+    (re.compile(r"(\d)(%)"), r"\1 \2"),
+)
+#: A letter for each kind of number word: hundreds, tens, zero, one to nine, other units, scales, "y", decimal marks.
+_KIND = {w: "h" for w in lx.HUNDREDS} | {w: "t" for w in lx.TENS} | {w: "z" if n == 0 else "u" if n < 10 else "v" for w, n in lx.UNITS.items()} | {w: "s" for w in lx.SCALES} | {"y": "y"} | {w: "c" for w in lx.DECIMAL_MARKS}
+_VALUE = lx.HUNDREDS | lx.TENS | lx.UNITS
+#: Number words as a language over these letters. A group is hundreds with tens or units after them; a number is groups
+#: with a scale each and a last one without, then perhaps a decimal mark and digits.
+_GROUP = r"(?:h(?:t(?:yu)?|[uvz])?|t(?:yu)?|[uvz])"
+_SCALED = re.compile(rf"({_GROUP}?)(s)|({_GROUP})")
+_SPOKEN = re.compile(rf"((?:{_GROUP}?s)*{_GROUP}?)(?:c([uz]+))?")
 _UNIT_STARTS = frozenset(name.split()[0] for name in lx.UNIT_NAMES)
-_LONGEST_UNIT = max(len(name.split()) for name in lx.UNIT_NAMES)
+_UNITS = lx.UNIT_SPELLINGS | lx.UNIT_NAMES
+#: A number and a unit after it, units of more words first.
+_MEASURE = re.compile(rf"(?<!\S)(\d+(?:,\d+)?) ({'|'.join(map(re.escape, sorted(_UNITS, key=lambda name: (-len(name.split()), name))))})(?!\S)")
 
 
 def spelled(text: str) -> str:
@@ -50,11 +68,9 @@ def spelled(text: str) -> str:
 
 def cleaned(text: str) -> str:
     """NFC, lower case, no punctuation; a mark between digits becomes a decimal comma, glued digits and letters part."""
-    text = re.sub(r"(?<=\d)[.,](?=\d)", "\x01", unicodedata.normalize("NFC", text).lower())
-    text = re.sub(r"[/\-‐‑‒–—_]", " ", text)
-    text = re.sub(r"[^\w\s%º\x01]", " ", text)
-    for pattern in (r"(\d)([^\W\d_])", r"([^\W\d_])(\d)", r"(\d)(%)"):
-        text = re.sub(pattern, r"\1 \2", text)
+    text = unicodedata.normalize("NFC", text).lower()
+    for pattern, into in CLEANING:
+        text = pattern.sub(into, text)
     return " ".join(text.replace("\x01", ",").split())
 
 
@@ -62,63 +78,36 @@ def is_number(token: str) -> bool:
     return _NUMBER.match(token) is not None
 
 
-def _whole(tokens: list[str], at: int) -> tuple[int, int]:
-    """Value of the number words from ``at`` and where they end; ``at`` itself if there are none.
-
-    A group takes one word of hundreds, then one of tens or units; units after tens need "y". A scale word closes it.
-    """
-    total = group = 0
-    last, k = "", at
-    while k < len(tokens):
-        word = tokens[k]
-        if word in lx.SCALES:
-            total, group, last = total + (group or 1) * lx.SCALES[word], 0, ""
-        elif word in lx.HUNDREDS and not last:
-            group, last = group + lx.HUNDREDS[word], "hundreds"
-        elif word in lx.TENS and last in ("", "hundreds"):
-            group, last = group + lx.TENS[word], "tens"
-        elif word in lx.UNITS and last in ("", "hundreds"):
-            group, last = group + lx.UNITS[word], "units"
-        elif word == "y" and last == "tens" and 1 <= lx.UNITS.get(tokens[k + 1] if k + 1 < len(tokens) else "", 0) <= 9:
-            group, last, k = group + lx.UNITS[tokens[k + 1]], "units", k + 1
-        else:
-            break
-        k += 1
-    return total + group, k
+def _valued(words: list[str], kinds: str) -> int:
+    """Value of number words that ``_SPOKEN`` met: each scaled group, a bare scale counting once, and the last group."""
+    total = 0
+    for m in _SCALED.finditer(kinds):
+        size = sum(_VALUE.get(w, 0) for w in words[m.start() : m.end()])
+        total += (size or 1) * lx.SCALES[words[m.end() - 1]] if m[2] else size
+    return total
 
 
 def in_digits(tokens: list[str]) -> list[str]:
     """Number words as digits. "un", "una", "uno" alone stay articles unless a unit may begin after them."""
-    out, at = [], 0
+    kinds, out, at = "".join(_KIND.get(t, ".") for t in tokens), [], 0
     while at < len(tokens):
-        value, end = _whole(tokens, at)
-        text = str(value)
-        if end > at and end + 1 < len(tokens) and tokens[end] in ("coma", "punto"):
-            tail = end + 1
-            while tail < len(tokens) and lx.UNITS.get(tokens[tail], 10) <= 9:
-                tail += 1
-            if tail > end + 1:
-                text, end = f"{value},{''.join(str(lx.UNITS[t]) for t in tokens[end + 1 : tail])}", tail
-        article = end == at + 1 and tokens[at] in lx.ARTICLES and (tokens[end] if end < len(tokens) else "") not in _UNIT_STARTS
-        if end == at or article:
-            text, end = tokens[at], at + 1
-        out.append(text)
+        met = _SPOKEN.match(kinds, at)
+        end = met.end() if met[1] else at
+        if end == at + 1 and tokens[at] in lx.ARTICLES and not _UNIT_STARTS.intersection(tokens[end : end + 1]):
+            end = at
+        if end == at:
+            out.append(tokens[at])
+            at += 1
+            continue
+        text = str(_valued(tokens[at : met.end(1)], met[1]))
+        out.append(text + ("," + "".join(str(lx.UNITS[t]) for t in tokens[met.start(2) : end]) if met[2] else ""))
         at = end
     return out
 
 
 def with_units(tokens: list[str]) -> list[str]:
     """Units after a number in their short form, the longest name first."""
-    out, at = [], 0
-    while at < len(tokens):
-        took, text = 1, tokens[at]
-        if out and is_number(out[-1]):
-            names = ((n, lx.UNIT_NAMES.get(" ".join(tokens[at : at + n]))) for n in range(_LONGEST_UNIT, 0, -1))
-            took, text = next(((n, s) for n, s in names if s), (1, lx.UNIT_SPELLINGS.get(text, text)))
-            took = min(took, len(tokens) - at)
-        out.append(text)
-        at += took
-    return out
+    return _MEASURE.sub(lambda m: f"{m[1]} {_UNITS[m[2]]}", " ".join(tokens)).split()
 
 
 def unconnected(tokens: list[str]) -> list[str]:
@@ -127,17 +116,23 @@ def unconnected(tokens: list[str]) -> list[str]:
     return [t for before, t, after in around if not (t in lx.CONNECTORS and is_number(before) and is_number(after))]
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=4096)
+def _short(text: str) -> tuple[str, ...]:
+    return _tokens(text)
+
+
 def _tokens(text: str) -> tuple[str, ...]:
     return tuple(unconnected(with_units(in_digits(cleaned(spelled(text)).split()))))
 
 
 def tokenize(text: str | None) -> list[str]:
-    return list(_tokens(text or ""))
+    """Tokens; short texts, such as terms, are kept for the next time, so what a worker keeps is bounded."""
+    text = text or ""
+    return list(_short(text) if len(text) <= 200 else _tokens(text))
 
 
 def normalize(text: str | None) -> str:
-    return " ".join(_tokens(text or ""))
+    return " ".join(tokenize(text))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -146,17 +141,10 @@ def tokens_udf(text: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def nfc_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
-
+def cleaned_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else cleaned(t))
 
-def clean_column(text: Column) -> Column:
-    """``cleaned`` but for NFC, as JVM expressions."""
-    c = F.regexp_replace(F.lower(text), r"(?<=\p{Nd})[.,](?=\p{Nd})", "\x01")
-    c = F.regexp_replace(c, r"[/\-\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}_]", " ")
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}_\s%º\x01]", " ")
-    c = F.regexp_replace(c, r"(\p{Nd})(\p{L})", "$1 $2")
-    c = F.regexp_replace(c, r"(\p{L})(\p{Nd})", "$1 $2")
-    c = F.regexp_replace(c, r"(\p{Nd})(%)", "$1 $2")
-    return F.trim(F.regexp_replace(F.replace(c, F.lit("\x01"), F.lit(",")), r"\s+", " "))
 
+@F.pandas_udf(T.StringType())
+def normalize_udf(text: pd.Series) -> pd.Series:
+    return text.map(normalize)

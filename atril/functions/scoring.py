@@ -16,10 +16,11 @@ _HELD = 1 << 27
 
 @dataclass(frozen=True)
 class Terms:
-    """Gold terms as token tuples, and their words without function words."""
+    """Gold terms as token tuples, their words without function words, and the tokens of each term asked for."""
 
     tuples: frozenset[tuple[str, ...]]
     vocabulary: frozenset[str]
+    asked: tuple[tuple[str, ...], ...]
 
     def spans(self, tokens: list[str]) -> list[tuple[int, int]]:
         """Occurrences from left to right, the longest first, without overlap."""
@@ -35,8 +36,9 @@ class Terms:
 
 @lru_cache(maxsize=20_000)
 def terms_of(terms: tuple[str, ...], normalized: bool = True) -> Terms:
-    tuples = frozenset(filter(None, (tuple(tokenize(t) if normalized else t.split()) for t in terms)))
-    return Terms(tuples, frozenset(w for t in tuples for w in t if w not in FUNCTION_WORDS))
+    asked = tuple(tuple(tokenize(t) if normalized else t.split()) for t in terms)
+    tuples = frozenset(filter(None, asked))
+    return Terms(tuples, frozenset(w for t in tuples for w in t if w not in FUNCTION_WORDS), asked)
 
 
 def _rows(ref: list[str], where: dict[str, int], ups: int, downs: int, full: int, lefts: list[int], aboves: list[int]) -> tuple[int, int]:
@@ -123,24 +125,33 @@ def repeat_rate(tokens: list[str]) -> float:
     return 1.0 - len(set(grams)) / len(grams) if grams else 0.0
 
 
+# The share of repeated 5-grams that makes a loop, and how much longer than the reference a text runs away.
+REPEATED = 0.05
+RUNAWAY_TIMES, RUNAWAY_WORDS = 2, 10
+
+
+def runs_away(ref: list[str], hyp: list[str]) -> bool:
+    return len(hyp) > RUNAWAY_TIMES * len(ref) + RUNAWAY_WORDS
+
+
 def degenerate(ref: list[str], hyp: list[str]) -> tuple[list[str], dict]:
     """Flags ("empty", "loop") and what the loop consists of."""
-    fresh, rate, runaway = loops(hyp) - loops(ref), repeat_rate(hyp), len(hyp) > 2 * len(ref) + 10
-    looped = bool(fresh) or runaway or (rate > 0.05 and rate > repeat_rate(ref) + 0.05)
+    fresh, rate, runaway = loops(hyp) - loops(ref), repeat_rate(hyp), runs_away(ref, hyp)
+    looped = bool(fresh) or runaway or (rate > REPEATED and rate > repeat_rate(ref) + REPEATED)
     flags = ["empty"] * (not hyp and bool(ref)) + ["loop"] * looped
     detail = {"tandem": [" ".join(g) for g in sorted(fresh)][:3], "rep5": round(rate, 3), "runaway": runaway} if looped else {}
     return flags, detail
 
 
-def contains(tokens: list[str], span: list[str]) -> bool:
+def contains(tokens: list[str], span: list[str] | tuple[str, ...]) -> bool:
     return bool(span) and f" {' '.join(span)} " in f" {' '.join(tokens)} "
 
 
 FIELDS = ("n_ref", "n_hyp", "s", "d", "i", "term_n", "term_hits", "terms_not_in_ref", "term_words", "term_word_errors", "other_words", "other_word_errors")
 
 
-def facts(ref: list[str], hyp: list[str], gold: tuple[str, ...], normalized: bool = True) -> tuple[list[int], list[str]]:
-    """FIELDS and degenerate flags. A clip without gold terms counts neither term nor other words."""
+def facts(ref: list[str], hyp: list[str], gold: tuple[str, ...], normalized: bool = True) -> tuple[list[int], list[str], dict]:
+    """FIELDS, degenerate flags and their detail. A clip without gold terms counts neither term nor other words."""
     term_part = [0] * 7
     words, vocabulary, spans = frozenset(), frozenset(), []
     gold = tuple(dict.fromkeys(gold))
@@ -151,6 +162,6 @@ def facts(ref: list[str], hyp: list[str], gold: tuple[str, ...], normalized: boo
     (s, d, i, term, other), same = edits(ref, hyp, words, vocabulary)
     if gold:
         hits = sum(all(same >> k & 1 for k in range(a, b)) for a, b in spans)
-        absent = sum(not contains(ref, tokenize(t) if normalized else t.split()) for t in gold)
+        absent = sum(not contains(ref, t) for t in terms.asked)
         term_part = [len(spans), hits, absent, len(words), term, len(ref) - len(words), other]
-    return [len(ref), len(hyp), s, d, i, *term_part], degenerate(ref, hyp)[0]
+    return [len(ref), len(hyp), s, d, i, *term_part], *degenerate(ref, hyp)

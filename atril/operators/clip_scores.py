@@ -8,36 +8,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.batch import facts_of
 from ..functions.normalizer import tokenize
-from ..functions.scoring import FIELDS, facts
+from ..functions.scoring import FIELDS
 
 #: Rows whose tokens a worker holds as Python objects at once.
-ROWS = 64
+ROWS = 4096
+DETAIL = T.StructType([T.StructField("tandem", T.ArrayType(T.StringType())), T.StructField("rep5", T.DoubleType()), T.StructField("runaway", T.BooleanType())])
+_DETAIL = pa.struct([("tandem", pa.list_(pa.string())), ("rep5", pa.float64()), ("runaway", pa.bool_())])
 
 
 def score_pairs(pairs: DataFrame, normalized: bool = True) -> DataFrame:
-    """``pairs`` with FIELDS and ``degenerate``, without ref, hyp and terms. No shuffle.
+    """``pairs`` with FIELDS, ``degenerate`` (flags) and ``detail`` (what a loop consists of), without ref, hyp and terms. No shuffle.
 
     normalized: ref and hyp are raw texts for the normalizer; else ref is a token array and hyp is split at spaces.
     """
     kept = [c for c in pairs.columns if c not in ("ref", "hyp", "terms")]
-    names = [*kept, *FIELDS, "degenerate"]
+    names = [*kept, *FIELDS, "degenerate", "detail"]
     at = {c: pairs.columns.index(c) for c in pairs.columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k in range(0, b.num_rows, ROWS):
-                for ref, hyp, terms in zip(*(b.column(at[c]).slice(k, ROWS).to_pylist() for c in ("ref", "hyp", "terms")), strict=True):
-                    tokens = (tokenize(ref), tokenize(hyp)) if normalized else (list(ref or ()), (hyp or "").split())
-                    counts, flags = facts(*tokens, tuple(terms or ()), normalized)
-                    rows.append((*counts, flags))
-            if rows:
-                *counts, flags = zip(*rows, strict=True)
-                made = [*(pa.array(c, pa.int64()) for c in counts), pa.array(flags, pa.list_(pa.string()))]
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
+                refs, hyps, terms = (b.column(at[c]).to_pylist() for c in ("ref", "hyp", "terms"))
+                refs, hyps = ([*map(tokenize, refs)], [*map(tokenize, hyps)]) if normalized else ([list(r or ()) for r in refs], [(h or "").split() for h in hyps])
+                counts, flags, details = zip(*facts_of(refs, hyps, [tuple(t or ()) for t in terms], normalized), strict=True)
+                made = [*(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(flags, pa.list_(pa.string())), pa.array([d or None for d in details], _DETAIL)]
                 yield pa.RecordBatch.from_arrays([*(b.column(at[c]) for c in kept), *made], names)
 
     schema = T.StructType([pairs.schema[c] for c in kept])
     for f in FIELDS:
         schema = schema.add(f, T.LongType())
-    return pairs.mapInArrow(run, schema.add("degenerate", T.ArrayType(T.StringType())))
+    return pairs.mapInArrow(run, schema.add("degenerate", T.ArrayType(T.StringType())).add("detail", DETAIL))

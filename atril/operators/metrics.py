@@ -43,6 +43,23 @@ def counts(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(*(F.sum(c).alias(n) for c, n in sums.items()), F.count_distinct("block").alias("n_blocks"))
 
 
+def degenerate_clips(scores: DataFrame) -> DataFrame:
+    """(clip_id, flags) of clips with flags, in their order where the table has one."""
+    found = scores.where(F.size("degenerate") > 0)
+    return (found.orderBy("ord") if "ord" in scores.columns else found).select("clip_id", "degenerate")
+
+
+def flags_by_clip(scores: DataFrame, *by: str) -> DataFrame:
+    """(*by, flags): a map from clip to its flags, of clips that have some. Each group's map is one value."""
+    pairs = F.collect_list(F.when(F.size("degenerate") > 0, F.struct(F.col("clip_id").cast("string"), "degenerate")))
+    return scores.groupBy(*by).agg(F.map_from_entries(F.array_sort(pairs)).alias("flags"))
+
+
+def having_all(rows: DataFrame, key: str, column: str, wanted: list) -> DataFrame:
+    """Keys that have every wanted value."""
+    return rows.where(F.col(column).isin(wanted)).groupBy(key).agg(F.count_distinct(column).alias("n")).where(F.col("n") == len(set(wanted))).select(key)
+
+
 def macro(scores: DataFrame, name: str, strata: str, *by: str) -> DataFrame:
     """Unweighted mean of a metric over strata."""
     return metrics(scores, *by, strata, only=(name,)).groupBy(*by).agg(F.avg(name).alias(f"macro_{name}"))

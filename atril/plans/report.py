@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DASH = "–"
@@ -24,10 +24,19 @@ def union(published: DataFrame, local: DataFrame) -> DataFrame:
     return published.unionByName(local, allowMissingColumns=True)
 
 
+def _order(value: str) -> list[Column]:
+    pinned = F.col("type") == "results-only"
+    return [F.when(pinned, 0).otherwise(1).asc(), F.when(pinned, F.col("ord")).asc(), F.col(value).isNull().asc(), F.col(value).asc(), F.lower("label").asc(), F.col("ord").asc()]
+
+
 def ranked(systems: DataFrame, value: str) -> DataFrame:
     """Results-only systems first in their own order, then by value, missing ones last; ties by label, then order."""
-    pinned = F.col("type") == "results-only"
-    return systems.orderBy(F.when(pinned, 0).otherwise(1), F.when(pinned, F.col("ord")), F.col(value).isNull(), F.col(value), F.lower("label"), "ord")
+    return systems.orderBy(*_order(value))
+
+
+def ranks(systems: DataFrame, value: str) -> DataFrame:
+    """``systems`` (some tens of rows) with their ``rank`` in that order."""
+    return systems.withColumn("rank", F.row_number().over(Window.orderBy(*_order(value))))
 
 
 def percent(value: Column, lo: Column | None = None, hi: Column | None = None) -> Column:

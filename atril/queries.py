@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
-from .functions import normalizer
+from . import fixtures, spoken
+from .functions import columns, normalizer, scoring
 from .operators import bootstrap, clip_scores, hypotheses, metrics
 from .plans import report
+from .sources import jsonl, subsets
 from .streaming import turns
 
 
@@ -77,7 +78,7 @@ def rtf_median(spark, sf_dir):
 
 
 def normalize_clean(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", normalizer.clean_column(normalizer.nfc_udf("text")).alias("cleaned"))
+    return _table(spark, sf_dir, "documents").select("doc_id", normalizer.cleaned_udf("text").alias("cleaned"))
 
 
 def normalize_tokens(spark, sf_dir):
@@ -90,7 +91,15 @@ def term_metrics(spark, sf_dir):
 
 
 def terms_not_in_ref(spark, sf_dir):
-    return scores(spark, sf_dir).where("system = 1").groupBy("block").agg(F.sum("terms_not_in_ref").alias("n_absent"))
+    return scores(spark, sf_dir).groupBy("system", "block").agg(F.sum("terms_not_in_ref").alias("n_absent"))
+
+
+def term_counts(spark, sf_dir):
+    return scores(spark, sf_dir).where("term_n > 0 or terms_not_in_ref > 0").select("system", "clip_id", "term_n", "term_hits", "terms_not_in_ref", "term_words", "term_word_errors", "other_words", "other_word_errors")
+
+
+def score_counts(spark, sf_dir):
+    return metrics.counts(scores(spark, sf_dir), "system")
 
 
 def degenerate_rate(spark, sf_dir):
@@ -101,26 +110,37 @@ def degenerate_clips(spark, sf_dir):
     return scores(spark, sf_dir).where("size(degenerate) > 0").select("system", "clip_id", F.array_join("degenerate", ",").alias("flags"))
 
 
+def degenerate_detail(spark, sf_dir):
+    rows = scores(spark, sf_dir).where("detail is not null")
+    return rows.select("system", "clip_id", F.array_join("detail.tandem", "; ").alias("tandem"), F.col("detail.rep5").alias("rep5"), F.col("detail.runaway").alias("runaway"))
+
+
+def flags_map(spark, sf_dir):
+    flags = metrics.flags_by_clip(scores(spark, sf_dir), "system", "block")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("flags")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";")
+    return flags.select("system", "block", told.alias("flags"))
+
+
 def rep5_rate(spark, sf_dir):
-    grams = F.expr("if(size(ref) >= 5, transform(sequence(0, size(ref) - 5), k -> array_join(slice(ref, k + 1, 5), ' ')), array())").alias("g")
-    return fixtures.clips(spark, sf_dir).select("clip_id", grams).select("clip_id", F.round(F.when(F.size("g") > 0, 1 - F.size(F.array_distinct("g")) / F.size("g")).otherwise(0.0), 6).alias("rep5"))
+    rate = F.pandas_udf(lambda refs: refs.map(lambda r: scoring.repeat_rate(list(r))), "double")
+    return _rounded(fixtures.clips(spark, sf_dir).select("clip_id", rate("ref").alias("rep5")), "rep5")
 
 
 def span_contains(spark, sf_dir):
-    """Benchmark texts that occur whole in documents: met by their first five words (all words of a shorter text), then compared to the end."""
+    """Benchmark texts that occur whole in documents.
+
+    Every word of a document that is the first of some text opens a stretch of that text's number of words, which is
+    compared by its hash and then itself. Texts are a table of any size: met by a join on (size, hash).
+    """
     words = lambda c: F.filter(F.split(F.lower(c), "[ \\t\\n\\r\\f]+"), lambda t: t != "")
-    texts = _table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("w")).where("size(w) > 0").groupBy("item_id", "w").agg(F.count("*").alias("times"))
-    items = texts.select("item_id", "times", F.array_join("w", " ").alias("span"), F.array_join(F.slice("w", 1, 5), " ").alias("head"))
-    sizes = [r.k for r in texts.select(F.least(F.size("w"), F.lit(5)).alias("k")).distinct().collect()] or [5]
-    docs = _table(spark, sf_dir, "documents").select("doc_id", words("text").alias("w")).where("size(w) > 0")
-    grams = ", ".join(f"if(size(w) >= {k}, transform(sequence(1, size(w) - {k - 1}), p -> array_join(slice(w, p, {k}), ' ')), cast(array() as array<string>))" for k in sizes)
-    heads = items.select("head").distinct()
-    spans = docs.select("doc_id", F.explode(F.expr(f"array_distinct(concat({grams}))")).alias("head"))
-    spans = spans.join(F.broadcast(heads) if heads.count() < 100_000 else heads, "head", "left_semi")
-    near = spans.join(items, "head").select(F.col("doc_id").alias("near_id"), "item_id", "span", "times").distinct()
-    whole = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), "span", F.lit(" ")))
-    found = docs.join(near, F.col("doc_id").eqNullSafe(F.col("near_id"))).where(whole)
-    return found.select("item_id", "doc_id", F.explode(F.expr("array_repeat(0, cast(times as int))")).alias("copy")).drop("copy")
+    texts = _table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("w")).where("size(w) > 0")
+    items = texts.groupBy(F.array_join("w", " ").alias("span")).agg(F.collect_list("item_id").alias("items"), F.first(F.size("w")).alias("n"), F.first(F.element_at("w", 1)).alias("first"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), words("text").alias("w")).where("size(w) > 0")
+    sizes = items.groupBy("first").agg(F.collect_set("n").alias("sizes"))
+    opens = docs.select("doc_id", "row", "w", F.posexplode("w").alias("at", "first")).join(sizes, "first").select("doc_id", "row", "w", "at", F.explode("sizes").alias("n")).where("at + n <= size(w)")
+    said = opens.select("doc_id", "row", F.expr("array_join(slice(w, at + 1, n), ' ')").alias("span")).distinct()
+    found = said.join(items, "span")
+    return found.select(F.explode("items").alias("item_id"), "doc_id")
 
 
 def block_sums(spark, sf_dir):
@@ -139,18 +159,34 @@ def paired_macro_diff(spark, sf_dir):
     return _rounded(bootstrap.paired(scores(spark, sf_dir), "wer", 1, 2, strata="condition"), "a", "b", "delta", "lo", "hi", "p_two_sided")
 
 
+def cell_metrics(spark, sf_dir):
+    return _rounded(bootstrap.every_metric(scores(spark, sf_dir), "system"), "value", "lo", "hi")
+
+
+def paired_metrics(spark, sf_dir):
+    return _rounded(bootstrap.every_paired(scores(spark, sf_dir).cache(), 1, 2), "a", "b", "delta", "lo", "hi", "p_two_sided")
+
+
 def macro_wer(spark, sf_dir):
     return _rounded(metrics.macro(scores(spark, sf_dir), "wer", "block", "system"), "macro_wer")
 
 
 def macro_ci(spark, sf_dir):
-    return _rounded(bootstrap.macro_ci(scores(spark, sf_dir).where("system = 1"), "wer", "condition"), "value", "lo", "hi")
+    """Of both systems together; the operator takes one table."""
+    return _rounded(bootstrap.macro_ci(scores(spark, sf_dir), "wer", "condition"), "value", "lo", "hi")
 
 
 def leaderboard(spark, sf_dir):
     cells = metrics.metrics(scores(spark, sf_dir), "system", only=("wer",)).select(F.concat(F.lit("system "), "system").alias("label"), F.lit("open").alias("type"), F.col("system").cast("long").alias("ord"), "wer")
-    given = spark.createDataFrame([("published", "results-only", 9, 0.5), ("unscored", "open", 10, None)], "label string, type string, ord long, wer double")
-    return report.ranked(report.union(given, cells), "wer").select("label", report.percent(F.col("wer")).alias("cell"))
+    given = spark.createDataFrame([("published", "results-only", 9, 0.5), ("Twin", "open", 11, 0.25), ("twin", "open", 10, 0.25), ("unscored", "open", 10, None), ("a late one", "results-only", 12, None)], "label string, type string, ord long, wer double")
+    return report.ranks(report.union(given, cells), "wer").select("rank", "label", report.percent(F.col("wer")).alias("cell"))
+
+
+def condition_view(spark, sf_dir):
+    """Systems by condition and metric, side by side."""
+    parts = metrics.by_condition(scores(spark, sf_dir), "system", only=("wer", "term_recall"))
+    wide = parts.groupBy("system").pivot("part", ["all", "clean", "degraded"]).agg(F.first(F.round("wer", 6)).alias("wer"), F.first(F.round("term_recall", 6)).alias("recall"))
+    return wide
 
 
 def ratio_by_flag(spark, sf_dir):
@@ -176,7 +212,118 @@ def turn_fold(spark, sf_dir):
     return turns.turns(rows)
 
 
-QUERIES = {f.__name__: f for f in (wer_corpus, clip_alignment_counts, wer_by_condition, condition_split, completeness, hyp_last_success, todo_anti_join, wanted_semi_join, orphan_hyps, rtf_median, normalize_clean, normalize_tokens, term_metrics, terms_not_in_ref, degenerate_rate, degenerate_clips, rep5_rate, span_contains, block_sums, ratio_ci, paired_diff, paired_macro_diff, macro_wer, macro_ci, leaderboard, ratio_by_flag, audio_hours, turn_concat, final_tokens, turn_fold)}
+def final_results(spark, sf_dir):
+    return turns.final_results(_results(spark, sf_dir))
+
+
+def stream_outcomes(spark, sf_dir):
+    return turns.outcomes(turns.final_results(_results(spark, sf_dir).where("clip_id % 10 < 5")))
+
+
+def _results(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 97 == 0, "Metadata").otherwise("Results")
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 7 > 0, F.concat(F.lit(" "), "event_type")).otherwise("").alias("text"), (F.col("event_id") % 3 != 0).alias("is_final"), (F.col("event_id") % 53 == 0).alias("from_finalize"))
+
+
+def block_keys(spark, sf_dir):
+    meta = F.when(F.col("clip_id") % 3 == 0, F.create_map(F.lit("text_id"), F.lit(None).cast("string"))).when(F.col("clip_id") % 3 == 1, F.create_map(F.lit("text_id"), F.col("text_id").cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    top = F.when(F.col("clip_id") % 2 == 0, F.lit("top"))
+    key = lambda block: columns.block_key(block, F.col("clip_id"), columns.text_id(meta, top))
+    return fixtures.clips(spark, sf_dir).select("clip_id", key("text").alias("by_text"), key("clip").alias("by_clip"))
+
+
+def durations(spark, sf_dir):
+    meta = F.create_map(F.lit("duration_s"), F.when(F.col("clip_id") % 3 == 0, F.lit("0")).when(F.col("clip_id") % 3 == 1, F.lit("2.5")), F.lit("duration"), F.when(F.col("clip_id") % 4 == 0, F.lit("7")), F.lit("audio_s"), F.lit("1.25"))
+    samples = F.when(F.col("clip_id") % 5 == 0, F.col("clip_id") % 1000)
+    return fixtures.clips(spark, sf_dir).select("clip_id", F.round(columns.duration(meta, samples), 6).alias("seconds"))
+
+
+def jsonl_problems(spark, sf_dir):
+    k = F.col("event_id")
+    value = F.when(k % 6 == 0, F.col("props")).when(k % 6 == 1, F.expr("substring(props, 1, length(props) - 1)")).when(k % 6 == 2, "[1]").when(k % 6 == 3, '{"clip_id": "x", "hyp": 3}').when(k % 6 == 4, '{"hyp": "a"}').otherwise(F.concat(F.lit('{"clip_id": "c'), k, F.lit('", "hyp": null}')))
+    rows = _table(spark, sf_dir, "events").select(F.lit("f").alias("file"), k.alias("line_no"), value.alias("value"))
+    return jsonl.problems(rows.withColumn("valid", jsonl.is_object(F.col("value")))).select("line_no", "problem")
+
+
+def collapsed_texts(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", columns.collapsed(F.col("text")).alias("text"))
+
+
+def scrubbed_texts(spark, sf_dir):
+    """Error texts: secrets masked, cut to what an error keeps."""
+    return _table(spark, sf_dir, "documents").select("doc_id", columns.scrubbed(F.col("text"), "the", None, "er").alias("text"))
+
+
+def byte_chunks(spark, sf_dir):
+    parts = columns.chunks(F.col("text").cast("binary"), 3200)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"))
+    return rows.select("doc_id", F.size("parts").alias("n"), F.octet_length(F.try_element_at("parts", F.lit(-1))).alias("last"), F.sha2(F.array_join(F.transform("parts", F.hex), ""), 256).alias("digest"))
+
+
+def path_stems(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", columns.stem(F.col("url")).alias("stem"))
+
+
+def endpoints(spark, sf_dir):
+    base = F.concat(F.lit(" http://h"), "page_id", F.when(F.col("page_id") % 3 == 0, "/v1").when(F.col("page_id") % 3 == 1, "//").otherwise("/v1/"))
+    return _table(spark, sf_dir, "pages").select("page_id", columns.endpoint(base).alias("address"))
+
+
+def retryable_status(spark, sf_dir):
+    status = F.col("event_id") % 600
+    return _table(spark, sf_dir, "events").select("event_id", columns.retryable(status).alias("again"))
+
+
+def pcm_samples(spark, sf_dir):
+    x = F.col("l_discount") * F.col("l_linenumber") * F.when(F.col("l_orderkey") % 2 == 0, 4.0).otherwise(-4.0)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", columns.pcm16_value(x).alias("sample"))
+
+
+def pcm_digests(spark, sf_dir):
+    wav = F.concat(F.lit(bytes(44)), F.col("text").cast("binary"))
+    return _table(spark, sf_dir, "documents").select("doc_id", columns.wav_pcm_sha256(wav).alias("digest"))
+
+
+def missing_ids(spark, sf_dir):
+    """Labelled documents that are not among those of even number."""
+    docs = _table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
+    return _table(spark, sf_dir, "labels").select("doc_id").join(docs, "doc_id", "left_anti")
+
+
+def text_mismatches(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    other = docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return subsets.mismatches(docs, other, "doc_id", "text")
+
+
+def odd_sources(spark, sf_dir):
+    pinned = subsets.Source("d", "r", "en", "src1", ())
+    source = F.struct(F.lit("d").alias("dataset"), F.lit("r").alias("revision"), F.col("lang").alias("config"), F.when(F.col("doc_id") % 2 == 0, "src1").alias("split"))
+    return subsets.odd_sources(_table(spark, sf_dir, "documents").select("doc_id", source.alias("source")), pinned).select("doc_id")
+
+
+def repeated_keys(spark, sf_dir):
+    return jsonl.repeated(_table(spark, sf_dir, "conversations"), "conv_id")
+
+
+def having_all(spark, sf_dir):
+    return metrics.having_all(_table(spark, sf_dir, "conversations"), "conv_id", "role", ["user", "assistant", "system"])
+
+
+def first_rows(spark, sf_dir):
+    """The head of a table in its order, after the check of its size."""
+    rows = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url")
+    return jsonl.read_subset(rows, rows.count(), 100)
+
+
+_FUNCTIONS = (
+    wer_corpus, clip_alignment_counts, wer_by_condition, condition_split, condition_view, completeness, score_counts, hyp_last_success, todo_anti_join, wanted_semi_join, orphan_hyps, rtf_median,
+    normalize_clean, normalize_tokens, term_metrics, term_counts, terms_not_in_ref, degenerate_rate, degenerate_clips, degenerate_detail, flags_map, rep5_rate, span_contains, block_sums, ratio_ci,
+    paired_diff, paired_macro_diff, cell_metrics, paired_metrics, macro_wer, macro_ci, leaderboard, ratio_by_flag, audio_hours, turn_concat, final_tokens, turn_fold, final_results, stream_outcomes,
+    block_keys, durations, jsonl_problems, collapsed_texts, scrubbed_texts, byte_chunks, path_stems, endpoints, retryable_status, pcm_samples, pcm_digests, missing_ids, text_mismatches, odd_sources,
+    repeated_keys, having_all, first_rows,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS} | spoken.QUERIES
 
 _WITH = f"WITH RECURSIVE {fixtures.SQL}"
 _EDITS = f"{_WITH}, {fixtures.EDITS_SQL}"
@@ -185,7 +332,26 @@ _ERRORS = "1.0 * sum(s + d + i) / sum(n_ref)"
 _SPACE = r"'[ \t\n\r\f]+'"
 _BOOT = f"""{_FACTS}, bs AS (SELECT q, block, sum(s + d + i) AS num, sum(n_ref) AS den FROM facts GROUP BY q, block),
 bl AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY block) - 1 AS pos, count(*) OVER (PARTITION BY q) AS k FROM bs),
-draws AS (SELECT b, ('0x' || substring(md5(b || ':' || slot), 1, 8))::BIGINT % k AS pos FROM (SELECT max(k) AS k FROM bl), range(200) r(b), range(100000) t(slot) WHERE slot < k)"""
+draws AS (SELECT q, b, ('0x' || substring(md5(b || ':' || slot), 1, 8))::BIGINT % k AS pos FROM (SELECT q, max(k) AS k FROM bl GROUP BY q), range(2000) r(b), range(1000) t(slot) WHERE slot < k)"""
+#: Facts with terms and, for all metrics, blocks in long form: all(q, metric, block, num, den).
+_FULL = f"{_WITH}, {fixtures.TERMS_SQL}"
+_LOOPS = f"{_WITH}, {fixtures.LOOPS_SQL}"
+_BOTH = f"{_WITH}, {fixtures.TERMS_SQL}, {fixtures.LOOPS_SQL}"
+_ALL = f"""{_BOTH}, every AS (SELECT f.q, c.block, c.condition, f.*, CASE WHEN g.empty OR g.loop THEN 1 ELSE 0 END AS bad FROM full_facts f JOIN flagged g ON f.q = g.q AND f.clip_id = g.clip_id JOIN clips c ON c.clip_id = f.clip_id),
+long AS (SELECT q, block, m.metric, m.scale, sum(m.num) AS num, sum(m.den) AS den FROM (SELECT q, block, unnest([
+  {{'metric': 'wer', 'scale': 1, 'num': s + d + i, 'den': n_ref}}, {{'metric': 'term_recall', 'scale': 1, 'num': term_hits, 'den': term_n}},
+  {{'metric': 'term_word_error_rate', 'scale': 1, 'num': term_word_errors, 'den': term_words}}, {{'metric': 'other_word_error_rate', 'scale': 1, 'num': other_word_errors, 'den': other_words}},
+  {{'metric': 'insertions_per_1k', 'scale': 1000, 'num': i, 'den': n_ref}}, {{'metric': 'degenerate_rate', 'scale': 1, 'num': bad, 'den': 1}}]) AS m FROM every) GROUP BY ALL),
+bl AS (SELECT *, row_number() OVER (PARTITION BY q, metric ORDER BY block) - 1 AS pos, count(*) OVER (PARTITION BY q, metric) AS k FROM long),
+draws AS (SELECT b, ('0x' || substring(md5(b || ':' || slot), 1, 8))::BIGINT % k AS pos FROM (SELECT max(k) AS k FROM bl), range(2000) r(b), range(1000) t(slot) WHERE slot < k)"""
+_PAIR = "a.q = 1 AND b.q = 2"
+_P = "least(1.0, 2 * least(avg((v <= 0)::INT), avg((v >= 0)::INT)))"
+#: Blocks by condition: strata(condition, pos, k, na, da, nb, db).
+_STRATA = f"""{_FACTS}, sb AS (SELECT condition, block, sum(CASE WHEN q = 1 THEN s + d + i ELSE 0 END) AS na, sum(CASE WHEN q = 1 THEN n_ref ELSE 0 END) AS da, sum(CASE WHEN q = 2 THEN s + d + i ELSE 0 END) AS nb, sum(CASE WHEN q = 2 THEN n_ref ELSE 0 END) AS db FROM facts GROUP BY condition, block),
+strata AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY block) - 1 AS pos, count(*) OVER (PARTITION BY condition) AS k FROM sb),
+draws AS (SELECT condition, b, ('0x' || substring(md5(b || ':' || slot), 1, 8))::BIGINT % k AS pos FROM (SELECT condition, max(k) AS k FROM strata GROUP BY condition), range(2000) r(b), range(1000) t(slot) WHERE slot < k)"""
+
+_RESULTS = "WITH e AS (SELECT user_id AS clip_id, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'Metadata' ELSE 'Results' END AS kind, CASE WHEN event_id % 7 > 0 THEN ' ' || event_type ELSE '' END AS text, event_id % 97 <> 0 AND event_id % 3 <> 0 AS fin, event_id % 53 = 0 AS asked FROM events)"
 
 ORACLE_SQL = {
     "wer_corpus": f"{_FACTS} SELECT q AS system, round({_ERRORS}, 6) AS wer, round(1000.0 * sum(i) / sum(n_ref), 6) AS insertions_per_1k FROM facts GROUP BY q",
@@ -203,13 +369,48 @@ b AS (SELECT doc_id, regexp_replace(regexp_replace(c, '[/\-\x{2010}\x{2011}\x{20
 d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(c, '(\p{Nd})(\p{L})', '\1 \2', 'g'), '(\p{L})(\p{Nd})', '\1 \2', 'g'), '(\p{Nd})(%)', '\1 \2', 'g') AS c FROM b)
 SELECT doc_id, trim(regexp_replace(replace(c, chr(1), ','), '\s+', ' ', 'g')) AS cleaned FROM d""",
     "rep5_rate": f"{_WITH}, g AS (SELECT clip_id, CASE WHEN len(ref) >= 5 THEN list_transform(range(1, len(ref) - 3), lambda k: array_to_string(ref[k:k + 4], ' ')) ELSE [] END AS g FROM clips) SELECT clip_id, CASE WHEN len(g) > 0 THEN round(1 - 1.0 * len(list_distinct(g)) / len(g), 6) ELSE 0.0 END AS rep5 FROM g",
-    "span_contains": f"WITH n AS (SELECT item_id, array_to_string(w[1:5], ' ') AS span FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), {_SPACE}), lambda t: t <> '') AS w FROM benchmark) WHERE len(w) >= 5), d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), {_SPACE}), lambda t: t <> ''), ' ') || ' ' AS t FROM documents) SELECT item_id, doc_id FROM n, d WHERE contains(t, ' ' || span || ' ')",
+    "span_contains": f"WITH n AS (SELECT item_id, array_to_string(w, ' ') AS span FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), {_SPACE}), lambda t: t <> '') AS w FROM benchmark) WHERE len(w) > 0), d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), {_SPACE}), lambda t: t <> ''), ' ') || ' ' AS t FROM documents) SELECT item_id, doc_id FROM n, d WHERE contains(t, ' ' || span || ' ')",
     "block_sums": f"{_FACTS} SELECT q AS system, block, sum(s + d + i)::BIGINT AS num, sum(n_ref)::BIGINT AS den FROM facts GROUP BY q, block",
-    "ratio_ci": f"{_BOOT}, v AS (SELECT q, b, 1.0 * sum(num) / nullif(sum(den), 0) AS v FROM draws JOIN bl USING (pos) GROUP BY q, b), p AS (SELECT q, 1.0 * sum(num) / sum(den) AS value, count(*) AS n_blocks FROM bl GROUP BY q) SELECT q AS system, round(value, 6) AS value, n_blocks, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM p JOIN v USING (q) GROUP BY q, value, n_blocks",
+    "ratio_ci": f"{_BOOT}, v AS (SELECT q, b, 1.0 * sum(num) / nullif(sum(den), 0) AS v FROM draws JOIN bl USING (q, pos) GROUP BY q, b), p AS (SELECT q, 1.0 * sum(num) / sum(den) AS value, count(*) AS n_blocks FROM bl GROUP BY q) SELECT q AS system, round(value, 6) AS value, n_blocks, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM p JOIN v USING (q) GROUP BY q, value, n_blocks",
     "macro_wer": f"{_FACTS} SELECT q AS system, round(avg(w), 6) AS macro_wer FROM (SELECT q, block, {_ERRORS} AS w FROM facts GROUP BY q, block) GROUP BY q",
     "ratio_by_flag": "SELECT l_returnflag, round(1000.0 * sum(l_discount) / sum(l_quantity), 6) AS ratio FROM lineitem GROUP BY l_returnflag",
     "audio_hours": f"{_WITH} SELECT condition, round(sum(duration_s) / 3600, 4) AS hours FROM clips GROUP BY condition",
     "turn_concat": "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
     "final_tokens": "SELECT user_id AS clip_id, coalesce(trim(string_agg(event_type || ' ', '' ORDER BY event_id) FILTER (event_id % 3 <> 0)), '') AS text FROM events GROUP BY user_id",
-    "turn_fold": "WITH e AS (SELECT conv_id, turn, turn // 2 AS ti, turn % 2 = 1 AS ended, text FROM conversations), t AS (SELECT conv_id, ti, coalesce(max_by(text, turn) FILTER (ended), max_by(text, turn) FILTER (NOT ended AND text <> '')) AS said FROM e GROUP BY conv_id, ti) SELECT conv_id AS clip_id, string_agg(said, ' ' ORDER BY ti, said) AS text FROM t WHERE said <> '' GROUP BY conv_id",
-}
+    "turn_fold": "WITH e AS (SELECT conv_id, turn, turn // 2 AS ti, turn % 2 = 1 AS ended, trim(text) AS text FROM conversations), t AS (SELECT conv_id, ti, coalesce(max_by(text, turn) FILTER (ended), max_by(text, turn) FILTER (NOT ended)) AS said FROM e GROUP BY conv_id, ti) SELECT conv_id AS clip_id, string_agg(said, ' ' ORDER BY ti, said) AS text FROM t WHERE said <> '' GROUP BY conv_id",
+    "condition_view": f"{_FULL}, f AS (SELECT f.*, c.condition FROM full_facts f JOIN clips c USING (clip_id)) SELECT q AS system, " + ", ".join(f"round(1.0 * sum(s + d + i) FILTER ({w}) / sum(n_ref) FILTER ({w}), 6) AS {n}_wer, round(1.0 * sum(term_hits) FILTER ({w}) / nullif(sum(term_n) FILTER ({w}), 0), 6) AS {n}_recall" for n, w in (("all", "true"), ("clean", "condition = 'clean'"), ("degraded", "condition = 'degraded'"))) + " FROM f GROUP BY q",
+    "score_counts": f"{_FULL} SELECT q AS system, sum(s)::BIGINT AS n_sub, sum(d)::BIGINT AS n_del, sum(i)::BIGINT AS n_ins, sum(n_ref)::BIGINT AS n_words, sum(terms_not_in_ref)::BIGINT AS n_terms_not_in_ref, count(DISTINCT block) AS n_blocks FROM full_facts JOIN clips USING (clip_id) GROUP BY q",
+    "term_metrics": f"{_FULL} SELECT q AS system, round(1.0 * sum(term_hits) / sum(term_n), 6) AS term_recall, round(1.0 * sum(term_word_errors) / sum(term_words), 6) AS term_word_error_rate, round(1.0 * sum(other_word_errors) / sum(other_words), 6) AS other_word_error_rate FROM full_facts GROUP BY q",
+    "term_counts": f"{_FULL} SELECT q AS system, clip_id, term_n, term_hits, terms_not_in_ref, term_words, term_word_errors, other_words, other_word_errors FROM full_facts WHERE term_n > 0 OR terms_not_in_ref > 0",
+    "terms_not_in_ref": f"{_FULL} SELECT q AS system, block, sum(terms_not_in_ref)::BIGINT AS n_absent FROM full_facts JOIN clips USING (clip_id) GROUP BY q, block",
+    "degenerate_rate": f"{_LOOPS} SELECT q AS system, round(avg((empty OR loop)::INT), 6) AS degenerate_rate FROM flagged GROUP BY q",
+    "degenerate_clips": f"{_LOOPS} SELECT q AS system, clip_id, flags FROM flagged WHERE flags <> ''",
+    "degenerate_detail": f"{_LOOPS} SELECT q AS system, clip_id, coalesce(array_to_string(fresh[1:3], '; '), '') AS tandem, round_even(rate, 3) AS rep5, runaway FROM flagged WHERE loop",
+    "flags_map": f"{_LOOPS} SELECT q AS system, block, coalesce(string_agg(clip_id || '=' || replace(flags, ',', '+'), ';' ORDER BY clip_id::VARCHAR) FILTER (flags <> ''), '') AS flags FROM flagged JOIN clips USING (clip_id) GROUP BY q, block",
+    "cell_metrics": f"{_ALL}, v AS (SELECT q, metric, b, scale * 1.0 * sum(num) / nullif(sum(den), 0) AS v FROM draws JOIN bl USING (pos) GROUP BY q, metric, scale, b), p AS (SELECT q, metric, scale * 1.0 * sum(num) / nullif(sum(den), 0) AS value, sum(den)::BIGINT AS n FROM bl GROUP BY q, metric, scale) SELECT q AS system, metric, round(value, 6) AS value, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, n FROM p JOIN v USING (q, metric) GROUP BY q, metric, value, n",
+    "paired_metrics": f"{_ALL}, w AS (SELECT a.metric, a.scale, a.pos, a.k, a.num AS na, a.den AS da, b.num AS nb, b.den AS db FROM bl a JOIN bl b ON a.metric = b.metric AND a.pos = b.pos AND {_PAIR}), v AS (SELECT metric, b, scale * 1.0 * sum(na) / nullif(sum(da), 0) - scale * 1.0 * sum(nb) / nullif(sum(db), 0) AS v FROM draws JOIN w USING (pos) GROUP BY metric, scale, b), p AS (SELECT metric, scale * 1.0 * sum(na) / sum(da) AS a, scale * 1.0 * sum(nb) / sum(db) AS b, count(*) AS n_blocks FROM w GROUP BY metric, scale), r AS (SELECT metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, {_P} AS p FROM v WHERE v IS NOT NULL GROUP BY metric) SELECT metric, round(a, 6) AS a, round(b, 6) AS b, round(a - b, 6) AS delta, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p_two_sided, n_blocks >= 5 AND (lo > 0 OR hi < 0) AS significant, n_blocks FROM p JOIN r USING (metric)",
+    "paired_diff": f"{_STRATA.replace('PARTITION BY condition', 'PARTITION BY 1').replace('SELECT condition, block,', 'SELECT 1 AS condition, block,').replace('FROM facts GROUP BY condition, block', 'FROM facts GROUP BY block')}, v AS (SELECT b, 1.0 * sum(na) / nullif(sum(da), 0) - 1.0 * sum(nb) / nullif(sum(db), 0) AS v FROM draws JOIN strata USING (condition, pos) GROUP BY b), p AS (SELECT 1.0 * sum(na) / sum(da) AS a, 1.0 * sum(nb) / sum(db) AS b, count(*) AS n_blocks FROM strata), r AS (SELECT quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, {_P} AS p FROM v WHERE v IS NOT NULL) SELECT round(a, 6) AS a, round(b, 6) AS b, round(a - b, 6) AS delta, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p_two_sided, n_blocks >= 5 AND (lo > 0 OR hi < 0) AS significant, n_blocks FROM p, r",
+    "paired_macro_diff": f"{_STRATA}, v AS (SELECT b, avg(v) AS v FROM (SELECT condition, b, 1.0 * sum(na) / nullif(sum(da), 0) - 1.0 * sum(nb) / nullif(sum(db), 0) AS v FROM draws JOIN strata USING (condition, pos) GROUP BY condition, b) GROUP BY b HAVING count(*) = count(v)), p AS (SELECT avg(a) AS a, avg(b) AS b, sum(k)::BIGINT AS n_blocks FROM (SELECT 1.0 * sum(na) / sum(da) AS a, 1.0 * sum(nb) / sum(db) AS b, count(*) AS k FROM strata GROUP BY condition)), r AS (SELECT quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, {_P} AS p FROM v) SELECT round(a, 6) AS a, round(b, 6) AS b, round(a - b, 6) AS delta, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p_two_sided, n_blocks >= 5 AND (lo > 0 OR hi < 0) AS significant, n_blocks FROM p, r",
+    "macro_ci": f"{_STRATA}, v AS (SELECT b, avg(v) AS v FROM (SELECT condition, b, 1.0 * sum(na + nb) / nullif(sum(da + db), 0) AS v FROM draws JOIN strata USING (condition, pos) GROUP BY condition, b) GROUP BY b HAVING count(*) = count(v)), p AS (SELECT avg(v) AS value, sum(k)::BIGINT AS n_blocks FROM (SELECT 1.0 * sum(na + nb) / sum(da + db) AS v, count(*) AS k FROM strata GROUP BY condition)) SELECT round(value, 6) AS value, n_blocks, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM p, v GROUP BY value, n_blocks",
+    "leaderboard": f"{_FACTS}, s AS (SELECT 'system ' || q AS label, 'open' AS type, q::BIGINT AS ord, {_ERRORS} AS wer FROM facts GROUP BY q UNION ALL VALUES ('published', 'results-only', 9, 0.5), ('Twin', 'open', 11, 0.25), ('twin', 'open', 10, 0.25), ('unscored', 'open', 10, NULL), ('a late one', 'results-only', 12, NULL)) SELECT (row_number() OVER (ORDER BY type <> 'results-only', CASE WHEN type = 'results-only' THEN ord END, wer IS NULL, wer, lower(label), ord))::INT AS rank, label, CASE WHEN wer IS NULL THEN '–' ELSE printf('%.1f', 100 * wer) END AS cell FROM s",
+    "final_results": f"{_RESULTS} SELECT clip_id, coalesce(string_agg(trim(text), ' ' ORDER BY seq) FILTER (fin AND trim(text) <> ''), '') AS text, coalesce(bool_or(fin AND asked), false) AS finalized, coalesce(bool_or(kind = 'Metadata') OR bool_or(fin AND asked), false) AS complete FROM e GROUP BY clip_id",
+    "stream_outcomes": f"{_RESULTS}, f AS (SELECT clip_id, coalesce(string_agg(trim(text), ' ' ORDER BY seq) FILTER (fin AND trim(text) <> ''), '') AS text, bool_or(kind = 'Metadata') OR bool_or(fin AND asked) AS complete FROM e WHERE clip_id % 10 < 5 GROUP BY clip_id) SELECT clip_id, CASE WHEN complete THEN text ELSE '' END AS hyp, CASE WHEN NOT complete THEN 'RetryableError: the stream ended without its end marker' END AS error FROM f",
+    "block_keys": f"{_WITH} SELECT clip_id, coalesce(CASE WHEN clip_id % 3 = 1 THEN text_id::VARCHAR WHEN clip_id % 3 = 2 AND clip_id % 2 = 0 THEN 'top' END, clip_id::VARCHAR) AS by_text, clip_id::VARCHAR AS by_clip FROM clips",
+    "durations": f"{_WITH} SELECT clip_id, round(CASE WHEN clip_id % 5 = 0 THEN clip_id % 1000 / 16000.0 WHEN clip_id % 3 = 1 THEN 2.5 WHEN clip_id % 4 = 0 THEN 7 ELSE 1.25 END, 6)::DOUBLE AS seconds FROM clips",
+    "jsonl_problems": """WITH l AS (SELECT event_id AS line_no, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN substring(props, 1, length(props) - 1) WHEN 2 THEN '[1]' WHEN 3 THEN '{"clip_id": "x", "hyp": 3}' WHEN 4 THEN '{"hyp": "a"}' ELSE '{"clip_id": "c' || event_id || '", "hyp": null}' END AS value FROM events),
+p AS (SELECT line_no, CASE WHEN NOT json_valid(value) OR json_type(value) <> 'OBJECT' THEN 'not a JSON object' WHEN coalesce(value->>'clip_id', '') = '' THEN 'no clip_id' WHEN coalesce(json_type(value, '$.hyp'), 'NULL') NOT IN ('NULL', 'VARCHAR') THEN 'hyp is not a string' END AS problem FROM l) SELECT * FROM p WHERE problem IS NOT NULL""",
+    "collapsed_texts": r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\x09-\x0d\x1c-\x20\x{85}\p{Z}]+', ' ', 'g')) AS text FROM documents",
+    "scrubbed_texts": "SELECT doc_id, substring(replace(replace(text, 'the', '***'), 'er', '***'), 1, 500) AS text FROM documents",
+    "byte_chunks": "WITH b AS (SELECT doc_id, encode(text) AS b FROM documents) SELECT doc_id, ((octet_length(b) + 3199) // 3200)::INT AS n, CASE WHEN octet_length(b) > 0 THEN (octet_length(b) - 1) % 3200 + 1 END::INT AS last, sha256(hex(b)) AS digest FROM b",
+    "path_stems": r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)/*$', 1), '(.)\.[^.]*$', '\1') AS stem FROM pages",
+    "endpoints": "SELECT page_id, 'http://h' || page_id || '/v1/audio/transcriptions' AS address FROM pages",
+    "retryable_status": "SELECT event_id, event_id % 600 IN (408, 425, 429) OR event_id % 600 >= 500 AS again FROM events",
+    "pcm_samples": "SELECT l_orderkey, l_linenumber, greatest(least(round_even(l_discount * l_linenumber * CASE WHEN l_orderkey % 2 = 0 THEN 4.0::DOUBLE ELSE -4.0::DOUBLE END * 32768, 0), 32767), -32768)::INT AS sample FROM lineitem",
+    "pcm_digests": "SELECT doc_id, sha256(text) AS digest FROM documents",
+    "missing_ids": "SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)",
+    "text_mismatches": "SELECT doc_id FROM documents WHERE doc_id % 7 = 0 AND text IS NOT NULL",
+    "odd_sources": "SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en' OR doc_id % 2 <> 0",
+    "repeated_keys": "SELECT conv_id, count(*) AS times FROM conversations GROUP BY conv_id HAVING count(*) > 1",
+    "having_all": "SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) FILTER (role IN ('user', 'assistant', 'system')) = 3",
+    "first_rows": "SELECT page_id AS ord, url FROM pages ORDER BY page_id LIMIT 100",
+} | spoken.ORACLE_SQL

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-import re
+from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ def read_hyps(spark: SparkSession, path: str) -> DataFrame:
     """Checked hypothesis lines: line_no, clip_id, hyp, secs, error."""
     rows = lines(spark, path)
     if bad := problems(rows).orderBy("file", "line_no").first():
-        raise MalformedFileError(f"{bad['file']}: line {bad['line_no']} ({bad['problem']})")
+        record = rows.where((F.col("file") == bad["file"]) & (F.col("line_no") <= bad["line_no"])).count()
+        raise MalformedFileError(f"{bad['file']}: record {record}, line {bad['line_no']} ({bad['problem']})")
     return rows.select("line_no", F.from_json("value", HYPS).alias("r")).select("line_no", "r.*")
 
 
@@ -60,7 +62,8 @@ def resumable(rows: DataFrame) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    """A folder of parts; null fields are written as nulls."""
+    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -72,23 +75,53 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("quote", "").csv(path)
 
 
-def read_subset(df: DataFrame, n_clips: int, limit: int | None = None) -> DataFrame:
+def read_subset(df: DataFrame, n_clips: int, limit: int | None = None, name: str = "subset") -> DataFrame:
     """``df`` in its order after a check of its row count; limit 0 or None takes all."""
     if (n := df.count()) != n_clips:
-        raise ValueError(f"{n} clips where {n_clips} are declared")
+        raise ValueError(f"{name}: {n} clips where {n_clips} are declared")
     return df.orderBy("ord").limit(limit) if limit else df
 
 
+def parsed(line: bytes | str) -> dict:
+    """One line as an object; anything else raises ``ValueError``."""
+    found = json.loads(line.decode() if isinstance(line, bytes) else line)
+    if not isinstance(found, dict):
+        raise ValueError(f"a JSON object is expected, not {type(found).__name__}")
+    return found
+
+
+def read_lines(path: str | Path) -> list[dict]:
+    """Objects of a small file on the driver; blank lines are passed over, and what is no object is named by file and line."""
+    out = []
+    for k, line in enumerate(Path(path).read_bytes().split(b"\n"), 1):
+        if line.strip():
+            try:
+                out.append(parsed(line))
+            except ValueError as error:
+                raise MalformedFileError(f"{path}, line {k}: {error}") from None
+    return out
+
+
+def write_lines(path: str | Path, rows: Iterable[dict]) -> None:
+    """A small file on the driver, an object a line, letters as they are; its name appears once it is whole."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(path.name + ".part")
+    part.write_text("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows), encoding="utf-8")
+    part.replace(path)
+
+
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """Keys that occur more than once, and how often."""
+    return df.groupBy(key).agg(F.count("*").alias("times")).where("times > 1")
+
+
 def unique(df: DataFrame, key: str) -> DataFrame:
     """``df`` after a check that no key repeats."""
-    if twice := df.groupBy(key).count().where("count > 1").first():
-        raise ValueError(f"{key} {twice[0]} occurs {twice['count']} times")
+    if twice := repeated(df, f"`{key}`").first():
+        raise ValueError(f"{key} {twice[0]} occurs {twice['times']} times")
     return df
 
 
-def stem(path: str) -> str:
-    return re.sub(r".*/|\.[^./]*$", "", path)
-
-
 def dumps(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2)

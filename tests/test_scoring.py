@@ -57,7 +57,7 @@ def test_edits_have_least_cost():
 
 
 def test_terms_and_loops():
-    facts, flags = scoring.facts("dolor de fractura de fémur hoy".split(), "dolor de fractura de femur hoy".split(), ("fractura de fémur",))
+    facts, flags, _ = scoring.facts("dolor de fractura de fémur hoy".split(), "dolor de fractura de femur hoy".split(), ("fractura de fémur",))
     assert facts == [6, 6, 1, 0, 0, 1, 0, 0, 2, 1, 4, 0] and flags == []
     assert scoring.degenerate(["a"], [])[0] == ["empty"] and scoring.degenerate(["a"], ["b"] * 4)[0] == ["loop"]
     assert scoring.degenerate([], [])[0] == [] and scoring.loops("a b a b a b".split()) == {("a", "b")}
