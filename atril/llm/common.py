@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,11 +45,24 @@ def _remove(spark: SparkSession, base: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost no rows."""
-    path = scratch(df.sparkSession, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether Spark removes the shuffle files of a finished command.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, kind: str = "table", by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost no rows.
+
+    The shuffle files of the write go with it, as nothing needs them any more. by: a column whose values have a folder each.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, kind)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -127,11 +138,3 @@ def pieces_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
 def words_of(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: what ``bytes.split`` splits at is just that."""
     return text.split()
-
-
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so once their plans are garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1.5)

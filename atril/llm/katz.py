@@ -1,22 +1,31 @@
-"""Bigram language model with Katz backoff.
-
-Counts up to ``K`` are discounted by Good-Turing (see ``discounts``). The
-unigram level gives what its discounts free to one class of unknown words; each history gives what its discounts free to
-the words that it was not seen with, in proportion to their unigram probability, with backoff weights normalised exactly
-over all words and the unknown class. A history whose discounts free nothing gets one virtual count.
-
-Plan: documents go into chunks of about 4 MB with a word list each. (1) Word hashes with training counts are dealt by
-word into the unigram table's partitions, which number the words and answer each chunk with ids and counts. (2) Each
-chunk sends its distinct bigrams, training counts and the second words' counts to the bigram table's partitions, dealt
-by history; histories that make up over a thousandth of all training tokens (fewer than a thousand) are dealt by second
-word too. The partitions sum the counts and answer with each bigram's count and each history's sums. (3) The chunk
-evaluates its bigrams, seen ones by their discounted counts and others by backoff, and sums them over each text's
-tokens. Bigrams and answers travel as sorted, compressed blocks; a word's count goes once a block, in the order of its
-rank, where neighbours are alike, and a history's sums are whole numbers that both levels' discounts apply to. All counts come from all training documents.
+"""Language model with Katz backoff, of any order (three by default).
+
+Counts up to ``K`` are discounted by Good-Turing: r* = (r + 1) E(r + 1) / E(r), where E, the expected counts of counts, is
+the line fitted to their logarithms (``discounts``), as single ones are too uneven to be used themselves; counts above K
+stay. The unigram level gives what its discounts free to one class of unknown words. At each higher level a history gives
+what its discounts free to the words that it was not seen with, in proportion to the next lower level's probability, with
+backoff weights normalised exactly over all words and the unknown class. A history whose discounts free nothing gets one
+virtual count.
+
+Plan, one exchange a level: documents go into chunks of about 16 MB. Each chunk sends its distinct words (as hashes with
+training counts) to the word table's parts, which number the words and answer with ids and counts. For each higher level
+it sends its distinct n-grams with training counts and with the counts of their last n - 1 words to the parts of that
+level's table, dealt by history. A part sums the counts, keeps the n-grams that were seen in training as its share of the
+stored table, and answers each chunk with the counts of what it sent and the sums of its histories. Last, the chunk evaluates its
+n-grams from the lowest level up: seen ones by their discounted counts, others by backoff, and sums them over each text.
+Histories that make up over a thousandth of all training tokens (fewer than a thousand a level), and the beginnings of
+texts, are dealt by the next word too; their sums meet on the driver. A history's sums are whole numbers, to which the
+discounts of all parts apply later. N-grams and answers travel as compressed columns. All counts come from all training
+documents.
+
+``fit`` gives a ``Model``: its tables lie in the shared folder, partitioned by part, and hold (n-gram, count) in compact
+form; ``Model.table`` and ``Model.backoffs`` show them as rows with probabilities and backoff weights. ``score`` asks these
+tables for any documents. ``fit_and_score`` does both in one exchange a level.
 
 Words are told apart by 64-bit XXH64. Null texts are empty (one token, the end); a null doc_id has the text "" and so is
-held out. Without training documents every token has probability 1. Repeated rows count and come back as often as they
-occur. A chunk that came out differently when redone would stop the job (its name holds a digest of its words).
+held out. Very long texts count whole. Without training documents every token has probability 1. Repeated rows count and
+come back as often as they occur; an empty table gives no rows; columns other than doc_id and text are not read, whatever
+their names. A chunk that came out differently when redone would stop the job (its name holds a digest of its words).
 """
 
 from __future__ import annotations
@@ -24,7 +33,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +42,24 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Index, chunked, dealt, materialize, pack, pieces_of, settle, unpack, words_of
+from .common import Index, chunked, dealt, materialize, pack, pieces_of, unpack, words_of
 
+ORDER = 3
 K = 5
-#: Sums of a history: bigrams of each count to K, the tokens of the others; the same for their second words' counts.
+#: Sums of a history: n-grams of each count to K, the tokens of the others; the same for the counts of their last words.
 SUMS = 2 * K + 2
-#: The end of a text as a word: white space is in no word.
+#: The end of a text as a word: white space is in no word. Ids of words begin at 1; 0 stands before a text.
 END = b"\n"
-BEGIN = (1 << 32) - 1
-#: A history with over one in so many training tokens is dealt by its second words too.
+#: A history with over one in so many training tokens is dealt by its next words too.
 HOT = 1000
+CHUNK = 16 << 20
+#: Bytes of input a part at most, which a worker holds some twenty times; the session's shuffle partitions give more parts
+#: where input is small. With larger workers, raise both this and CHUNK, so that a chunk's share for a part stays whole.
+PART_BYTES = 64 << 20
+#: Slope of the counts of counts where fewer than two are there, and the flattest that is used: r* < r below it only.
+SLOPE, FLATTEST = -2.0, -1.05
 
 
 def held_out(doc_id: object) -> bool:
@@ -50,36 +67,50 @@ def held_out(doc_id: object) -> bool:
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Factors for counts 0 to K (0 unused) from the counts of counts n[1] to n[K + 1].
+    """Factors for counts 0 to K (0 unused) from the counts of counts n[1] to n[K + 1]: Katz's, of expected counts r**b.
 
-    Katz's Good-Turing factors; where the counts of counts are too uneven for them to lie in (0, 1], those of counts of
-    counts on the fitted power law; where that fails too (little text), half a count is taken off each count.
+    b: the slope of the least-squares line through the logarithms, FLATTEST at most.
     """
     r = np.arange(1, K + 1)
     some = np.flatnonzero(n[1 : K + 2] > 0) + 1
-    fitted = np.exp(np.polyval(np.polyfit(np.log(some), np.log(n[some]), 1), np.log(np.arange(1, K + 2)))) if len(some) > 1 else np.zeros(K + 1)
-    for m in (n[1 : K + 2], fitted):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            shared = (K + 1) * m[K] / m[0]
-            d = ((r + 1) * m[1:] / (r * m[:-1]) - shared) / (1 - shared)
-        if np.isfinite(d).all() and (d > 0).all() and (d <= 1).all():
-            return np.concatenate([[0.0], d])
-    return np.concatenate([[0.0], (r - 0.5) / r])
+    b = min(FLATTEST, float(np.polyfit(np.log(some), np.log(n[some]), 1)[0])) if len(some) > 1 else SLOPE
+    shared = (K + 1.0) ** (b + 1)
+    return np.concatenate([[0.0], ((1 + 1 / r) ** (b + 1) - shared) / (1 - shared)])
+
+
+def discounted(c: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return c * np.where(c <= K, factors[np.minimum(c, K)], 1.0)
+
+
+def weighed(sums: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Discounted tokens of rows of K + 1 sums."""
+    return sums @ np.append(np.arange(1, K + 1) * factors[1:], 1.0)
+
+
+def classes_of(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """K + 1 sums of counts ``n`` for each of ``size`` groups."""
+    out = np.zeros((size, K + 1), np.int64)
+    for r in range(1, K + 1):
+        out[:, r - 1] = np.bincount(of[n == r], minlength=size)
+    out[:, K] = np.bincount(of, np.where(n > K, n, 0), size).astype(np.int64)
+    return out
 
 
 @dataclass(frozen=True)
 class Unigrams:
-    """The unigram level: N tokens, V words, documents learnt from, discounts, and the unknown class's probability."""
+    """The lowest level: N tokens, V words, documents learnt from, discounts, and the unknown class's probability."""
 
-    tokens: int
-    words: int
-    documents: int
-    factors: np.ndarray
-    unknown: float
-    total: float
+    tokens: int = 0
+    words: int = 0
+    documents: int = 0
+    factors: np.ndarray = field(default_factory=lambda: np.zeros(K + 1))
+    unknown: float = 1.0
+    total: float = 1.0
 
     @classmethod
     def of(cls, tokens: int, words: int, documents: int, n: np.ndarray) -> Unigrams:
+        if not tokens:
+            return cls()
         d, r = discounts(n), np.arange(K + 1)
         freed = float(((1 - d) * r * n[: K + 1])[1:].sum())
         return cls(tokens, words, documents, d, freed / tokens, tokens) if freed > 0 else cls(tokens, words, documents, d, 1 / (tokens + 1), tokens + 1)
@@ -88,8 +119,133 @@ class Unigrams:
         return np.where(c > 0, discounted(c, self.factors) / self.total, self.unknown)
 
 
-def discounted(c: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    return c * np.where(c <= K, factors[np.minimum(c, K)], 1.0)
+@dataclass
+class Model:
+    """A fitted model: ``ways`` parts; for each level its table (way, a: columns, b: counts, c: counts of the last words),
+    discounts, and the sums of hot histories."""
+
+    order: int
+    ways: int
+    unigrams: Unigrams = field(default_factory=Unigrams)
+    tables: dict[int, DataFrame] = field(default_factory=dict)
+    factors: dict[int, np.ndarray] = field(default_factory=dict)
+    shared: dict[int, dict[tuple, np.ndarray]] = field(default_factory=dict)
+
+    @property
+    def hot_from(self) -> float:
+        return self.unigrams.tokens / HOT
+
+    def discount(self, n: int) -> np.ndarray:
+        return self.unigrams.factors if n == 1 else self.factors[n]
+
+    def words(self) -> DataFrame:
+        """(id, hash, count, probability) of each word."""
+        ways, level = self.ways, self.unigrams
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for way, a, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    hashes, count = unpack(a[0], np.uint64), unpack(counts, np.uint64).astype(np.int64)
+                    ids = np.arange(len(hashes)) * ways + way + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes.view(np.int64)), pa.array(count), pa.array(level.probability(count))], ["id", "hash", "count", "probability"])
+
+        return self.tables[1].select("way", "a", "b").mapInArrow(run, "id long, hash long, count long, probability double")
+
+    def _rows(self, n: int) -> DataFrame:
+        """(history, word, count, kept, lower) of level ``n``; kept and lower: discounted counts of the n-gram and of its last n - 1 words."""
+        own, low = self.discount(n), self.discount(n - 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for a, counts, lower in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                    cols, count = _unpacked(a), unpack(counts, np.uint64).astype(np.int64)
+                    flat = np.stack(cols[:-1], 1).astype(np.int64)
+                    history = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n - 1, dtype=np.int32)), pa.array(flat.reshape(-1)))
+                    below = discounted(unpack(lower, np.uint64).astype(np.int64), low)
+                    yield pa.RecordBatch.from_arrays([history, pa.array(cols[-1].astype(np.int64)), pa.array(count), pa.array(discounted(count, own)), pa.array(below)], ["history", "word", "count", "kept", "lower"])
+
+        return self.tables[n].select("a", "b", "c").mapInArrow(run, "history array<long>, word long, count long, kept double, lower double")
+
+    def _histories(self, n: int) -> DataFrame:
+        sums = self._rows(n).groupBy("history").agg(F.sum("count").alias("seen"), F.sum("kept").alias("kept"), F.sum("lower").alias("lower"))
+        return sums.withColumn("total", F.when(F.col("kept") >= F.col("seen") * (1 - 1e-12), F.col("seen") + 1).otherwise(F.col("seen").cast("double")))
+
+    def table(self, n: int) -> DataFrame:
+        """(history array<long>, word, count, probability) of the n-grams of level ``n``, two or more."""
+        return self._rows(n).join(self._histories(n).select("history", "total"), "history").select("history", "word", "count", (F.col("kept") / F.col("total")).alias("probability"))
+
+    def backoffs(self, n: int) -> DataFrame:
+        """(history array<long>, backoff) of the histories of level ``n``."""
+        own = self._histories(n)
+        if n > 2:
+            below = self._histories(n - 1).select(F.col("history").alias("short"), F.col("total").alias("below"))
+            own = own.join(below, F.slice(own["history"], 2, n - 2) == below["short"])
+        else:
+            own = own.withColumn("below", F.lit(float(self.unigrams.total)))
+        return own.select("history", ((1 - F.col("kept") / F.col("total")) / (1 - F.col("lower") / F.col("below"))).alias("backoff"))
+
+
+# Columns of n-grams: the first as differences, which are small where n-grams of a history lie together.
+
+
+def _packed(cols: list[np.ndarray]) -> list[bytes]:
+    first = np.diff(cols[0].astype(np.int64), prepend=np.int64(0))
+    return [pack((first << 1 ^ first >> 63).view(np.uint64)), *(pack(c) for c in cols[1:])]
+
+
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    first, *rest = (unpack(b, np.uint64) for b in blobs)
+    moved = (first >> np.uint64(1)).astype(np.int64) ^ -(first & np.uint64(1)).astype(np.int64)
+    return [moved.cumsum().view(np.uint64), *rest]
+
+
+def _distinct(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the distinct rows in lexicographic order, and which of them each row is."""
+    bits = [int(c.max()).bit_length() if len(c) else 0 for c in cols]
+    if sum(bits) <= 64:
+        key = np.zeros(len(cols[0]), np.uint64)
+        for c, n in zip(cols, bits, strict=True):
+            key = key << np.uint64(n) | c
+        return np.unique(key, return_index=True, return_inverse=True)[1:]
+    order = np.lexsort(cols[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in cols], 0)
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = new.cumsum() - 1
+    return order[new], inverse
+
+
+def _runs(cols: list[np.ndarray], breaks: np.ndarray | None = None) -> np.ndarray:
+    """Where rows of ``cols`` differ from the row before, or ``breaks`` does."""
+    n = len(cols[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    changed = np.any([c[1:] != c[:-1] for c in (*cols, *(() if breaks is None else (breaks,)))], 0)
+    return np.flatnonzero(np.concatenate([[True], changed]))
+
+
+def _stretches(way: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(way, start, end) of the runs of a sorted array."""
+    cuts = np.flatnonzero(np.diff(way)) + 1
+    for a, b in zip([0, *cuts], [*cuts, len(way)], strict=True):
+        if b > a:
+            yield int(way[a]), int(a), int(b)
+
+
+def _mixed(cols: list[np.ndarray]) -> np.ndarray:
+    """A hash of each row."""
+    out = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:
+        out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
+    return pa.table([pa.array(v, t) for v, t in columns.values()], names=list(columns))
+
+
+# Chunks.
 
 
 @dataclass
@@ -118,7 +274,7 @@ def _sequences(positions: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.n
 
 def _chunks(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[Chunk]:
     task = TaskContext.get().partitionId()
-    for k, rows in enumerate(chunked(batches)):
+    for k, rows in enumerate(chunked(batches, CHUNK)):
         index, parts, sizes = Index(), [], []
         index[END]
         for _, text in rows:
@@ -136,209 +292,304 @@ def _chunks(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[Chunk]:
         yield Chunk(f"{task}-{k}-{digest}", [i for i, _ in rows], held, np.array(sizes, np.int64), positions, hashes[order], way[order], int(place[0]))
 
 
-def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
-
-
-def _stretches(way: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(way, start, end) of the runs of a sorted array."""
-    cuts = np.flatnonzero(np.diff(way)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(way)], strict=True):
-        if b > a:
-            yield int(way[a]), int(a), int(b)
+@dataclass
+class Level:
+    """A chunk's distinct n-grams in the order in which they are dealt.
 
+    index: which of them each token ends; first: a token that ends each; history: the run of n-grams with one history that
+    each lies in; opens: where these runs begin; hot: of each history, whether its sums are shared; seen: of each history, its count.
+    """
 
-def _bigrams(ids: np.ndarray, c: np.ndarray, tokens: np.ndarray, starts: np.ndarray, hot_from: float, ways: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams in the order in which they are dealt, the way of each, the second word's count, and which of them each token is."""
-    word = ids[tokens]
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[starts[:-1]] = BEGIN
-    key, first, inverse = np.unique(history << np.uint64(32) | word, return_index=True, return_inverse=True)
-    before = np.where(history[first] == BEGIN, np.inf, c[tokens[first - 1]])
-    h, w = key >> np.uint64(32), key & np.uint64(BEGIN)
-    salt = np.where(before > hot_from, w, 0).astype(np.uint64)
-    way = ((h * np.uint64(0x9E3779B97F4A7C15) ^ salt * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)) % np.uint64(ways)
-    order = np.lexsort((key, way))
+    cols: list[np.ndarray]
+    index: np.ndarray
+    first: np.ndarray
+    way: np.ndarray
+    history: np.ndarray
+    opens: np.ndarray
+    seen: np.ndarray
+    hot: np.ndarray
+    count: np.ndarray | None = None
+    own: np.ndarray | None = None
+    lower: np.ndarray | None = None
+
+
+def _next(below: Level, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray, model: Model) -> Level:
+    """The n-grams of a chunk from its (n - 1)-grams, whose counts are known. ``way`` is twice the part, and one more for hot histories."""
+    none = len(below.count)
+    before = np.concatenate([[none], below.index[:-1]])
+    before[starts[:-1]] = none
+    _, first, inverse = np.unique(before * len(ids) + tokens, return_index=True, return_inverse=True)
+    hist, word = before[first], ids[tokens[first]]
+    known = [np.append(c, np.uint64(0))[hist] for c in below.cols]
+    seen = np.append(below.count, model.unigrams.documents)[hist]
+    hot = (seen > model.hot_from) | (hist == none)
+    way = (_mixed([*known, np.where(hot, word, np.uint64(0))]) >> np.uint64(20)) % np.uint64(model.ways)
+    way = (way * np.uint64(2) + hot).astype(np.uint16 if model.ways < 1 << 15 else np.int64)
+    order = np.argsort(way, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return key[order], way[order].astype(np.int64), c[tokens[first]][order], place[inverse]
+    way, hist = way[order].astype(np.int64), hist[order]
+    opens = _runs([hist], way)
+    history = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(hist))))
+    return Level([c[order] for c in (*known, word)], place[inverse], first[order], way, history, opens, seen[order][opens].astype(float), hot[order][opens])
+
 
+OUT = "kind string, chunk string, way int, a array<binary>, b binary, c binary, stats array<double>"
+_OUT = [("kind", pa.string()), ("chunk", pa.string()), ("way", pa.int32()), ("a", pa.list_(pa.binary())), ("b", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.float64()))]
+ASK = "way int, part int, chunk string, a array<binary>, b binary, c binary"
 
-def _runs(h: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
 
+def _out(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_OUT)], names=[n for n, _ in _OUT])
 
-ANSWER = "chunk string, way int, level int, a binary, b binary, c binary, stats array<double>"
-_ANSWER = [("chunk", pa.string()), ("way", pa.int32()), ("level", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("stats", pa.list_(pa.float64()))]
 
+def _asked(out: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.binary()), pa.binary(), pa.binary())
+    return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["way", "part", "chunk", "a", "b", "c"])
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_ANSWER)], names=[n for n, _ in _ANSWER])
 
+def _way_of(*tables: pa.Table) -> int:
+    return next(t["way"][0].as_py() for t in tables if t.num_rows)
 
-def _unigram_table(ways: int):
-    def run(table: pa.Table) -> pa.Table:
-        way = table["way"][0].as_py()
-        hashes = [unpack(b, np.uint64) for b in table["a"].to_pylist()]
-        counts = np.concatenate([unpack(b, np.uint32) for b in table["b"].to_pylist()])
-        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+
+def _word_part(ways: int):
+    """A part of the word table: numbers words by falling count; words of a stored table keep their numbers."""
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        way, known = _way_of(asked, stored), stored.num_rows
+        hashes = [*(unpack(x[0], np.uint64) for x in stored["a"].to_pylist()), *(unpack(x[0], np.uint64) for x in asked["a"].to_pylist())]
+        counts = np.concatenate([*(unpack(x, np.uint64) for x in stored["b"].to_pylist()), *(unpack(x, np.uint64) for x in asked["b"].to_pylist())])
+        distinct, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         total = np.bincount(inverse, counts).astype(np.int64)
+        order = np.lexsort((first, ~(total > 0))) if known else np.argsort(-total, kind="stable")
         rank = np.empty(len(total), np.int64)
-        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
-        ids = rank * ways + way
-        if len(ids) and ids.max() >= BEGIN:
-            raise ValueError("more words than 32-bit ids")
-        stats = [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))]
-        rows, at = [(None, way, 0, None, None, None, stats)], 0
-        rows += [(None, way, 4, None, None, None, [float(ids[k]), float(total[k])]) for k in np.flatnonzero(total * HOT > total.sum())]
-        for chunk, h in zip(table["chunk"].to_pylist(), hashes, strict=True):
+        rank[order] = np.arange(len(total))
+        rows: list[tuple] = [("sums", None, way, None, None, None, [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))])]
+        if not known:
+            seen = order[total[order] > 0]
+            rows.append(("table", None, way, [pack(distinct[seen])], pack(total[seen].astype(np.uint64)), None, None))
+        at = sum(map(len, hashes[:known]))
+        for chunk, h in zip(asked["chunk"].to_pylist(), hashes[known:], strict=True):
             own = inverse[at : at + len(h)]
             at += len(h)
-            rows.append((chunk, way, 1, pack(rank[own].astype(np.uint32)), pack(total[own][np.argsort(rank[own])].astype(np.uint64)), None, None))
-        return _answers(rows)
+            rows.append(("answer", chunk, way, [pack(rank[own].astype(np.uint64))], pack(total[own][np.argsort(rank[own])].astype(np.uint64)), None, None))
+        return _out(rows)
 
     return run
 
 
-def _bigram_table(hot: np.ndarray):
-    def run(table: pa.Table) -> pa.Table:
-        way = table["way"][0].as_py()
-        keys = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in table["a"].to_pylist()]
-        counts = np.concatenate([unpack(b, np.uint32) for b in table["b"].to_pylist()])
-        seconds = np.concatenate([unpack(b, np.uint64).astype(np.int64)[np.unique(k & np.uint64(BEGIN), return_inverse=True)[1]] for b, k in zip(table["c"].to_pylist(), keys, strict=True)])
-        key, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, counts).astype(np.int64)
-        h, opens = key >> np.uint64(32), _runs(key >> np.uint64(32))
+def _gram_part(n: int):
+    """A part of the table of n-grams: counts, histories' sums, and answers to what the chunks asked. Blocks with an odd
+    ``part`` are of hot histories, of which this part has a share: its sums are told."""
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        way, known, blocks = _way_of(asked, stored), stored.num_rows, [*stored.to_pylist(), *asked.to_pylist()]
+        parts = [_unpacked(r["a"]) for r in blocks]
+        sizes = [len(p[0]) for p in parts]
+        cols = [np.concatenate([p[k] for p in parts]) for k in range(n)]
+        del parts
+        first, inverse = _distinct(cols)
+        cols = [c[first] for c in cols]
+        total = np.bincount(inverse, np.concatenate([unpack(r["b"], np.uint64) for r in blocks])).astype(np.int64)
+        lower = np.concatenate([unpack(r["c"], np.uint64) for r in blocks])[first].astype(np.int64)
+        opens = _runs(cols[:-1])
+        of = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(first))))
         seen = total > 0
-        of = np.cumsum(np.isin(np.arange(len(h)), opens)) - 1 if len(h) else np.zeros(0, int)
-        sums = np.zeros((len(opens), SUMS))
-        for at, n in ((0, total), (K + 1, np.where(seen, seconds[first], 0))):
-            for r in range(1, K + 1):
-                sums[:, at + r - 1] = np.bincount(of, n == r, len(opens))
-            sums[:, at + K] = np.bincount(of, np.where(n > K, n, 0), len(opens))
-        histories = h[opens]
-        rows, at = [(None, way, 0, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])], 0
-        rows += [(None, way, 3, None, None, None, [float(histories[k]), *sums[k]]) for k in np.flatnonzero(np.isin(histories, hot))]
-        for chunk, k in zip(table["chunk"].to_pylist(), keys, strict=True):
-            own = inverse[at : at + len(k)]
-            at += len(k)
-            mine = of[own][_runs(k >> np.uint64(32))]
-            rows.append((chunk, way, 2, pack(total[own].astype(np.uint64)), pack(sums[mine].T.astype(np.uint64).reshape(-1)), None, None))
-        return _answers(rows)
+        sums = np.concatenate([classes_of(of, total, len(opens)), classes_of(of, np.where(seen, lower, 0), len(opens))], 1)
+        rows: list[tuple] = [("sums", None, way, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])]
+        if not known and seen.any():
+            rows.append(("table", None, way, _packed([c[seen] for c in cols]), pack(total[seen].astype(np.uint64)), pack(lower[seen].astype(np.uint64)), None))
+        at, hot = sum(sizes[:known]), set()
+        for r, size in zip(blocks[known:], sizes[known:], strict=True):
+            own = inverse[at : at + size]
+            at += size
+            runs = of[own][_runs([of[own]])]
+            hot.update(runs.tolist() if r["part"] % 2 else ())
+            told = [pack(np.ascontiguousarray(s.T).reshape(-1).astype(np.uint64)) for s in (sums[runs, : K + 1], sums[runs, K + 1 :])]
+            rows.append(("answer", r["chunk"], r["part"], told, pack(total[own].astype(np.uint64)), None, None))
+        rows += [("hot", None, way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
+        return _out(rows)
 
     return run
 
 
-def _restored(texts: pa.Table, answers: pa.Table, ways: int) -> tuple[dict, np.ndarray, np.ndarray, pa.Table]:
-    """A chunk's row, ids and counts of its words, and the bigram table's answers."""
+@dataclass
+class _State:
+    """A chunk as it is known after some levels."""
+
+    row: dict
+    tokens: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    levels: list[Level]
+
+    @property
+    def learnt(self) -> np.ndarray:
+        return np.repeat(~np.array(self.row["held"], bool), np.array(self.row["sizes"], np.int64) + 1)
+
+
+def _restored(texts: pa.Table, answers: pa.Table, model: Model, upto: int) -> _State:
+    """A chunk with the levels to ``upto`` as the parts answered."""
     row = texts.to_pylist()[0]
-    ours = answers.sort_by("way")
-    words = ours.filter(pa.compute.equal(ours["level"], 1))
-    ids, c = [], []
-    for way, ranks, counts in zip(words["way"].to_pylist(), words["a"].to_pylist(), words["b"].to_pylist(), strict=True):
-        rank, by_rank = unpack(ranks, np.uint32).astype(np.int64), unpack(counts, np.uint64)
-        ids.append(rank * ways + way)
-        c.append(np.empty(len(rank), np.int64))
-        c[-1][np.argsort(rank)] = by_rank
+    by_level: dict[int, list[dict]] = {}
+    for r in answers.sort_by("way").to_pylist():
+        by_level.setdefault(r["level"], []).append(r)
+    ids, count = [], []
+    for r in by_level.get(1, []):
+        rank = unpack(r["a"][0], np.uint64)
+        ids.append(rank * np.uint64(model.ways) + np.uint64(r["way"] + 1))
+        count.append(np.empty(len(rank), np.int64))
+        count[-1][np.argsort(rank)] = unpack(r["b"], np.uint64)
     if sum(map(len, ids)) != row["words"]:
         raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
+    ids, count = np.concatenate(ids), np.concatenate(count)
+    order = np.argsort(ids)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     tokens, starts = _sequences(unpack(row["positions"], np.uint32), np.array(row["sizes"], np.int64), row["end"])
-    row |= {"tokens": tokens, "starts": starts}
-    return row, np.concatenate(ids).astype(np.uint64), np.concatenate(c), ours.filter(pa.compute.equal(ours["level"], 2))
+    tokens, ids, none = place[tokens], ids[order], np.zeros(0, np.int64)
+    levels = [Level([ids], tokens, none, none, none, none, none, none, count[order])]
+    for n in range(2, upto + 1):
+        level = _next(levels[-1], tokens, starts, ids, model)
+        told = by_level.get(n, [])
+        level.count = np.concatenate([unpack(r["b"], np.uint64) for r in told]).astype(np.int64)
+        sums = [np.concatenate([unpack(r["a"][k], np.uint64).reshape(K + 1, -1) for r in told], 1).astype(float).T for k in (0, 1)]
+        if len(level.count) != len(level.first) or len(sums[0]) != len(level.opens):
+            raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
+        level.own, level.lower = sums
+        for k in np.flatnonzero(level.hot):
+            whole = model.shared.get(n, {}).get(tuple(int(c[level.opens[k]]) for c in level.cols[:-1]), np.zeros(SUMS))
+            level.own[k], level.lower[k] = whole[: K + 1], whole[K + 1 :]
+        levels.append(level)
+    return _State(row, tokens, starts, ids, levels)
+
+
+def _probabilities(state: _State, model: Model) -> np.ndarray:
+    """Probability of each token, from the lowest level up."""
+    words = state.levels[0]
+    p, total, of = model.unigrams.probability(words.count), np.full(1, float(model.unigrams.total)), np.zeros(len(words.count), np.int64)
+    below = words
+    for n, level in enumerate(state.levels[1:], 2):
+        last = below.index[level.first]  # the n-gram's last n - 1 words
+        kept = weighed(level.own, model.factors[n])
+        whole = np.where(kept >= level.seen * (1 - 1e-12), level.seen + 1, level.seen)
+        lower = weighed(level.lower, model.discount(n - 1)) / total[of[last[level.opens]]]
+        backoff = np.where(level.own.sum(1) > 0, (1 - kept / whole) / (1 - lower), 1.0)
+        p = np.where(level.count > 0, discounted(level.count, model.factors[n]) / whole[level.history], backoff[level.history] * p[last])
+        below, total, of = level, whole, level.history
+    return p[below.index]
+
+
+def _asks(n: int, model: Model, learn: bool):
+    """A chunk's n-grams of level ``n``, with their training counts and those of their last n - 1 words."""
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        state = _restored(texts, told, model, n - 1)
+        level = _next(state.levels[-1], state.tokens, state.starts, state.ids, model)
+        counts = np.bincount(level.index, state.learnt if learn else np.zeros(len(state.tokens)), len(level.first)).astype(np.uint64)
+        lower = state.levels[-1].count[state.levels[-1].index[level.first]].astype(np.uint64)
+        return _asked([(w // 2, w, state.row["chunk"], _packed([c[i:j] for c in level.cols]), pack(counts[i:j]), pack(lower[i:j])) for w, i, j in _stretches(level.way)])
+
+    return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
-    spark, rows = docs.sparkSession, docs.select("doc_id", "text")
-    ways, id_type = dealt(spark), rows.schema["doc_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
+SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
 
-    arrow_id = to_arrow_type(id_type)
+def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataFrame]:
+    """The exchanges, which fit a model where none is given, and the scores."""
+    spark, rows = docs.sparkSession, docs.select("doc_id", "text")
+    id_type = rows.schema["doc_id"].dataType
+    arrow_id, learn = to_arrow_type(id_type), model is None
+    if learn:
+        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        model = Model(order, max(dealt(spark), min(-(-size // PART_BYTES), 1 << 20)))
+    ways = model.ways
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, ways):
             tokens, _ = _sequences(c.positions, c.sizes, c.end)
-            learnt = np.bincount(tokens, np.repeat(~c.held, c.sizes + 1), len(c.hashes)).astype(np.uint32)
-            way, a, b = zip(*((w, pack(c.hashes[i:j]), pack(learnt[i:j])) for w, i, j in _stretches(c.way)), strict=True)
-            yield _batch({"way": (way, pa.int32()), "chunk": ([c.name] * len(way), pa.string()), "a": (a, pa.binary()), "b": (b, pa.binary())})
+            learnt = np.bincount(tokens, np.repeat(~c.held, c.sizes + 1) if learn else np.zeros(len(tokens)), len(c.hashes)).astype(np.uint64)
+            yield from _asked([(w, w, c.name, [pack(c.hashes[i:j])], pack(learnt[i:j]), None) for w, i, j in _stretches(c.way)]).to_batches()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, ways):
-            yield _batch({"chunk": ([c.name], pa.string()), "doc_ids": ([c.ids], pa.list_(arrow_id)), "held": ([c.held.tolist()], pa.list_(pa.bool_())), "sizes": ([c.sizes.tolist()], pa.list_(pa.int64())), "positions": ([pack(c.positions)], pa.binary()), "end": ([c.end], pa.int32()), "words": ([len(c.hashes)], pa.int32())})
-
-    uni = materialize(rows.mapInArrow(words, "way int, chunk string, a binary, b binary").groupBy("way").applyInArrow(_unigram_table(ways), ANSWER), "unigrams")
-    settle(spark)
-    sums = uni.where("level = 0").select(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(K + 3))).first()
-    sums = [int(x or 0) for x in sums]
-    learnt = rows.select((F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("long").alias("t")).agg(F.sum("t")).first()[0] or 0
-    level = Unigrams.of(sums[0], sums[1], learnt, np.array([0, *sums[2:]], float)) if sums[0] else None
-    if level is None:
-        level = Unigrams(0, 0, 0, np.zeros(K + 1), 1.0, 1.0)
-    hot_from = level.tokens / HOT
-    hot = np.array([*(int(r[0]) for r in uni.where("level = 4").select(F.col("stats")[0], F.col("stats")[1]).where(F.col("stats[1]") > hot_from).collect()), BEGIN], np.uint64)
+            held = {"chunk": ([c.name], pa.string()), "doc_ids": ([c.ids], pa.list_(arrow_id)), "held": ([c.held.tolist()], pa.list_(pa.bool_())), "sizes": ([c.sizes.tolist()], pa.list_(pa.int64())), "positions": ([pack(c.positions)], pa.binary()), "end": ([c.end], pa.int32()), "words": ([len(c.hashes)], pa.int32())}
+            yield from _table(held).to_batches()
+
+    def exchange(asked: DataFrame, part, n: int) -> DataFrame:
+        """What the parts of level ``n`` tell; the table that they keep becomes the model's."""
+        if learn:
+            none = pa.table([pa.array([], t) for t in (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary())], names=["way", "a", "b", "c"])
+            told = asked.groupBy("way").applyInArrow(lambda t: part(t, none), OUT)
+        else:
+            told = asked.groupBy("way").cogroup(model.tables[n].groupBy("way")).applyInArrow(part, OUT)
+        told = materialize(told, f"level{n}", "kind")
+        if learn:
+            model.tables[n] = told.where("kind = 'table'").select("way", "a", "b", "c")
+        return told
+
+    def summed(told: DataFrame, n: int) -> np.ndarray:
+        found = told.where("kind = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
+        return np.array([x or 0.0 for x in found])
+
+    answers = []
+    keep = lambda told, n: answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")))
+    every = lambda: reduce(DataFrame.unionAll, answers)
+    told = exchange(rows.mapInArrow(words, ASK), _word_part(ways), 1)
+    keep(told, 1)
+    if learn:
+        sums = summed(told, K + 3)
+        mine = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("long")
+        model.unigrams = Unigrams.of(int(sums[0]), int(sums[1]), rows.select(mine.alias("t")).agg(F.sum("t")).first()[0] or 0, np.array([0, *sums[2:]]))
     texts = rows.mapInArrow(places, f"chunk string, doc_ids array<{id_type.simpleString()}>, held array<boolean>, sizes array<long>, positions binary, end int, words int")
 
-    def asked(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        row, ids, c, _ = _restored(texts, answers, ways)
-        key, way, second, inverse = _bigrams(ids, c, row["tokens"], row["starts"], hot_from, ways)
-        learnt = np.bincount(inverse, np.repeat(~np.array(row["held"]), np.array(row["sizes"]) + 1), len(key)).astype(np.uint32)
-        words = key & np.uint64(BEGIN)
-        by_word = lambda i, j: second[i:j][np.unique(words[i:j], return_index=True)[1]].astype(np.uint64)
-        out = [(w, row["chunk"], pack(np.diff(key[i:j], prepend=np.uint64(0))), pack(learnt[i:j]), pack(by_word(i, j))) for w, i, j in _stretches(way)]
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["way", "chunk", "a", "b", "c"])
-
-    own = uni.where("level = 1")
-    requests = texts.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(asked, "way int, chunk string, a binary, b binary, c binary")
-    bi = materialize(requests.groupBy("way").applyInArrow(_bigram_table(hot), ANSWER), "bigrams")
-    del requests
-    settle(spark)
-    n = bi.where("level = 0").select(*(F.sum(F.col("stats")[k]) for k in range(K + 1))).first()
-    factors = discounts(np.array([0.0, *(x or 0.0 for x in n)]))
-    shared = {int(r[0]): np.array(r[1:]) for r in bi.where("level = 3").groupBy(F.col("stats")[0].alias("h")).agg(*(F.sum(F.col("stats")[k]) for k in range(1, SUMS + 1))).collect()}
-
-    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        row, ids, c, ours = _restored(texts, answers, ways)
-        tokens, starts = row["tokens"], row["starts"]
-        key, way, second, inverse = _bigrams(ids, c, tokens, starts, hot_from, ways)
-        count = np.concatenate([unpack(b, np.uint64) for b in ours["a"].to_pylist()]).astype(np.int64)
-        if len(count) != len(key):
-            raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
-        sums = np.concatenate([unpack(b, np.uint64).reshape(SUMS, -1) for b in ours["b"].to_pylist()], 1).astype(float).T
-        h = key >> np.uint64(32)
-        opens = np.concatenate([i + _runs(h[i:j]) for _, i, j in _stretches(way)])
-        of = np.zeros(len(h), np.int64)
-        of[opens[1:]] = 1
-        of = np.cumsum(of)
-        for k in np.flatnonzero(np.isin(h[opens], hot)):
-            sums[k] = shared[int(h[opens[k]])]
-        by_id = np.argsort(ids)
-        at = np.minimum(np.searchsorted(ids, h[opens], sorter=by_id), len(ids) - 1)
-        total = np.where(h[opens] == BEGIN, level.documents, c[by_id[at]]).astype(float)
-        weighed = lambda part, d: part @ np.append(np.arange(1, K + 1) * d[1:], 1.0)
-        kept, lower = weighed(sums[:, : K + 1], factors), weighed(sums[:, K + 1 :], level.factors) / level.total
-        total = np.where(kept >= total * (1 - 1e-12), total + 1, total)
-        backoff = np.where(sums[:, : K + 1].sum(1) > 0, (1 - kept / total) / (1 - lower), 1.0)
-        p = np.where(count > 0, discounted(count, factors) / total[of], backoff[of] * level.probability(second))
-        counts = c[tokens]
+    for n in range(2, order + 1):
+
+        told = exchange(texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n)
+        keep(told, n)
+        if learn:
+            model.factors[n] = discounts(np.append(0.0, summed(told, K + 1)))
+            hot = told.where("kind = 'hot'").groupBy(*(F.col("stats")[k].alias(f"x{k}") for k in range(n - 1))).agg(*(F.sum(F.col("stats")[n - 1 + k]) for k in range(SUMS)))
+            model.shared[n] = {tuple(map(int, r[: n - 1])): np.array(r[n - 1 :]) for r in hot.collect()}  # HOT and one at most
+
+    now = replace(model, tables={})
+
+    def scored(texts: pa.Table, told: pa.Table) -> pa.Table:
+        state, level = _restored(texts, told, now, order), now.unigrams
+        counts = state.levels[0].count[state.tokens]
         base = np.log10((counts + 0.1) / (level.tokens + 0.1 * (level.words + 1)))
-        per_text = lambda x: np.add.reduceat(x, starts[:-1])
-        return pa.table(
+        per_text = lambda x: np.add.reduceat(x, state.starts[:-1])
+        return _table(
             {
-                "doc_id": pa.array(row["doc_ids"], arrow_id),
-                "held_out": pa.array(row["held"], pa.bool_()),
-                "n_tokens": np.diff(starts),
-                "n_known": per_text((counts > 0).astype(np.int64)),
-                "train_tokens": np.full(len(starts) - 1, level.tokens, np.int64),
-                "base_score": per_text(base),
-                "score": per_text(np.log10(p)[inverse]),
+                "doc_id": (state.row["doc_ids"], arrow_id),
+                "held_out": (state.row["held"], pa.bool_()),
+                "n_tokens": (np.diff(state.starts), pa.int64()),
+                "n_known": (per_text((counts > 0).astype(np.int64)), pa.int64()),
+                "train_tokens": (np.full(len(state.starts) - 1, level.tokens), pa.int64()),
+                "base_score": (per_text(base), pa.float64()),
+                "score": (per_text(np.log10(_probabilities(state, now))), pa.float64()),
             }
         )
 
-    every = own.unionAll(bi.where("level = 2")).groupBy("chunk")
-    return texts.groupBy("chunk").cogroup(every).applyInArrow(scored, f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return model, texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(scored, f"doc_id {id_type.simpleString()}, {SCORES}")
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """The model of the documents (doc_id, text) that are not held out."""
+    return _run(docs, order, None)[0]
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
+    return _run(docs, model.order, model)[1]
+
+
+def fit_and_score(docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
+    """Both for the same documents, in one exchange a level."""
+    return _run(docs, order, None)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: scores of every document."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fit_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))[1]

@@ -2,13 +2,12 @@
 
 import collections
 import hashlib
-import math
 import random
 
 import numpy as np
 import pytest
 
-from atril.llm import bpe, edits, graph, html_text, katz, media, mixing, quality, simhash, trees, urls, warc
+from atril.llm import bpe, edits, graph, html_text, media, mixing, quality, simhash, trees, urls, warc
 from atril.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, source string"
@@ -86,41 +85,6 @@ def test_edits():
             assert tree.whole() == text and tree.total() == len(encoding.encode_ordinary(text))
 
 
-def test_katz(spark, odd, none):
-    got = katz.score(odd).collect()
-    assert len(got) == len(ODD) and katz.score(none).count() == 0
-    seen, pairs, documents = collections.Counter(), collections.Counter(), 0
-    for i, text, _ in ODD:
-        if not katz.held_out(i):
-            words = (text or "").lower().split() + ["\n"]
-            seen.update(words)
-            pairs.update(zip([None, *words[:-1]], words))
-            documents += 1
-    counts_of = lambda c: np.array([0.0] + [sum(v == r for v in c.values()) for r in range(1, 7)])
-    level = katz.Unigrams.of(sum(seen.values()), len(seen), documents, counts_of(seen))
-    factors = katz.discounts(counts_of(pairs))
-    p1 = lambda w: float(level.probability(np.array([seen[w]]))[0])
-    assert math.isclose(sum(map(p1, seen)) + level.unknown, 1)
-    history = collections.defaultdict(dict)
-    for (h, w), c in pairs.items():
-        history[h][w] = float(katz.discounted(np.array([c]), factors)[0])
-
-    def p(h, w):
-        if h not in history:
-            return p1(w)
-        total, kept = documents if h is None else seen[h], sum(history[h].values())
-        total += kept >= total * (1 - 1e-12)
-        return history[h][w] / total if w in history[h] else (1 - kept / total) / (1 - sum(map(p1, history[h]))) * p1(w)
-
-    want = collections.Counter()
-    for i, text, _ in ODD:
-        words = (text or "").lower().split() + ["\n"]
-        want[i, round(sum(math.log10(p(h, w)) for h, w in zip([None, *words[:-1]], words)), 6)] += 1
-    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in got) == want
-    for h in [*history, "unseen"]:
-        assert math.isclose(sum(p(h, w) for w in seen) + p(h, "unknown word"), 1)
-
-
 def test_mixing(odd, none):
     taken, plan = mixing.mix(mixing._sized(odd))
     rows = taken.collect()
