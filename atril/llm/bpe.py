@@ -6,14 +6,18 @@ white space that follows it, so cutting there changes no pre-token; a stretch wi
 a place stays one word. The tokenizers library encodes each distinct word once, so special tokens, alphabets and
 merges are its own.
 
-Plan: documents go into chunks of about 4 MB, each with its own word list and each text as positions in that list.
-Word lists are dealt by word, distinct words are encoded, and a chunk's ids come back to it by position. What moves is
-compressed: about two bytes a word. Decoding is a join with the id-to-piece table, which has one row for each id of the
-vocabulary (its size is fixed by the file) and so is held by each worker.
+Plan: documents go into chunks of about 16 MB, each with its own word list and each text as positions in that list.
+Word lists are dealt by word; each part encodes its distinct words once and keeps them as its share of the written word
+table (word, ids), and answers each chunk with the ids of its words in the order of its list. Positions and answers meet
+by chunk, where ids are joined back by position. What moves is compressed: about two bytes a word. A row a token, for a
+join of single ids with the id-to-piece table, would move some twenty bytes a token, over ten times the input; that table
+has one row for each id of the vocabulary (its size is fixed by the file), so each worker holds it and decoding takes
+pieces by id, as a broadcast join would.
 
 A chunk's name holds a digest of its word list: were a chunk to come out differently when a lost executor's work is
 redone, its ids would be missing and the job would stop rather than give wrong ids. Nulls count as empty texts, which
-have no ids; repeated rows and null ids all come back.
+have no ids; texts of any length count whole; repeated rows and null ids all come back; an empty table gives no rows;
+columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,17 +30,20 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Index, chunked, dealt, pack, unpack
+from .common import Index, chunked, dealt, materialize, pack, unpack
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Bytes of text in a chunk, and documents whose ids are joined at once.
+CHUNK, DOCUMENTS = 16 << 20, 256
 _REGULAR = re.compile(r"(?<=\S) (?=\S)")
 _IRREGULAR = re.compile(r"\s | \s|\A | \Z")
 
@@ -101,46 +108,79 @@ def _named(chunks: Iterator[list[tuple]], ways: int) -> Iterator[tuple]:
         yield f"{task}-{k}-{digest}", chunk, *rest
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, then: tuple | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) of every row of ``docs`` (doc_id, text).
+PART = "kind string, chunk string, way int, sizes binary, ids binary, word binary, word_ids array<int>"
+_PART = [("kind", pa.string()), ("chunk", pa.string()), ("way", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary()), ("word", pa.binary()), ("word_ids", pa.list_(pa.int32()))]
 
-    then: (function of a pyarrow table doc_id, ids; schema of its result), to be applied in the worker that joined the
-    ids, so that a task has one Python worker.
-    """
-    ways = dealt(docs.sparkSession)
-    rows = docs.select("doc_id", "text")
-    id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(ways: int):
+    """Word lists of chunks, dealt by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for name, _, hands, _, _ in _named(chunked(batches), ways):
+        for name, _, hands, _, _ in _named(chunked(batches, CHUNK), ways):
             made = [(way, squeeze(np.array([len(k) for k in hand], np.uint32).tobytes() + b"".join(hand)), len(hand)) for way, hand in enumerate(hands) if hand]
             if made:
                 way, blob, n = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(way, pa.int32()), pa.array([name] * len(way)), pa.array(blob, pa.binary()), pa.array(n, pa.int32())], ["way", "chunk", "words", "n"])
 
-    def encoded(frame: pd.DataFrame) -> pd.DataFrame:
-        index, asked = Index(), []
-        for blob, n in zip(frame["words"], frame["n"], strict=True):
+    return run
+
+
+def _encoded(path: str):
+    """A part: its distinct words with their ids, and the chunks' answers."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        index, places = Index(), []
+        for blob, n in zip(asked["words"].to_pylist(), asked["n"].to_pylist(), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(blob)
-            ends = np.frombuffer(raw, np.uint32, n).cumsum() + 4 * n
-            asked.append(np.fromiter((index[raw[e - s : e]] for s, e in zip(np.frombuffer(raw, np.uint32, n).tolist(), ends.tolist(), strict=True)), np.int64, n))
-        ids: list[list[int]] = []
-        distinct = [k.decode() for k in index]
+            sizes = np.frombuffer(raw, np.uint32, n)
+            ends = sizes.cumsum(dtype=np.int64) + 4 * n
+            places.append(np.fromiter((index[raw[e - s : e]] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)), np.int64, n))
+        distinct, ids = list(index), []
         for at in range(0, len(distinct), 4096):
-            ids += [e.ids for e in tokenizer(path).encode_batch(distinct[at : at + 4096], add_special_tokens=False)]
+            ids += [e.ids for e in tokenizer(path).encode_batch([k.decode() for k in distinct[at : at + 4096]], add_special_tokens=False)]
         table = pa.array(ids, pa.list_(pa.int32()))
-        made = [table.take(pa.array(a)) for a in asked]
-        return pd.DataFrame({"chunk": frame["chunk"], "way": frame["way"], "sizes": [pack(m.value_lengths().to_numpy().astype(np.uint32)) for m in made], "ids": [pack(m.flatten().to_numpy()) for m in made]})
+        made = [table.take(pa.array(a)) for a in places]
+        answers = len(made)
+        none = lambda k: [None] * k
+        columns = [
+            ["answer"] * answers + ["word"] * len(distinct),
+            asked["chunk"].to_pylist() + none(len(distinct)),
+            asked["way"].to_pylist() + asked["way"].to_pylist()[:1] * len(distinct),
+            [pack(m.value_lengths().to_numpy().astype(np.uint32)) for m in made] + none(len(distinct)),
+            [pack(m.flatten().to_numpy()) for m in made] + none(len(distinct)),
+            none(answers) + distinct,
+        ]
+        arrays = [pa.array(c, t) for c, (_, t) in zip(columns, _PART, strict=False)]
+        held = pa.concat_arrays([pa.nulls(answers, pa.list_(pa.int32())), table])
+        return pa.table([*arrays, held], names=[n for n, _ in _PART])
+
+    return run
+
+
+def word_table(docs: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """The distinct-word table (word, ids) of ``docs`` (doc_id, text), and the answers to its chunks; both are written."""
+    spark = docs.sparkSession
+    asked = docs.select("doc_id", "text").mapInArrow(_words(dealt(spark)), "way int, chunk string, words binary, n int")
+    told = materialize(asked.groupBy("way").applyInArrow(_encoded(path), PART), "words", "kind")
+    return told.where("kind = 'word'").select("word", F.col("word_ids").alias("ids")), told.where("kind = 'answer'").select("chunk", "way", "sizes", "ids")
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = batches_type[0]
-        for name, chunk, _, positions, sizes in _named(chunked(batches), ways):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([[i for i, _ in chunk]], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack(positions) if len(positions) else b""], pa.binary())], ["chunk", "doc_ids", "sizes", "positions"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+def encode(docs: DataFrame, path: str = VOCABULARY, then: tuple | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) of every row of ``docs`` (doc_id, text).
+
+    then: (function of a pyarrow table doc_id, ids; schema of its result), to be applied in the worker that joined the
+    ids, so that a task has one Python worker.
+    """
+    ways = dealt(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    arrow_id = to_arrow_type(rows.schema["doc_id"].dataType)
+    _, answers = word_table(rows, path)
 
-    batches_type = [to_arrow_type(rows.schema["doc_id"].dataType)]
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, chunk, _, positions, sizes in _named(chunked(batches, CHUNK), ways):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([[i for i, _ in chunk]], pa.list_(arrow_id)), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack(positions)], pa.binary())], ["chunk", "doc_ids", "sizes", "positions"])
 
     def joined(texts: pa.Table, replies: pa.Table) -> pa.Table:
         replies = replies.sort_by("way")
@@ -152,20 +192,20 @@ def encode(docs: DataFrame, path: str = VOCABULARY, then: tuple | None = None) -
         words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]).astype(np.int32)), pa.array(flat.astype(np.int32)))
         out_ids, out = [], []
         for r in texts.to_pylist():
-            at = unpack(r["positions"], np.uint32) if r["positions"] else np.zeros(0, np.uint32)
+            at, ends = unpack(r["positions"], np.uint32), np.concatenate([[0], np.cumsum(r["sizes"], dtype=np.int64)]).astype(np.int64)
             if len(at) and at.max() >= len(words):
                 raise RuntimeError(f"chunk {r['chunk']} was not built alike twice: give the operator a written table")
-            got = words.take(pa.array(at))
-            ends = np.concatenate([[0], got.value_lengths().to_numpy().astype(np.int64).cumsum()])
-            bounds = ends[np.concatenate([[0], np.cumsum(r["sizes"])]).astype(np.int64)]
-            out.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), got.flatten()))
-            out_ids.append(pa.array(r["doc_ids"], batches_type[0]))
-        table = pa.table({"doc_id": pa.chunked_array(out_ids, batches_type[0]), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
+            for k in range(0, len(r["doc_ids"]), DOCUMENTS):
+                cut = ends[k : k + DOCUMENTS + 1]
+                got = words.take(pa.array(at[cut[0] : cut[-1]]))
+                upto = np.concatenate([[0], got.value_lengths().to_numpy().astype(np.int64).cumsum()])
+                out.append(pa.ListArray.from_arrays(pa.array(upto[cut - cut[0]].astype(np.int32)), got.flatten()))
+                out_ids.append(pa.array(r["doc_ids"][k : k + DOCUMENTS], arrow_id))
+        table = pa.table({"doc_id": pa.chunked_array(out_ids, arrow_id), "ids": pa.chunked_array(out, pa.list_(pa.int32()))})
         return then[0](table) if then else table
 
-    replies = rows.mapInArrow(words, "way int, chunk string, words binary, n int").groupBy("way").applyInPandas(encoded, "chunk string, way int, sizes binary, ids binary")
     texts = rows.mapInArrow(places, f"chunk string, doc_ids array<{id_type}>, sizes array<int>, positions binary")
-    return texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(joined, then[1].format(id_type) if then else f"doc_id {id_type}, ids array<int>")
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(joined, then[1].format(id_type) if then else f"doc_id {id_type}, ids array<int>")
 
 
 def decode_ids(ids: pa.Array, path: str = VOCABULARY) -> list[bytes]:
