@@ -1,0 +1,126 @@
+"""Edit-aware counts, archives and quality rules on odd rows, against brute force."""
+
+import collections
+import gzip
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from atril.llm import edits, quality, warc
+from atril.llm.common import scratch
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def edited(text, changes):
+    text = text or ""
+    for e in changes or ():
+        if e is not None:
+            at = max(0, min(e[0] or 0, len(text)))
+            drop = max(0, min(e[1] or 0, len(text) - at))
+            text = text[:at] + (e[2] or "") + text[at + drop :]
+    return text
+
+
+def test_edits_in_rows(spark):
+    rng, rows = random.Random(2), []
+    for k in range(60):
+        text = " ".join(rng.choice(["word", "it's", "  ", "\n", "été", "12,5", "日本"]) for _ in range(rng.choice([0, 3, 80, 900])))
+        rows.append((k, text, [(rng.randint(0, len(text) + 5), rng.choice([0, 3, 40]), rng.choice(["", " new words ", "x", "\n\n"])) for _ in range(rng.randint(0, 4))], "clash"))
+    rows += [(70, None, None, ""), (71, "", [None, (0, 0, "a b")], ""), (None, "x", [(None, None, None)], None), (72, "w " * 30_000, [(5, 2, "q")], ""), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at: long, drop: long, put: string>>, n_tokens string")
+    encode = edits.encoding(edits.VOCABULARY).encode_ordinary
+    want = collections.Counter((i, len(encode(t or "")), len(encode(edited(t, e))), len(edited(t, e))) for i, t, e, _ in rows)
+    got = edits.count_edits(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in got) == want
+    long = next(r for r in got if r.doc_id == 72)
+    assert long.words_encoded > 29_000 and long.words_reencoded < 200
+    assert edits.count_edits(docs.where("doc_id = -1")).count() == 0
+
+
+def test_archives(spark):
+    big = "é" * 600
+    rows = [(k, f"http://h/{k} x", big if k < 5 else f"<p>{k}</p>", "clash") for k in range(12)] + [(13, None, None, ""), (13, None, None, ""), (14, "u", "z" * 3_000_000, "")]
+    folder = scratch(spark, "warc-rows")
+    index = warc.write(warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(2)), folder)
+    got = warc.read(index, folder).collect()
+    want = collections.Counter()
+    for i, _, html, _ in rows:
+        data = (html or "").encode()
+        revisit = html == big and i != 4
+        want[i, "revisit" if revisit else "response", 4 if revisit else None, len(data), hashlib.sha1(data).hexdigest(), None if revisit else data] += 1
+    assert collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload and bytes(r.payload) if r.payload is not None else None) for r in got) == want
+    system, path = warc.filesystem(folder)
+    from pyarrow import fs
+
+    ids = []
+    for info in system.get_file_info(fs.FileSelector(path)):
+        if info.base_name.endswith(".warc.gz"):
+            with system.open_input_file(info.path) as source:
+                whole = gzip.decompress(source.read())
+            assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+            ids += re.findall(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)", whole)
+            at = 0
+            while at < len(whole):  # record by record, as a sequential reader goes
+                head, _, _ = whole[at:].partition(b"\r\n\r\n")
+                size = int(re.search(rb"\r\nContent-Length: (\d+)$", head)[1])
+                block = whole[at + len(head) + 4 :][:size]
+                assert b"warcinfo" in head or block.startswith(b"HTTP/1.1 200 OK\r\n")
+                at += len(head) + 4 + size + 4
+            assert at == len(whole)
+    assert len(ids) == len(set(ids)) >= len(rows) + 1
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read(warc.write(warc.with_revisits(none), scratch(spark, "warc-none")), folder).count() == 0
+
+
+def brute(text):
+    words = WORD.findall(text or "")
+    grams = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    again = {k + j for k, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for j in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    solid = "".join(words)
+    n = (len(words), len(solid), sum(solid.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again))
+    return (*n, n[0] < 50 or 100 * n[4] > 50 * n[0])
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["the", "house", "by", "river", "was", "old,"]) + str(rng.randint(0, 99)) for _ in range(120)) + "."
+    bad = lambda: " ".join(rng.choice(["BUY", "now!!!", "$$$", "###", "click"]) + str(rng.randint(0, 99)) for _ in range(120))
+    rows = [(k, bad() if k % 2 else good(), 1, "x") for k in range(200)]
+    rows += [(300, None, 1, ""), (301, "", 1, ""), (302, "a b\na b\n\n c " * 30, 1, ""), (None, good(), 1, None), rows[4], rows[4], (303, "é #1\n" * 40_000, 0, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, SCORE2 string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(0, 120)] + [(5, 1), (None, 1), (7, None), (7, 0)], "doc_id long, quality int")
+    return rows, docs, labels
+
+
+def test_quality_with_a_fitted_forest(spark, judged):
+    rows, docs, labels = judged
+    forest = quality.train(docs, labels)
+    got = quality.judge(docs.drop("score"), forest).collect()
+    assert collections.Counter((r.doc_id, *(r[c] for c in quality.STATS), r.base_failed) for r in got) == collections.Counter((i, *brute(t)) for i, t, *_ in rows)
+    held = {r.doc_id: r for r in got if r.doc_id is not None and 120 <= r.doc_id < 200}
+    assert sum(r.kept == (i % 2 == 0) for i, r in held.items()) >= 78 and all(not r.kept for r in got if r.base_failed)
+    p = forest.probability(np.array([quality.statistics((t or "").encode())[1] for _, t, *_ in rows]))
+    want = collections.Counter((i, round(float(x), 9)) for (i, *_), x in zip(rows, p, strict=True))
+    assert collections.Counter((r.doc_id, round(r.score, 9)) for r in got) == want
+
+
+def test_training_rows_are_bounded(spark, judged):
+    _, docs, labels = judged
+    many = docs.unionAll(docs.selectExpr("4 as doc_id", "concat(text, ' other ', doc_id)", "score", "SCORE2"))
+    assert len(quality.training_rows(many, labels, 30)[1]) <= 30
+    again = quality.training_rows(many, labels, 30)
+    assert all((a == b).all() for a, b in zip(quality.training_rows(many.repartition(7), labels, 30), again, strict=True))
+
+
+def test_pipeline_stage_keeps_columns(spark, judged, tmp_path):
+    rows, docs, labels = judged
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = quality.stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and 90 <= kept.count() <= 110
+    assert quality.stage(spark, docs.where("doc_id = -1"), str(tmp_path)).count() == 0
