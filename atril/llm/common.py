@@ -49,10 +49,11 @@ def _remove(spark: SparkSession, base: str) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, kind: str = "table", by: str | None = None) -> DataFrame:
+def written(df: DataFrame, kind: str = "table", by: str | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and lost executors cost no rows.
 
     The shuffle files of the write go with it, as nothing needs them any more. by: a column whose values have a folder each.
+    Also gives the path, for ``forget``.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, kind)
     was = spark.conf.get(CLEANUP, "false")
@@ -62,7 +63,16 @@ def materialize(df: DataFrame, kind: str = "table", by: str | None = None) -> Da
         (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
-    return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
+    return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns)), path
+
+
+def materialize(df: DataFrame, kind: str = "table", by: str | None = None) -> DataFrame:
+    return written(df, kind, by)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a written table, or a part of one, that nothing reads any more."""
+    _remove(spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -102,6 +112,19 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
 
 
+def pack_ints(array: np.ndarray) -> bytes:
+    """``pack`` of whole numbers from 0 on, in as many bytes as the largest needs."""
+    if not len(array):
+        return b""
+    width = next(w for w in (1, 2, 4, 8) if int(array.max()) < 1 << 8 * w)
+    return bytes([width]) + pack(array.astype(f"<u{width}"))
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    """The numbers of ``pack_ints``, as int64."""
+    return unpack(blob[1:], f"<u{blob[0]}").astype(np.int64) if blob else np.zeros(0, np.int64)
+
+
 class Index(dict):
     """Numbers keys in the order in which they come."""
 

@@ -7,7 +7,7 @@ what its discounts free to the words that it was not seen with, in proportion to
 backoff weights normalised exactly over all words and the unknown class. A history whose discounts free nothing gets one
 virtual count.
 
-Plan, one exchange a level: documents go into chunks of about 16 MB. Each chunk sends its distinct words (as hashes with
+Plan, one exchange a level: documents go into chunks of about 16 MB, split once and written. Each chunk sends its distinct words (as hashes with
 training counts) to the word table's parts, which number the words and answer with ids and counts. For each higher level
 it sends its distinct n-grams with training counts and with the counts of their last n - 1 words to the parts of that
 level's table, dealt by history. A part sums the counts, keeps the n-grams that were seen in training as its share of the
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Index, chunked, dealt, materialize, pack, pieces_of, unpack, words_of
+from .common import Index, chunked, dealt, forget, materialize, pack, pack_ints, pieces_of, unpack, unpack_ints, words_of, written
 
 ORDER = 3
 K = 5
@@ -89,11 +89,21 @@ def weighed(sums: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 def classes_of(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     """K + 1 sums of counts ``n`` for each of ``size`` groups."""
-    out = np.zeros((size, K + 1), np.int64)
-    for r in range(1, K + 1):
-        out[:, r - 1] = np.bincount(of[n == r], minlength=size)
-    out[:, K] = np.bincount(of, np.where(n > K, n, 0), size).astype(np.int64)
-    return out
+    some = np.flatnonzero(n > 0)
+    n = n[some]
+    place = of[some] * (K + 1) + np.minimum(n, K + 1) - 1
+    return np.bincount(place, np.where(n > K, n, 1), size * (K + 1)).astype(np.int64).reshape(size, K + 1)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in their order, and which of them each key is."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    inverse = np.empty(len(key), np.int64)
+    inverse[order] = new.cumsum() - 1
+    return order[new], inverse
 
 
 @dataclass(frozen=True)
@@ -145,7 +155,7 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for way, a, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    hashes, count = unpack(a[0], np.uint64), unpack(counts, np.uint64).astype(np.int64)
+                    hashes, count = unpack(a[0], np.uint64), unpack_ints(counts)
                     ids = np.arange(len(hashes)) * ways + way + 1
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hashes.view(np.int64)), pa.array(count), pa.array(level.probability(count))], ["id", "hash", "count", "probability"])
 
@@ -158,11 +168,11 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for a, counts, lower in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    cols, count = _unpacked(a), unpack(counts, np.uint64).astype(np.int64)
-                    flat = np.stack(cols[:-1], 1).astype(np.int64)
+                    cols, count = _unpacked(a), unpack_ints(counts)
+                    flat = np.stack(cols[:-1], 1)
                     history = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n - 1, dtype=np.int32)), pa.array(flat.reshape(-1)))
-                    below = discounted(unpack(lower, np.uint64).astype(np.int64), low)
-                    yield pa.RecordBatch.from_arrays([history, pa.array(cols[-1].astype(np.int64)), pa.array(count), pa.array(discounted(count, own)), pa.array(below)], ["history", "word", "count", "kept", "lower"])
+                    below = discounted(unpack_ints(lower), low)
+                    yield pa.RecordBatch.from_arrays([history, pa.array(cols[-1]), pa.array(count), pa.array(discounted(count, own)), pa.array(below)], ["history", "word", "count", "kept", "lower"])
 
         return self.tables[n].select("a", "b", "c").mapInArrow(run, "history array<long>, word long, count long, kept double, lower double")
 
@@ -189,24 +199,23 @@ class Model:
 
 
 def _packed(cols: list[np.ndarray]) -> list[bytes]:
-    first = np.diff(cols[0].astype(np.int64), prepend=np.int64(0))
-    return [pack((first << 1 ^ first >> 63).view(np.uint64)), *(pack(c) for c in cols[1:])]
+    first = np.diff(cols[0], prepend=np.int64(0))
+    return [pack_ints(first << 1 ^ first >> 63), *map(pack_ints, cols[1:])]
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    first, *rest = (unpack(b, np.uint64) for b in blobs)
-    moved = (first >> np.uint64(1)).astype(np.int64) ^ -(first & np.uint64(1)).astype(np.int64)
-    return [moved.cumsum().view(np.uint64), *rest]
+    first, *rest = map(unpack_ints, blobs)
+    return [(first >> 1 ^ -(first & 1)).cumsum(), *rest]
 
 
 def _distinct(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """First places of the distinct rows in lexicographic order, and which of them each row is."""
+    """Places of the distinct rows in lexicographic order, and which of them each row is."""
     bits = [int(c.max()).bit_length() if len(c) else 0 for c in cols]
-    if sum(bits) <= 64:
-        key = np.zeros(len(cols[0]), np.uint64)
+    if sum(bits) < 64:
+        key = np.zeros(len(cols[0]), np.int64)
         for c, n in zip(cols, bits, strict=True):
-            key = key << np.uint64(n) | c
-        return np.unique(key, return_index=True, return_inverse=True)[1:]
+            key = key << n | c
+        return distinct(key)
     order = np.lexsort(cols[::-1])
     new = np.ones(len(order), bool)
     new[1:] = np.any([c[order][1:] != c[order][:-1] for c in cols], 0)
@@ -236,7 +245,7 @@ def _mixed(cols: list[np.ndarray]) -> np.ndarray:
     """A hash of each row."""
     out = np.zeros(len(cols[0]), np.uint64)
     for c in cols:
-        out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ c.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
@@ -250,22 +259,23 @@ def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
 
 @dataclass
 class Chunk:
-    """Texts as positions in a word list that is dealt ``ways`` ways by hash."""
+    """Texts as positions in a word list in the order of first occurrence, where frequent words have small numbers; place:
+    where each word lies once they are dealt ``ways`` ways by hash, the order of ``hashes``."""
 
     name: str
     ids: list
     held: np.ndarray
     sizes: np.ndarray
     positions: np.ndarray
+    place: np.ndarray
     hashes: np.ndarray
     way: np.ndarray
-    end: int
 
 
-def _sequences(positions: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all texts with an end after each, and where each text begins."""
+def _sequences(positions: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all texts with an end (word 0) after each, and where each text begins."""
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-    tokens = np.full(starts[-1], end, np.int64)
+    tokens = np.zeros(starts[-1], np.int64)
     inner = np.ones(starts[-1], bool)
     inner[starts[1:] - 1] = False
     tokens[inner] = positions
@@ -284,12 +294,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[Chunk]:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
         way = (hashes % np.uint64(ways)).astype(np.int64)
         order = np.lexsort((hashes, way))
-        place = np.empty(len(order), np.uint32)
-        place[order] = np.arange(len(order), dtype=np.uint32)
-        positions = place[np.concatenate(parts)] if parts else np.zeros(0, np.uint32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        positions = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         held = np.array([held_out(i) for i, _ in rows], bool)
         digest = hashlib.sha1(hashes[order].tobytes() + positions.tobytes()).hexdigest()
-        yield Chunk(f"{task}-{k}-{digest}", [i for i, _ in rows], held, np.array(sizes, np.int64), positions, hashes[order], way[order], int(place[0]))
+        yield Chunk(f"{task}-{k}-{digest}", [i for i, _ in rows], held, np.array(sizes, np.int64), positions, place, hashes[order], way[order])
 
 
 @dataclass
@@ -308,6 +318,8 @@ class Level:
     opens: np.ndarray
     seen: np.ndarray
     hot: np.ndarray
+    place: np.ndarray
+    order: np.ndarray
     count: np.ndarray | None = None
     own: np.ndarray | None = None
     lower: np.ndarray | None = None
@@ -316,22 +328,23 @@ class Level:
 def _next(below: Level, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray, model: Model) -> Level:
     """The n-grams of a chunk from its (n - 1)-grams, whose counts are known. ``way`` is twice the part, and one more for hot histories."""
     none = len(below.count)
-    before = np.concatenate([[none], below.index[:-1]])
+    before = np.concatenate([[none], below.order[below.index[:-1]]])
     before[starts[:-1]] = none
-    _, first, inverse = np.unique(before * len(ids) + tokens, return_index=True, return_inverse=True)
-    hist, word = before[first], ids[tokens[first]]
-    known = [np.append(c, np.uint64(0))[hist] for c in below.cols]
+    first, inverse = distinct(before * len(ids) + tokens)
+    rank, word = before[first], ids[tokens[first]]
+    hist = np.append(below.place, none)[rank]
+    known = [np.append(c, 0)[hist] for c in below.cols]
     seen = np.append(below.count, model.unigrams.documents)[hist]
     hot = (seen > model.hot_from) | (hist == none)
-    way = (_mixed([*known, np.where(hot, word, np.uint64(0))]) >> np.uint64(20)) % np.uint64(model.ways)
+    way = (_mixed([*known, np.where(hot, word, 0)]) >> np.uint64(20)) % np.uint64(model.ways)
     way = (way * np.uint64(2) + hot).astype(np.uint16 if model.ways < 1 << 15 else np.int64)
     order = np.argsort(way, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    way, hist = way[order].astype(np.int64), hist[order]
-    opens = _runs([hist], way)
-    history = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(hist))))
-    return Level([c[order] for c in (*known, word)], place[inverse], first[order], way, history, opens, seen[order][opens].astype(float), hot[order][opens])
+    way, rank = way[order].astype(np.int64), rank[order]
+    opens = _runs([rank], way)
+    history = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(rank))))
+    return Level([c[order] for c in (*known, word)], place[inverse], first[order], way, history, opens, seen[order][opens].astype(float), hot[order][opens], place, order)
 
 
 OUT = "kind string, chunk string, way int, a array<binary>, b binary, c binary, stats array<double>"
@@ -358,8 +371,8 @@ def _word_part(ways: int):
     def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
         way, known = _way_of(asked, stored), stored.num_rows
         hashes = [*(unpack(x[0], np.uint64) for x in stored["a"].to_pylist()), *(unpack(x[0], np.uint64) for x in asked["a"].to_pylist())]
-        counts = np.concatenate([*(unpack(x, np.uint64) for x in stored["b"].to_pylist()), *(unpack(x, np.uint64) for x in asked["b"].to_pylist())])
-        distinct, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        counts = np.concatenate([*map(unpack_ints, stored["b"].to_pylist()), *map(unpack_ints, asked["b"].to_pylist())])
+        every, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         total = np.bincount(inverse, counts).astype(np.int64)
         order = np.lexsort((first, ~(total > 0))) if known else np.argsort(-total, kind="stable")
         rank = np.empty(len(total), np.int64)
@@ -367,12 +380,12 @@ def _word_part(ways: int):
         rows: list[tuple] = [("sums", None, way, None, None, None, [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))])]
         if not known:
             seen = order[total[order] > 0]
-            rows.append(("table", None, way, [pack(distinct[seen])], pack(total[seen].astype(np.uint64)), None, None))
+            rows.append(("table", None, way, [pack(every[seen])], pack_ints(total[seen]), None, None))
         at = sum(map(len, hashes[:known]))
         for chunk, h in zip(asked["chunk"].to_pylist(), hashes[known:], strict=True):
             own = inverse[at : at + len(h)]
             at += len(h)
-            rows.append(("answer", chunk, way, [pack(rank[own].astype(np.uint64))], pack(total[own][np.argsort(rank[own])].astype(np.uint64)), None, None))
+            rows.append(("answer", chunk, way, [pack_ints(rank[own])], pack_ints(total[own][np.argsort(rank[own])]), None, None))
         return _out(rows)
 
     return run
@@ -390,23 +403,22 @@ def _gram_part(n: int):
         del parts
         first, inverse = _distinct(cols)
         cols = [c[first] for c in cols]
-        total = np.bincount(inverse, np.concatenate([unpack(r["b"], np.uint64) for r in blocks])).astype(np.int64)
-        lower = np.concatenate([unpack(r["c"], np.uint64) for r in blocks])[first].astype(np.int64)
+        total = np.bincount(inverse, np.concatenate([unpack_ints(r["b"]) for r in blocks])).astype(np.int64)
+        lower = np.concatenate([unpack_ints(r["c"]) for r in blocks])[first]
         opens = _runs(cols[:-1])
         of = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(first))))
         seen = total > 0
         sums = np.concatenate([classes_of(of, total, len(opens)), classes_of(of, np.where(seen, lower, 0), len(opens))], 1)
         rows: list[tuple] = [("sums", None, way, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])]
         if not known and seen.any():
-            rows.append(("table", None, way, _packed([c[seen] for c in cols]), pack(total[seen].astype(np.uint64)), pack(lower[seen].astype(np.uint64)), None))
+            rows.append(("table", None, way, _packed([c[seen] for c in cols]), pack_ints(total[seen]), pack_ints(lower[seen]), None))
         at, hot = sum(sizes[:known]), set()
         for r, size in zip(blocks[known:], sizes[known:], strict=True):
             own = inverse[at : at + size]
             at += size
             runs = of[own][_runs([of[own]])]
             hot.update(runs.tolist() if r["part"] % 2 else ())
-            told = [pack(np.ascontiguousarray(s.T).reshape(-1).astype(np.uint64)) for s in (sums[runs, : K + 1], sums[runs, K + 1 :])]
-            rows.append(("answer", r["chunk"], r["part"], told, pack(total[own].astype(np.uint64)), None, None))
+            rows.append(("answer", r["chunk"], r["part"], [pack_ints(column) for column in sums[runs].T], pack_ints(total[own]), None, None))
         rows += [("hot", None, way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
         return _out(rows)
 
@@ -436,27 +448,27 @@ def _restored(texts: pa.Table, answers: pa.Table, model: Model, upto: int) -> _S
         by_level.setdefault(r["level"], []).append(r)
     ids, count = [], []
     for r in by_level.get(1, []):
-        rank = unpack(r["a"][0], np.uint64)
-        ids.append(rank * np.uint64(model.ways) + np.uint64(r["way"] + 1))
+        rank = unpack_ints(r["a"][0])
+        ids.append(rank * model.ways + r["way"] + 1)
         count.append(np.empty(len(rank), np.int64))
-        count[-1][np.argsort(rank)] = unpack(r["b"], np.uint64)
+        count[-1][np.argsort(rank)] = unpack_ints(r["b"])
     if sum(map(len, ids)) != row["words"]:
         raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
     ids, count = np.concatenate(ids), np.concatenate(count)
     order = np.argsort(ids)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    tokens, starts = _sequences(unpack(row["positions"], np.uint32), np.array(row["sizes"], np.int64), row["end"])
-    tokens, ids, none = place[tokens], ids[order], np.zeros(0, np.int64)
-    levels = [Level([ids], tokens, none, none, none, none, none, none, count[order])]
+    tokens, starts = _sequences(unpack_ints(row["positions"]), np.array(row["sizes"], np.int64))
+    tokens, ids, none, same = place[unpack_ints(row["place"])][tokens], ids[order], np.zeros(0, np.int64), np.arange(len(ids))
+    levels = [Level([ids], tokens, none, none, none, none, none, none, same, same, count[order])]
     for n in range(2, upto + 1):
         level = _next(levels[-1], tokens, starts, ids, model)
         told = by_level.get(n, [])
-        level.count = np.concatenate([unpack(r["b"], np.uint64) for r in told]).astype(np.int64)
-        sums = [np.concatenate([unpack(r["a"][k], np.uint64).reshape(K + 1, -1) for r in told], 1).astype(float).T for k in (0, 1)]
-        if len(level.count) != len(level.first) or len(sums[0]) != len(level.opens):
+        level.count = np.concatenate([unpack_ints(r["b"]) for r in told])
+        sums = np.stack([np.concatenate([unpack_ints(r["a"][k]) for r in told]) for k in range(SUMS)], 1).astype(float)
+        if len(level.count) != len(level.first) or len(sums) != len(level.opens):
             raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
-        level.own, level.lower = sums
+        level.own, level.lower = sums[:, : K + 1], sums[:, K + 1 :]
         for k in np.flatnonzero(level.hot):
             whole = model.shared.get(n, {}).get(tuple(int(c[level.opens[k]]) for c in level.cols[:-1]), np.zeros(SUMS))
             level.own[k], level.lower[k] = whole[: K + 1], whole[K + 1 :]
@@ -486,9 +498,9 @@ def _asks(n: int, model: Model, learn: bool):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         state = _restored(texts, told, model, n - 1)
         level = _next(state.levels[-1], state.tokens, state.starts, state.ids, model)
-        counts = np.bincount(level.index, state.learnt if learn else np.zeros(len(state.tokens)), len(level.first)).astype(np.uint64)
-        lower = state.levels[-1].count[state.levels[-1].index[level.first]].astype(np.uint64)
-        return _asked([(w // 2, w, state.row["chunk"], _packed([c[i:j] for c in level.cols]), pack(counts[i:j]), pack(lower[i:j])) for w, i, j in _stretches(level.way)])
+        counts = np.bincount(level.index, state.learnt if learn else np.zeros(len(state.tokens)), len(level.first)).astype(np.int64)
+        lower = state.levels[-1].count[state.levels[-1].index[level.first]]
+        return _asked([(w // 2, w, state.row["chunk"], _packed([c[i:j] for c in level.cols]), pack_ints(counts[i:j]), pack_ints(lower[i:j])) for w, i, j in _stretches(level.way)])
 
     return run
 
@@ -506,16 +518,15 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
         model = Model(order, max(dealt(spark), min(-(-size // PART_BYTES), 1 << 20)))
     ways = model.ways
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches, ways):
-            tokens, _ = _sequences(c.positions, c.sizes, c.end)
-            learnt = np.bincount(tokens, np.repeat(~c.held, c.sizes + 1) if learn else np.zeros(len(tokens)), len(c.hashes)).astype(np.uint64)
-            yield from _asked([(w, w, c.name, [pack(c.hashes[i:j])], pack(learnt[i:j]), None) for w, i, j in _stretches(c.way)]).to_batches()
+    kinds = {"kind": pa.string(), "way": pa.int32(), "chunk": pa.string(), "a": pa.list_(pa.binary()), "b": pa.binary(), "doc_ids": pa.list_(arrow_id), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "positions": pa.binary(), "place": pa.binary(), "words": pa.int32()}
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _chunks(batches, ways):
-            held = {"chunk": ([c.name], pa.string()), "doc_ids": ([c.ids], pa.list_(arrow_id)), "held": ([c.held.tolist()], pa.list_(pa.bool_())), "sizes": ([c.sizes.tolist()], pa.list_(pa.int64())), "positions": ([pack(c.positions)], pa.binary()), "end": ([c.end], pa.int32()), "words": ([len(c.hashes)], pa.int32())}
-            yield from _table(held).to_batches()
+            tokens, _ = _sequences(c.positions, c.sizes)
+            learnt = np.bincount(c.place[tokens], np.repeat(~c.held, c.sizes + 1) if learn else np.zeros(len(tokens)), len(c.hashes)).astype(np.int64)
+            out = [{"kind": "ask", "way": w, "chunk": c.name, "a": [pack(c.hashes[i:j])], "b": pack_ints(learnt[i:j])} for w, i, j in _stretches(c.way)]
+            out.append({"kind": "text", "chunk": c.name, "doc_ids": c.ids, "held": c.held.tolist(), "sizes": c.sizes.tolist(), "positions": pack_ints(c.positions), "place": pack_ints(c.place), "words": len(c.hashes)})
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in out], t) for k, t in kinds.items()], list(kinds))
 
     def exchange(asked: DataFrame, part, n: int) -> DataFrame:
         """What the parts of level ``n`` tell; the table that they keep becomes the model's."""
@@ -536,14 +547,16 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
     answers = []
     keep = lambda told, n: answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")))
     every = lambda: reduce(DataFrame.unionAll, answers)
-    told = exchange(rows.mapInArrow(words, ASK), _word_part(ways), 1)
+    every_id = id_type.simpleString()
+    made, path = written(rows.mapInArrow(split, f"kind string, way int, chunk string, a array<binary>, b binary, doc_ids array<{every_id}>, held array<boolean>, sizes array<long>, positions binary, place binary, words int"), "texts", "kind")
+    texts = made.where("kind = 'text'").select("chunk", "doc_ids", "held", "sizes", "positions", "place", "words")
+    told = exchange(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1)
+    forget(spark, f"{path}/kind=ask")
     keep(told, 1)
     if learn:
         sums = summed(told, K + 3)
         mine = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("long")
         model.unigrams = Unigrams.of(int(sums[0]), int(sums[1]), rows.select(mine.alias("t")).agg(F.sum("t")).first()[0] or 0, np.array([0, *sums[2:]]))
-    texts = rows.mapInArrow(places, f"chunk string, doc_ids array<{id_type.simpleString()}>, held array<boolean>, sizes array<long>, positions binary, end int, words int")
-
     for n in range(2, order + 1):
 
         told = exchange(texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n)
@@ -572,7 +585,7 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
             }
         )
 
-    return model, texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(scored, f"doc_id {id_type.simpleString()}, {SCORES}")
+    return model, texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(scored, f"doc_id {every_id}, {SCORES}")
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> Model:

@@ -153,7 +153,7 @@ def test_nothing_to_learn_from(spark):
 
 def test_many_columns_of_large_ids():
     rng = np.random.default_rng(1)
-    cols = [rng.integers(0, 1 << 40, 500, dtype=np.uint64) for _ in range(3)]
+    cols = [rng.integers(0, 1 << 40, 500) for _ in range(3)]
     cols = [np.concatenate([c, c[:100]]) for c in cols]
     first, inverse = katz._distinct(cols)
     rows = [tuple(int(c[k]) for c in cols) for k in range(600)]
