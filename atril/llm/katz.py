@@ -195,17 +195,20 @@ class Model:
         return own.select("history", ((1 - F.col("kept") / F.col("total")) / (1 - F.col("lower") / F.col("below"))).alias("backoff"))
 
 
-# Columns of n-grams: the first as differences, which are small where n-grams of a history lie together.
+# Columns of n-grams: a history that several n-grams in a row have goes once, with their number; the first word of
+# histories goes as differences, which are small where n-grams are sorted.
 
 
 def _packed(cols: list[np.ndarray]) -> list[bytes]:
-    first = np.diff(cols[0], prepend=np.int64(0))
-    return [pack_ints(first << 1 ^ first >> 63), *map(pack_ints, cols[1:])]
+    opens = _runs(cols[:-1])
+    first, *rest = (c[opens] for c in cols[:-1])
+    moved = np.diff(first, prepend=np.int64(0))
+    return [pack_ints(np.diff(np.append(opens, len(cols[0]))) - 1), pack_ints(moved << 1 ^ moved >> 63), *map(pack_ints, rest), pack_ints(cols[-1])]
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
-    first, *rest = map(unpack_ints, blobs)
-    return [(first >> 1 ^ -(first & 1)).cumsum(), *rest]
+    more, moved, *rest, word = map(unpack_ints, blobs)
+    return [*(np.repeat(c, more + 1) for c in ((moved >> 1 ^ -(moved & 1)).cumsum(), *rest)), word]
 
 
 def _distinct(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
