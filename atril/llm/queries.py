@@ -1,7 +1,15 @@
-"""The subpackage's queries and their SQL."""
+"""The subpackage's queries and their SQL.
+
+One query an operator gives its full result; those named ``llm_...`` give, through the same operators, the columns that
+SQL can state, so that another engine can check them.
+"""
 
 from __future__ import annotations
 
+import string
+
+from pyspark.sql import functions as F
+
 from . import bpe, edits, html_text, katz, media, mixing, quality, simhash, urls, warc
 
 QUERIES = {
@@ -17,4 +25,88 @@ QUERIES = {
     "op10_bpe_words": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_warc_index": warc.SQL}
+
+def llm_edit_lengths(spark, sf_dir):
+    return edits.query(spark, sf_dir).select("doc_id", "n_chars_edited")
+
+
+def llm_training_counts(spark, sf_dir):
+    return katz.query(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def llm_mixing_targets(spark, sf_dir):
+    return mixing.query(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def llm_url_rules(spark, sf_dir):
+    return urls.query(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def llm_media_payloads(spark, sf_dir):
+    return media.query(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def llm_quality_base(spark, sf_dir):
+    return quality.query(spark, sf_dir).select("doc_id", *quality.STATS, "base_failed")
+
+
+def llm_html_articles(spark, sf_dir):
+    return html_text.query(spark, sf_dir)
+
+
+def llm_round_trips(spark, sf_dir):
+    return bpe.query(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+QUERIES |= {f.__name__: f for f in (llm_edit_lengths, llm_training_counts, llm_mixing_targets, llm_url_rules, llm_media_payloads, llm_quality_base, llm_html_articles, llm_round_trips)}
+
+_LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: crc32 of the digits of a number: for each a xor, then eight shifts (-1).
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)"
+_CASE = "CASE " + " ".join(f"WHEN (host = '{n.partition('/')[0]}' OR ends_with(host, '.{n.partition('/')[0]}')) AND starts_with(path, '/{n.partition('/')[2]}') THEN {{}}" for n, _ in sorted(urls.RULES, key=lambda r: -len(r[0]))) + " END"
+_RULES = sorted(urls.RULES, key=lambda r: -len(r[0]))
+#: Fixed: character references that occur in the tables' articles.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _decoded(text: str) -> str:
+    for name, letter in _ENTITIES:
+        text = f"replace({text}, '{name}', '{letter}')"
+    return text
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_index": warc.SQL,
+    "llm_edit_lengths": """WITH a AS (SELECT doc_id, length(coalesce(text, '')) AS n, length(' revision ' || doc_id) AS put FROM documents),
+b AS (SELECT doc_id, n, n + put AS l1, n // 2 AS at2, n * 9 // 10 AS at3 FROM a), c AS (SELECT doc_id, at3, l1 - least(7, l1 - least(at2, l1)) AS l2 FROM b)
+SELECT doc_id, l2 - least(12, l2 - least(at3, l2)) + length(chr(10) || chr(10) || 'new line''s end ') AS n_chars_edited FROM c""",
+    "llm_training_counts": f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} AS crc, list_append(list_transform({_WORDS}, lambda x: translate(x, {_LOWER})), chr(10)) AS w FROM documents),
+d AS (SELECT r, doc_id, xor(crc, 4294967295) % 10 = 0 AS held_out, w FROM w), t AS (SELECT r, held_out, unnest(w) AS x FROM d),
+c AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x), n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 0.1) / (n.n + 0.1 * (n.v + 1)))) AS base FROM t LEFT JOIN c USING (x), n GROUP BY r)
+SELECT doc_id, held_out, len(w) AS n_tokens, n_known, n AS train_tokens, round(base, 4) AS base_score FROM d JOIN s USING (r), n""",
+    "llm_mixing_targets": f"""WITH RECURSIVE z AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM z GROUP BY source),
+r AS (SELECT list(source ORDER BY k) AS names, list(n ORDER BY k) AS sizes, list([3, 1, 2][1 + (k % 3)::INT] ORDER BY k) AS w, list_transform(list(n), lambda x: NULL::DOUBLE) AS got, 1.5 * sum(n)::DOUBLE AS rest, false AS done FROM s
+  UNION ALL
+  SELECT names, sizes, w, CASE WHEN len(list_filter(full_, lambda x: x)) = 0 THEN list_transform(got, lambda g, i: coalesce(g, w[i] * share)) ELSE list_transform(got, lambda g, i: CASE WHEN full_[i] THEN 2.0 * sizes[i] ELSE g END) END,
+    rest - coalesce(list_sum(list_transform(full_, lambda f, i: CASE WHEN f THEN 2.0 * sizes[i] ELSE 0 END)), 0), len(list_filter(full_, lambda x: x)) = 0
+  FROM (SELECT *, list_transform(got, lambda g, i: g IS NULL AND w[i] * share > 2 * sizes[i]) AS full_ FROM (SELECT *, rest / list_sum(list_transform(got, lambda g, i: CASE WHEN g IS NULL THEN w[i] ELSE 0 END)) AS share FROM r WHERE NOT done))),
+t AS (SELECT unnest(names) AS source, unnest(sizes) AS source_size, unnest(got) AS target FROM r WHERE done)
+SELECT doc_id, size, source_size, round(target, 4) AS target FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source""",
+    "llm_url_rules": f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), {_LOWER}) AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+SELECT page_id, host, path, {_CASE.format(*(f"'{n}'" for n, _ in _RULES))} AS rule, {_CASE.format(*(f"'{v}'" for _, v in _RULES))} AS verdict FROM h""",
+    "llm_media_payloads": f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents)
+SELECT doc_id, n AS n_bytes, greatest((n + {media.UNIT - 1}) // {media.UNIT}, 1) * {media.UNIT} AS payload_bytes, sha256(t || repeat(' ', (greatest((n + {media.UNIT - 1}) // {media.UNIT}, 1) * {media.UNIT} - n)::INT)) AS payload_sha256 FROM p""",
+    "llm_quality_base": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 1)) AS p, w FROM d), n AS (SELECT r, p, count(*) OVER (PARTITION BY r, w[p:p + 2]) AS n FROM g),
+a AS (SELECT r, count(DISTINCT x) AS again FROM (SELECT r, unnest([p, p + 1, p + 2]) AS x FROM n WHERE n > 1) GROUP BY r),
+s AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(array_to_string(w, ''), '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again, 0) AS n_repeat_words FROM d LEFT JOIN a USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s""",
+    "llm_html_articles": rf"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(t, '</?(?:p|h1|h2|ul|li|div)(?: [^>]*)?>'), lambda x: trim(regexp_replace({_decoded("regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM a)
+SELECT page_id, url, coalesce(array_to_string(b, chr(10)), '') AS text, length(coalesce(array_to_string(b, chr(10)), '')) AS n_chars FROM b""",
+    "llm_round_trips": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
+}
