@@ -7,7 +7,7 @@ what its discounts free to the words that it was not seen with, in proportion to
 backoff weights normalised exactly over all words and the unknown class. A history whose discounts free nothing gets one
 virtual count.
 
-Plan, one exchange a level: documents go into chunks of about 16 MB, split once and written. Each chunk sends its distinct words (as hashes with
+Plan, one exchange a level: documents go into chunks of about 8 MB, split once and written. Each chunk sends its distinct words (as hashes with
 training counts) to the word table's parts, which number the words and answer with ids and counts. For each higher level
 it sends its distinct n-grams with training counts and with the counts of their last n - 1 words to the parts of that
 level's table, dealt by history. A part sums the counts, keeps the n-grams that were seen in training as its share of the
@@ -54,7 +54,7 @@ SUMS = 2 * K + 2
 END = b"\n"
 #: A history with over one in so many training tokens is dealt by its next words too.
 HOT = 1000
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of input a part at most, which a worker holds some twenty times; the session's shuffle partitions give more parts
 #: where input is small. With larger workers, raise both this and CHUNK, so that a chunk's share for a part stays whole.
 PART_BYTES = 64 << 20
