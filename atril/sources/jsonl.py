@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,17 +22,24 @@ class DataUnavailableError(RuntimeError):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value, valid): non-blank lines of each file with physical line numbers; valid JSON objects in UTF-8."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.try_to_binary(F.lit("x"), F.lit("hex")).cast("string"))
-    rows = whole.select("file", F.posexplode(F.split(F.coalesce(text, F.make_valid_utf8(F.col("content").cast("string"))), "\n")).alias("at", "value"))
-    rows = rows.where("trim(value) <> ''").select("file", (F.col("at") + 1).alias("line_no"), "value")
-    return rows.withColumn("valid", is_object(F.col("value")))
+    """(file, line_no, value, valid): non-blank lines of each file with physical line numbers; valid JSON objects in UTF-8.
+
+    Files are read in splits. A split's rows are numbered by Spark's ids, which follow their order, and the lines of the
+    splits before it come on top, so a large file is no single task.
+    """
+    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", F.monotonically_increasing_id().alias("id"))
+    splits = raw.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "split", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    rows = raw.join(splits, ["file", "split"]).where(F.trim("value") != "")
+    utf8 = F.is_valid_utf8("value")
+    rows = rows.select("file", (F.col("id") + F.col("shift")).alias("line_no"), F.when(utf8, F.col("value")).otherwise(F.make_valid_utf8("value")).alias("value"), utf8.alias("utf8"))
+    return rows.withColumn("valid", is_object(F.col("value")) & F.col("utf8")).drop("utf8")
 
 
 def is_object(value):
     """``from_json`` gives nulls for arrays and cut-off lines alike, so the kind is asked of the parsed variant."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False)) & ~F.contains(value, F.lit("\ufffd"))
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
 
 
 def problems(rows: DataFrame) -> DataFrame:

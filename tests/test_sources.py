@@ -6,7 +6,7 @@ import tarfile
 import numpy as np
 import pytest
 
-from atril.sources import archives, audio
+from atril.sources import archives, audio, jsonl
 from atril.sources.jsonl import DataUnavailableError
 
 
@@ -87,3 +87,18 @@ def test_folders(spark, tmp_path):
     want = {"type": "local-run", "runner": "r2", "label": "A", "model_id": "x"}
     assert archives.run_infos(spark, str(tmp_path)) == {"m": want}
     assert archives.run_infos(spark, str(tmp_path), ("m",))["m"]["runner"] == "m"
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    rows = [f'{{"clip_id": "c{k}", "hyp": "{"x" * (k % 50)}"}}' if k % 7 else "" for k in range(3000)]
+    rows[500], rows[501], rows[502] = "[1]", '{"cut', "\ufffd"
+    (tmp_path / "a.jsonl").write_text("\n".join(rows))
+    (tmp_path / "b.jsonl").write_bytes(b'{"clip_id": "z"}\n{"clip_id": "\xff"}\r\n  \n{"clip_id": "y", "hyp": "\xef\xbf\xbd"}\n')
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = {(r.file.rsplit("/", 1)[-1], r.line_no): (r.value, r.valid) for r in jsonl.lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert {n: v for (f, n), v in got.items() if f == "a.jsonl"} == {k + 1: (x, k not in (500, 501, 502)) for k, x in enumerate(rows) if x.strip()}
+    assert {n: v for (f, n), (_, v) in got.items() if f == "b.jsonl"} == {1: True, 2: False, 4: True}
