@@ -66,6 +66,26 @@ def written(df: DataFrame, kind: str = "table", by: str | None = None) -> tuple[
     return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns)), path
 
 
+def bucketed(df: DataFrame, key: str, by: str) -> tuple[DataFrame, str]:
+    """``df`` as a table of the warehouse with a folder for each value of ``by``, in as many buckets of ``key`` as keys are dealt
+    ways: what meets it by ``key`` later does not shuffle it again. The table goes when the driver exits; also its path."""
+    spark, name = df.sparkSession, f"atril_{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format("parquet").option("compression", "zstd").partitionBy(by).bucketBy(dealt(spark), key).saveAsTable(name)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    atexit.register(_drop, spark, name)
+    path = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+    return spark.table(name), path
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def materialize(df: DataFrame, kind: str = "table", by: str | None = None) -> DataFrame:
     return written(df, kind, by)[0]
 

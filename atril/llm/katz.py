@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Index, chunked, dealt, forget, materialize, pack, pack_ints, pieces_of, unpack, unpack_ints, words_of, written
+from .common import Index, bucketed, chunked, dealt, forget, materialize, pack, pack_ints, pieces_of, unpack, unpack_ints, words_of, written
 
 ORDER = 3
 K = 5
@@ -58,6 +58,8 @@ CHUNK = 8 << 20
 #: Bytes of input a part at most, which a worker holds some twenty times; the session's shuffle partitions give more parts
 #: where input is small. With larger workers, raise both this and CHUNK, so that a chunk's share for a part stays whole.
 PART_BYTES = 64 << 20
+#: Shares in which the parts of a level are worked off.
+ROUNDS = 4
 #: Slope of the counts of counts where fewer than two are there, and the flattest that is used: r* < r below it only.
 SLOPE, FLATTEST = -2.0, -1.05
 
@@ -537,33 +539,44 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
             none = pa.table([pa.array([], t) for t in (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary())], names=["way", "a", "b", "c"])
             told = asked.groupBy("way").applyInArrow(lambda t: part(t, none), OUT)
         else:
-            told = asked.groupBy("way").cogroup(model.tables[n].groupBy("way")).applyInArrow(part, OUT)
-        told = materialize(told, f"level{n}", "kind")
-        if learn:
-            model.tables[n] = told.where("kind = 'table'").select("way", "a", "b", "c")
-        return told
+            met = model.tables[n].join(F.broadcast(asked.select("way").distinct()), "way", "left_semi")  # parts nobody asks say nothing
+            told = asked.groupBy("way").cogroup(met.groupBy("way")).applyInArrow(part, OUT)
+        return materialize(told, f"level{n}", "kind")
+
+    def in_rounds(asked: DataFrame, part, n: int) -> DataFrame:
+        """The exchange of what is written first, a share of the parts at a time: only that share is in a shuffle at once."""
+        made, path = written(asked.withColumn("round", F.col("way") % ROUNDS), f"ask{n}", "round")
+        told = []
+        for k in range(ROUNDS):
+            told.append(exchange(made.where(F.col("round") == k).drop("round"), part, n))
+            forget(spark, f"{path}/round={k}")
+        return reduce(DataFrame.unionAll, told)
 
     def summed(told: DataFrame, n: int) -> np.ndarray:
         found = told.where("kind = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
         return np.array([x or 0.0 for x in found])
 
     answers = []
-    keep = lambda told, n: answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")))
+
+    def keep(told: DataFrame, n: int) -> DataFrame:
+        answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")))
+        if learn:
+            model.tables[n] = told.where("kind = 'table'").select("way", "a", "b", "c")
+        return told
+
     every = lambda: reduce(DataFrame.unionAll, answers)
     every_id = id_type.simpleString()
-    made, path = written(rows.mapInArrow(split, f"kind string, way int, chunk string, a array<binary>, b binary, doc_ids array<{every_id}>, held array<boolean>, sizes array<long>, positions binary, place binary, words int"), "texts", "kind")
+    made, path = bucketed(rows.mapInArrow(split, f"kind string, way int, chunk string, a array<binary>, b binary, doc_ids array<{every_id}>, held array<boolean>, sizes array<long>, positions binary, place binary, words int"), "chunk", "kind")
     texts = made.where("kind = 'text'").select("chunk", "doc_ids", "held", "sizes", "positions", "place", "words")
-    told = exchange(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1)
+    told = keep(exchange(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1), 1)
     forget(spark, f"{path}/kind=ask")
-    keep(told, 1)
     if learn:
         sums = summed(told, K + 3)
         mine = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("long")
         model.unigrams = Unigrams.of(int(sums[0]), int(sums[1]), rows.select(mine.alias("t")).agg(F.sum("t")).first()[0] or 0, np.array([0, *sums[2:]]))
     for n in range(2, order + 1):
 
-        told = exchange(texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n)
-        keep(told, n)
+        told = keep(in_rounds(texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n), n)
         if learn:
             model.factors[n] = discounts(np.append(0.0, summed(told, K + 1)))
             hot = told.where("kind = 'hot'").groupBy(*(F.col("stats")[k].alias(f"x{k}") for k in range(n - 1))).agg(*(F.sum(F.col("stats")[n - 1 + k]) for k in range(SUMS)))
