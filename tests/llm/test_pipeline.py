@@ -102,3 +102,26 @@ def test_run_is_the_stages_in_turn_and_reruns_agree(spark, folder):
 
 def test_empty_table(spark, folder):
     assert corpus_pipeline.run(spark, folder([])).count() == 0
+
+
+def test_with_a_fitted_forest_and_clashing_names(spark, tmp_path):
+    rng = random.Random(8)
+    say = lambda words: " ".join(rng.choice(words) + str(rng.randint(0, 60)) for _ in range(150))
+    good, bad = "the house by a river was old,".split(), "BUY now!!! $$$ ### click".split()
+    names = ["score", "kept", "fp", "root", "copies", "size", "text_hash", "place", "total", "ids"]
+    rows = [(k, say(bad if k % 2 else good), "xx", f"s{k % 3}", 1, *([k] * len(names))) for k in range(160)]
+    rows += [(k + 500, rows[k][1].upper().lower(), *rows[k][2:]) for k in range(0, 20, 2)]
+    fields = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` int" for n in names)
+    spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1 - k % 2) for k in range(100)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    (_, rules), (_, near), (_, mixed), _ = corpus_pipeline.STAGES
+    kept = rules(spark, docs, str(tmp_path))
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and len(ids & set(range(1, 160, 2))) <= 2 and len(ids & set(range(0, 160, 2))) >= 78
+    single = near(spark, kept, str(tmp_path))
+    left = {r.doc_id for r in single.collect()}
+    assert single.columns == docs.columns and left == {i for i in ids if i < 500 or i - 500 not in ids}
+    assert mixed(spark, single, str(tmp_path)).columns == docs.columns
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= left and len(out) >= len(left)
