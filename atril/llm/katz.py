@@ -422,8 +422,10 @@ def _gram_part(n: int):
             own = inverse[at : at + size]
             at += size
             runs = of[own][_runs([of[own]])]
-            hot.update(runs.tolist() if r["part"] % 2 else ())
-            rows.append(("answer", r["chunk"], r["part"], [pack_ints(column) for column in sums[runs].T], pack_ints(total[own]), None, None))
+            if r["part"] % 2:
+                hot.update(runs.tolist())
+            told = [] if r["part"] % 2 else [pack_ints(column) for column in sums[runs].T]
+            rows.append(("answer", r["chunk"], r["part"], told, pack_ints(total[own]), None, None))
         rows += [("hot", None, way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
         return _out(rows)
 
@@ -470,13 +472,19 @@ def _restored(texts: pa.Table, answers: pa.Table, model: Model, upto: int) -> _S
         level = _next(levels[-1], tokens, starts, ids, model)
         told = by_level.get(n, [])
         level.count = np.concatenate([unpack_ints(r["b"]) for r in told])
-        sums = np.stack([np.concatenate([unpack_ints(r["a"][k]) for r in told]) for k in range(SUMS)], 1).astype(float)
-        if len(level.count) != len(level.first) or len(sums) != len(level.opens):
+        sums = np.zeros((len(level.opens), SUMS))
+        cold, hot = np.flatnonzero(~level.hot), np.flatnonzero(level.hot)
+        told = [r["a"] for r in told if r["a"]]
+        own = [np.concatenate([unpack_ints(a[k]) for a in told]) if told else np.zeros(0, np.int64) for k in range(SUMS)]
+        if len(level.count) != len(level.first) or len(own[0]) != len(cold):
             raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
+        sums[cold] = np.stack(own, 1)
+        if len(hot):
+            names = [c[level.opens[hot]] for c in level.cols[:-1]]
+            first, inverse = _distinct(names)
+            shared, none = model.shared.get(n, {}), np.zeros(SUMS)
+            sums[hot] = np.stack([shared.get(tuple(int(c[k]) for c in names), none) for k in first])[inverse]
         level.own, level.lower = sums[:, : K + 1], sums[:, K + 1 :]
-        for k in np.flatnonzero(level.hot):
-            whole = model.shared.get(n, {}).get(tuple(int(c[level.opens[k]]) for c in level.cols[:-1]), np.zeros(SUMS))
-            level.own[k], level.lower[k] = whole[: K + 1], whole[K + 1 :]
         levels.append(level)
     return _State(row, tokens, starts, ids, levels)
 
