@@ -66,19 +66,29 @@ def written(df: DataFrame, kind: str = "table", by: str | None = None) -> tuple[
     return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns)), path
 
 
-def bucketed(df: DataFrame, key: str, by: str) -> tuple[DataFrame, str]:
-    """``df`` as a table of the warehouse with a folder for each value of ``by``, in as many buckets of ``key`` as keys are dealt
-    ways: what meets it by ``key`` later does not shuffle it again. The table goes when the driver exits; also its path."""
-    spark, name = df.sparkSession, f"atril_{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.format("parquet").option("compression", "zstd").partitionBy(by).bucketBy(dealt(spark), key).saveAsTable(name)
-    finally:
-        spark.conf.set(CLEANUP, was)
-    atexit.register(_drop, spark, name)
-    path = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
-    return spark.table(name), path
+class Buckets:
+    """A table of the warehouse in buckets of ``key``, as many as keys are dealt ways: tables that meet by this key are not
+    shuffled again. It goes when the driver exits. by: a column whose values have a folder each."""
+
+    def __init__(self, spark: SparkSession, key: str, by: str | None = None):
+        self.spark, self.key, self.by, self.n, self.name = spark, key, by, dealt(spark), f"atril_{uuid.uuid4().hex}"
+        atexit.register(_drop, spark, self.name)
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows; dealt by the key beforehand, they add at most a file a bucket (and folder) a task."""
+        was = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            out = df.write.mode("append").format("parquet").option("compression", "zstd")
+            (out.partitionBy(self.by) if self.by else out).bucketBy(self.n, self.key).saveAsTable(self.name)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def path(self) -> str:
+        return self.spark.sql(f"DESCRIBE FORMATTED {self.name}").where("col_name = 'Location'").first()["data_type"]
 
 
 def _drop(spark: SparkSession, name: str) -> None:

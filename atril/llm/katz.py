@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Index, bucketed, chunked, dealt, forget, materialize, pack, pack_ints, pieces_of, unpack, unpack_ints, words_of, written
+from .common import Buckets, Index, chunked, dealt, forget, pack, pack_ints, pieces_of, unpack, unpack_ints, words_of, written
 
 ORDER = 3
 K = 5
@@ -59,7 +59,7 @@ CHUNK = 8 << 20
 #: where input is small. With larger workers, raise both this and CHUNK, so that a chunk's share for a part stays whole.
 PART_BYTES = 64 << 20
 #: Shares in which the parts of a level are worked off.
-ROUNDS = 4
+ROUNDS = 8
 #: Slope of the counts of counts where fewer than two are there, and the flattest that is used: r* < r below it only.
 SLOPE, FLATTEST = -2.0, -1.05
 
@@ -86,7 +86,10 @@ def discounted(c: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 def weighed(sums: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Discounted tokens of rows of K + 1 sums."""
-    return sums @ np.append(np.arange(1, K + 1) * factors[1:], 1.0)
+    out = sums[:, K].astype(float)
+    for r in range(1, K + 1):
+        out += sums[:, r - 1] * (r * factors[r])
+    return out
 
 
 def classes_of(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
@@ -541,15 +544,20 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
             out.append({"kind": "text", "chunk": c.name, "doc_ids": c.ids, "held": c.held.tolist(), "sizes": c.sizes.tolist(), "positions": pack_ints(c.positions), "place": pack_ints(c.place), "words": len(c.hashes)})
             yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in out], t) for k, t in kinds.items()], list(kinds))
 
+    answers = Buckets(spark, "chunk")
+
     def exchange(asked: DataFrame, part, n: int) -> DataFrame:
-        """What the parts of level ``n`` tell; the table that they keep becomes the model's."""
+        """What the parts of level ``n`` tell. Their answers go to the other answers, in the chunks' buckets."""
         if learn:
             none = pa.table([pa.array([], t) for t in (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary())], names=["way", "a", "b", "c"])
-            told = asked.groupBy("way").applyInArrow(lambda t: part(t, none), OUT)
+            made = asked.groupBy("way").applyInArrow(lambda t: part(t, none), OUT)
         else:
             met = model.tables[n].join(F.broadcast(asked.select("way").distinct()), "way", "left_semi")  # parts nobody asks say nothing
-            told = asked.groupBy("way").cogroup(met.groupBy("way")).applyInArrow(part, OUT)
-        return materialize(told, f"level{n}", "kind")
+            made = asked.groupBy("way").cogroup(met.groupBy("way")).applyInArrow(part, OUT)
+        told, path = written(made, f"level{n}", "kind")
+        answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")).repartition(answers.n, "chunk"))
+        forget(spark, f"{path}/kind=answer")
+        return told.where("kind <> 'answer'")
 
     def in_rounds(asked: DataFrame, part, n: int) -> DataFrame:
         """The exchange of what is written first, a share of the parts at a time: only that share is in a shuffle at once."""
@@ -560,31 +568,30 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
             forget(spark, f"{path}/round={k}")
         return reduce(DataFrame.unionAll, told)
 
-    def summed(told: DataFrame, n: int) -> np.ndarray:
-        found = told.where("kind = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
-        return np.array([x or 0.0 for x in found])
-
-    answers = []
-
     def keep(told: DataFrame, n: int) -> DataFrame:
-        answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")))
+        """The part of ``told`` that is the model's table becomes that."""
         if learn:
             model.tables[n] = told.where("kind = 'table'").select("way", "a", "b", "c")
         return told
 
-    every = lambda: reduce(DataFrame.unionAll, answers)
+    def summed(told: DataFrame, n: int) -> np.ndarray:
+        found = told.where("kind = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
+        return np.array([x or 0.0 for x in found])
+
     every_id = id_type.simpleString()
-    made, path = bucketed(rows.mapInArrow(split, f"kind string, way int, chunk string, a array<binary>, b binary, doc_ids array<{every_id}>, held array<boolean>, sizes array<long>, positions binary, place binary, words int"), "chunk", "kind")
+    held = Buckets(spark, "chunk", "kind")
+    held.append(rows.mapInArrow(split, f"kind string, way int, chunk string, a array<binary>, b binary, doc_ids array<{every_id}>, held array<boolean>, sizes array<long>, positions binary, place binary, words int"))
+    made = held.read()
     texts = made.where("kind = 'text'").select("chunk", "doc_ids", "held", "sizes", "positions", "place", "words")
     told = keep(exchange(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1), 1)
-    forget(spark, f"{path}/kind=ask")
+    forget(spark, f"{held.path()}/kind=ask")
     if learn:
         sums = summed(told, K + 3)
         mine = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 != 0).cast("long")
         model.unigrams = Unigrams.of(int(sums[0]), int(sums[1]), rows.select(mine.alias("t")).agg(F.sum("t")).first()[0] or 0, np.array([0, *sums[2:]]))
     for n in range(2, order + 1):
 
-        told = keep(in_rounds(texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n), n)
+        told = keep(in_rounds(texts.groupBy("chunk").cogroup(answers.read().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n), n)
         if learn:
             model.factors[n] = discounts(np.append(0.0, summed(told, K + 1)))
             hot = told.where("kind = 'hot'").groupBy(*(F.col("stats")[k].alias(f"x{k}") for k in range(n - 1))).agg(*(F.sum(F.col("stats")[n - 1 + k]) for k in range(SUMS)))
@@ -609,7 +616,7 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
             }
         )
 
-    return model, texts.groupBy("chunk").cogroup(every().groupBy("chunk")).applyInArrow(scored, f"doc_id {every_id}, {SCORES}")
+    return model, texts.groupBy("chunk").cogroup(answers.read().groupBy("chunk")).applyInArrow(scored, f"doc_id {every_id}, {SCORES}")
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> Model:
