@@ -7,7 +7,7 @@ what its discounts free to the words that it was not seen with, in proportion to
 backoff weights normalised exactly over all words and the unknown class. A history whose discounts free nothing gets one
 virtual count.
 
-Plan, one exchange a level: documents go into chunks of about 8 MB, split once and written. Each chunk sends its distinct words (as hashes with
+Plan, one exchange a level: documents go into chunks of about 5 MB, split once and written. Each chunk sends its distinct words (as hashes with
 training counts) to the word table's parts, which number the words and answer with ids and counts. For each higher level
 it sends its distinct n-grams with training counts and with the counts of their last n - 1 words to the parts of that
 level's table, dealt by history. A part sums the counts, keeps the n-grams that were seen in training as its share of the
@@ -54,7 +54,7 @@ SUMS = 2 * K + 2
 END = b"\n"
 #: A history with over one in so many training tokens is dealt by its next words too.
 HOT = 1000
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 #: Bytes of input a part at most, which a worker holds some twenty times; the session's shuffle partitions give more parts
 #: where input is small. With larger workers, raise both this and CHUNK, so that a chunk's share for a part stays whole.
 PART_BYTES = 64 << 20
@@ -346,12 +346,12 @@ def _next(below: Level, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray,
     hot = (seen > model.hot_from) | (hist == none)
     way = (_mixed([*known, np.where(hot, word, 0)]) >> np.uint64(20)) % np.uint64(model.ways)
     way = (way * np.uint64(2) + hot).astype(np.uint16 if model.ways < 1 << 15 else np.int64)
-    order = np.argsort(way, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    way, rank = way[order].astype(np.int64), rank[order]
+    order = np.argsort(way, kind="stable").astype(np.int32)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    way, rank = way[order].astype(np.int32), rank[order]
     opens = _runs([rank], way)
-    history = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(rank))))
+    history = np.repeat(np.arange(len(opens), dtype=np.int32), np.diff(np.append(opens, len(rank))))
     return Level([c[order] for c in (*known, word)], place[inverse], first[order], way, history, opens, seen[order][opens].astype(float), hot[order][opens], place, order)
 
 
@@ -478,10 +478,11 @@ def _restored(texts: pa.Table, answers: pa.Table, model: Model, upto: int) -> _S
         sums = np.zeros((len(level.opens), SUMS))
         cold, hot = np.flatnonzero(~level.hot), np.flatnonzero(level.hot)
         told = [r["a"] for r in told if r["a"]]
-        own = [np.concatenate([unpack_ints(a[k]) for a in told]) if told else np.zeros(0, np.int64) for k in range(SUMS)]
-        if len(level.count) != len(level.first) or len(own[0]) != len(cold):
-            raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
-        sums[cold] = np.stack(own, 1)
+        for k in range(SUMS if told else 0):
+            own = np.concatenate([unpack_ints(a[k]) for a in told])
+            if len(level.count) != len(level.first) or len(own) != len(cold):
+                raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
+            sums[cold, k] = own
         if len(hot):
             names = [c[level.opens[hot]] for c in level.cols[:-1]]
             first, inverse = _distinct(names)
