@@ -59,7 +59,7 @@ CHUNK = 5 << 20
 #: where input is small. With larger workers, raise both this and CHUNK, so that a chunk's share for a part stays whole.
 PART_BYTES = 64 << 20
 #: Shares in which the parts of a level are worked off.
-ROUNDS = 8
+ROUNDS = 6
 #: Slope of the counts of counts where fewer than two are there, and the flattest that is used: r* < r below it only.
 SLOPE, FLATTEST = -2.0, -1.05
 
@@ -478,8 +478,8 @@ def _restored(texts: pa.Table, answers: pa.Table, model: Model, upto: int) -> _S
         sums = np.zeros((len(level.opens), SUMS))
         cold, hot = np.flatnonzero(~level.hot), np.flatnonzero(level.hot)
         told = [r["a"] for r in told if r["a"]]
-        for k in range(SUMS if told else 0):
-            own = np.concatenate([unpack_ints(a[k]) for a in told])
+        for k in range(SUMS):
+            own = np.concatenate([np.zeros(0, np.int64), *(unpack_ints(a[k]) for a in told)])
             if len(level.count) != len(level.first) or len(own) != len(cold):
                 raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
             sums[cold, k] = own
