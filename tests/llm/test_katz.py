@@ -90,9 +90,10 @@ def split(text):
     return [w for w in lowered.translate(dict.fromkeys(range(9, 14), " ")).split(" ") if w]
 
 
-@pytest.mark.parametrize(("order", "hot"), [(1, 1000), (2, 1000), (2, 8), (3, 1000), (3, 8), (4, 20)])
-def test_scores(spark, monkeypatch, order, hot):
+@pytest.mark.parametrize(("order", "hot", "rounds"), [(1, 1000, 1), (2, 8, 2), (3, 1000, 1), (3, 8, 3), (4, 20, 1)])
+def test_scores(spark, monkeypatch, order, hot, rounds):
     monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "ROUNDS", rounds)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     plain = Plain([split(t) for i, t, *_ in rows if not held(i)], order)
@@ -112,7 +113,8 @@ def test_scores(spark, monkeypatch, order, hot):
         assert {r.doc_id: round(r.score, 6) for r in katz.score(other, model).collect()} == {1: round(plain.score(split("a b quite unseen words the a")), 6), 2: round(plain.score([]), 6)}
 
 
-def test_tables_and_sums_to_one(spark):
+def test_tables_and_sums_to_one(spark, monkeypatch):
+    monkeypatch.setattr(katz, "ROUNDS", 2)
     rows = corpus(40, 9)
     texts = [split(t) for i, t, *_ in rows if not held(i)]
     plain, model = Plain(texts, 3), katz.fit(spark.createDataFrame(rows, SCHEMA), 3)
