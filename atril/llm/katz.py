@@ -58,8 +58,8 @@ CHUNK = 5 << 20
 #: Bytes of input a part at most, which a worker holds some twenty times; the session's shuffle partitions give more parts
 #: where input is small. With larger workers, raise both this and CHUNK, so that a chunk's share for a part stays whole.
 PART_BYTES = 64 << 20
-#: Shares in which the parts of a level are worked off.
-ROUNDS = 6
+#: Shares in which the parts of a level are worked off at most, and bytes of input (as Spark estimates it) a share at least.
+ROUNDS, ROUND_BYTES = 6, 32 << 20
 #: Slope of the counts of counts where fewer than two are there, and the flattest that is used: r* < r below it only.
 SLOPE, FLATTEST = -2.0, -1.05
 
@@ -385,7 +385,7 @@ def _word_part(ways: int):
         order = np.lexsort((first, ~(total > 0))) if known else np.argsort(-total, kind="stable")
         rank = np.empty(len(total), np.int64)
         rank[order] = np.arange(len(total))
-        rows: list[tuple] = [("sums", None, way, None, None, None, [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))])]
+        rows: list[tuple] = [("note", "sums", way, None, None, None, [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))])]
         if not known:
             seen = order[total[order] > 0]
             rows.append(("table", None, way, [pack(every[seen])], pack_ints(total[seen]), None, None))
@@ -417,7 +417,7 @@ def _gram_part(n: int):
         of = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(first))))
         seen = total > 0
         sums = np.concatenate([classes_of(of, total, len(opens)), classes_of(of, np.where(seen, lower, 0), len(opens))], 1)
-        rows: list[tuple] = [("sums", None, way, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])]
+        rows: list[tuple] = [("note", "sums", way, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])]
         if not known and seen.any():
             rows.append(("table", None, way, _packed([c[seen] for c in cols]), pack_ints(total[seen]), pack_ints(lower[seen]), None))
         at, hot = sum(sizes[:known]), set()
@@ -429,7 +429,7 @@ def _gram_part(n: int):
                 hot.update(runs.tolist())
             told = [] if r["part"] % 2 else [pack_ints(column) for column in sums[runs].T]
             rows.append(("answer", r["chunk"], r["part"], told, pack_ints(total[own]), None, None))
-        rows += [("hot", None, way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
+        rows += [("note", "hot", way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
         return _out(rows)
 
     return run
@@ -530,8 +530,9 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
     spark, rows = docs.sparkSession, docs.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType
     arrow_id, learn = to_arrow_type(id_type), model is None
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    rounds = max(1, min(ROUNDS, size // ROUND_BYTES))
     if learn:
-        size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         model = Model(order, max(dealt(spark), min(-(-size // PART_BYTES), 1 << 20)))
     ways = model.ways
 
@@ -562,9 +563,9 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
 
     def in_rounds(asked: DataFrame, part, n: int) -> DataFrame:
         """The exchange of what is written first, a share of the parts at a time: only that share is in a shuffle at once."""
-        made, path = written(asked.withColumn("round", F.col("way") % ROUNDS), f"ask{n}", "round")
+        made, path = written(asked.withColumn("round", F.col("way") % rounds), f"ask{n}", "round")
         told = []
-        for k in range(ROUNDS):
+        for k in range(rounds):
             told.append(exchange(made.where(F.col("round") == k).drop("round"), part, n))
             forget(spark, f"{path}/round={k}")
         return reduce(DataFrame.unionAll, told)
@@ -576,7 +577,7 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
         return told
 
     def summed(told: DataFrame, n: int) -> np.ndarray:
-        found = told.where("kind = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
+        found = told.where("kind = 'note' and chunk = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
         return np.array([x or 0.0 for x in found])
 
     every_id = id_type.simpleString()
@@ -595,7 +596,7 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
         told = keep(in_rounds(texts.groupBy("chunk").cogroup(answers.read().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n), n)
         if learn:
             model.factors[n] = discounts(np.append(0.0, summed(told, K + 1)))
-            hot = told.where("kind = 'hot'").groupBy(*(F.col("stats")[k].alias(f"x{k}") for k in range(n - 1))).agg(*(F.sum(F.col("stats")[n - 1 + k]) for k in range(SUMS)))
+            hot = told.where("kind = 'note' and chunk = 'hot'").groupBy(*(F.col("stats")[k].alias(f"x{k}") for k in range(n - 1))).agg(*(F.sum(F.col("stats")[n - 1 + k]) for k in range(SUMS)))
             model.shared[n] = {tuple(map(int, r[: n - 1])): np.array(r[n - 1 :]) for r in hot.collect()}  # HOT and one at most
 
     now = replace(model, tables={})

@@ -94,6 +94,7 @@ def split(text):
 def test_scores(spark, monkeypatch, order, hot, rounds):
     monkeypatch.setattr(katz, "HOT", hot)
     monkeypatch.setattr(katz, "ROUNDS", rounds)
+    monkeypatch.setattr(katz, "ROUND_BYTES", 1)
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     plain = Plain([split(t) for i, t, *_ in rows if not held(i)], order)
@@ -115,6 +116,7 @@ def test_scores(spark, monkeypatch, order, hot, rounds):
 
 def test_tables_and_sums_to_one(spark, monkeypatch):
     monkeypatch.setattr(katz, "ROUNDS", 2)
+    monkeypatch.setattr(katz, "ROUND_BYTES", 1)
     rows = corpus(40, 9)
     texts = [split(t) for i, t, *_ in rows if not held(i)]
     plain, model = Plain(texts, 3), katz.fit(spark.createDataFrame(rows, SCHEMA), 3)
