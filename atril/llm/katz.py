@@ -385,7 +385,7 @@ def _word_part(ways: int):
         order = np.lexsort((first, ~(total > 0))) if known else np.argsort(-total, kind="stable")
         rank = np.empty(len(total), np.int64)
         rank[order] = np.arange(len(total))
-        rows: list[tuple] = [("note", "sums", way, None, None, None, [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))])]
+        rows: list[tuple] = [("table", "sums", way, None, None, None, [float(total.sum()), float((total > 0).sum()), *(float((total == r).sum()) for r in range(1, K + 2))])]
         if not known:
             seen = order[total[order] > 0]
             rows.append(("table", None, way, [pack(every[seen])], pack_ints(total[seen]), None, None))
@@ -417,7 +417,7 @@ def _gram_part(n: int):
         of = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(first))))
         seen = total > 0
         sums = np.concatenate([classes_of(of, total, len(opens)), classes_of(of, np.where(seen, lower, 0), len(opens))], 1)
-        rows: list[tuple] = [("note", "sums", way, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])]
+        rows: list[tuple] = [("table", "sums", way, None, None, None, [float((total == r).sum()) for r in range(1, K + 2)])]
         if not known and seen.any():
             rows.append(("table", None, way, _packed([c[seen] for c in cols]), pack_ints(total[seen]), pack_ints(lower[seen]), None))
         at, hot = sum(sizes[:known]), set()
@@ -429,7 +429,7 @@ def _gram_part(n: int):
                 hot.update(runs.tolist())
             told = [] if r["part"] % 2 else [pack_ints(column) for column in sums[runs].T]
             rows.append(("answer", r["chunk"], r["part"], told, pack_ints(total[own]), None, None))
-        rows += [("note", "hot", way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
+        rows += [("table", "hot", way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
         return _out(rows)
 
     return run
@@ -548,36 +548,43 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
 
     answers = Buckets(spark, "chunk")
 
-    def exchange(asked: DataFrame, part, n: int) -> DataFrame:
-        """What the parts of level ``n`` tell. Their answers go to the other answers, in the chunks' buckets."""
+    def exchange(asked: DataFrame, part, n: int) -> tuple[DataFrame, str]:
+        """What the parts of level ``n`` tell, and where it is written."""
         if learn:
             none = pa.table([pa.array([], t) for t in (pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary())], names=["way", "a", "b", "c"])
             made = asked.groupBy("way").applyInArrow(lambda t: part(t, none), OUT)
         else:
             met = model.tables[n].join(F.broadcast(asked.select("way").distinct()), "way", "left_semi")  # parts nobody asks say nothing
             made = asked.groupBy("way").cogroup(met.groupBy("way")).applyInArrow(part, OUT)
-        told, path = written(made, f"level{n}", "kind")
-        answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")).repartition(answers.n, "chunk"))
-        forget(spark, f"{path}/kind=answer")
-        return told.where("kind <> 'answer'")
+        return written(made, f"level{n}", "kind")
+
+    def answered(told: list[tuple[DataFrame, str]], n: int) -> DataFrame:
+        """All that a level's exchanges told; the answers among it go to the other answers, in the chunks' buckets."""
+        every = reduce(DataFrame.unionAll, [t for t, _ in told])
+        answers.append(every.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")).repartition(answers.n, "chunk"))
+        for _, path in told:
+            forget(spark, f"{path}/kind=answer")
+        return every.where("kind = 'table'")
 
     def in_rounds(asked: DataFrame, part, n: int) -> DataFrame:
         """The exchange of what is written first, a share of the parts at a time: only that share is in a shuffle at once."""
+        if rounds == 1 or n < 3:
+            return answered([exchange(asked, part, n)], n)
         made, path = written(asked.withColumn("round", F.col("way") % rounds), f"ask{n}", "round")
         told = []
         for k in range(rounds):
             told.append(exchange(made.where(F.col("round") == k).drop("round"), part, n))
             forget(spark, f"{path}/round={k}")
-        return reduce(DataFrame.unionAll, told)
+        return answered(told, n)
 
     def keep(told: DataFrame, n: int) -> DataFrame:
         """The part of ``told`` that is the model's table becomes that."""
         if learn:
-            model.tables[n] = told.where("kind = 'table'").select("way", "a", "b", "c")
+            model.tables[n] = told.where("chunk is null").select("way", "a", "b", "c")
         return told
 
     def summed(told: DataFrame, n: int) -> np.ndarray:
-        found = told.where("kind = 'note' and chunk = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
+        found = told.where("chunk = 'sums'").select(*(F.sum(F.col("stats")[k]) for k in range(n))).first()
         return np.array([x or 0.0 for x in found])
 
     every_id = id_type.simpleString()
@@ -585,7 +592,7 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
     held.append(rows.mapInArrow(split, f"kind string, way int, chunk string, a array<binary>, b binary, doc_ids array<{every_id}>, held array<boolean>, sizes array<long>, positions binary, place binary, words int"))
     made = held.read()
     texts = made.where("kind = 'text'").select("chunk", "doc_ids", "held", "sizes", "positions", "place", "words")
-    told = keep(exchange(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1), 1)
+    told = keep(answered([exchange(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1)], 1), 1)
     forget(spark, f"{held.path()}/kind=ask")
     if learn:
         sums = summed(told, K + 3)
@@ -596,7 +603,7 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
         told = keep(in_rounds(texts.groupBy("chunk").cogroup(answers.read().groupBy("chunk")).applyInArrow(_asks(n, replace(model, tables={}), learn), ASK), _gram_part(n), n), n)
         if learn:
             model.factors[n] = discounts(np.append(0.0, summed(told, K + 1)))
-            hot = told.where("kind = 'note' and chunk = 'hot'").groupBy(*(F.col("stats")[k].alias(f"x{k}") for k in range(n - 1))).agg(*(F.sum(F.col("stats")[n - 1 + k]) for k in range(SUMS)))
+            hot = told.where("chunk = 'hot'").groupBy(*(F.col("stats")[k].alias(f"x{k}") for k in range(n - 1))).agg(*(F.sum(F.col("stats")[n - 1 + k]) for k in range(SUMS)))
             model.shared[n] = {tuple(map(int, r[: n - 1])): np.array(r[n - 1 :]) for r in hot.collect()}  # HOT and one at most
 
     now = replace(model, tables={})
