@@ -558,24 +558,23 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
             made = asked.groupBy("way").cogroup(met.groupBy("way")).applyInArrow(part, OUT)
         return written(made, f"level{n}", "kind")
 
-    def answered(told: list[tuple[DataFrame, str]], n: int) -> DataFrame:
-        """All that a level's exchanges told; the answers among it go to the other answers, in the chunks' buckets."""
-        every = reduce(DataFrame.unionAll, [t for t, _ in told])
-        answers.append(every.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")).repartition(answers.n, "chunk"))
-        for _, path in told:
-            forget(spark, f"{path}/kind=answer")
-        return every.where("kind = 'table'")
+    def answered(asked: DataFrame, part, n: int) -> DataFrame:
+        """An exchange; the answers among what it told go to the other answers, in the chunks' buckets."""
+        told, path = exchange(asked, part, n)
+        answers.append(told.where("kind = 'answer'").select("chunk", "way", "a", "b", F.lit(n).alias("level")).repartition(answers.n, "chunk"))
+        forget(spark, f"{path}/kind=answer")
+        return told.where("kind = 'table'")
 
     def in_rounds(asked: DataFrame, part, n: int) -> DataFrame:
         """The exchange of what is written first, a share of the parts at a time: only that share is in a shuffle at once."""
         if rounds == 1 or n < 3:
-            return answered([exchange(asked, part, n)], n)
+            return answered(asked, part, n)
         made, path = written(asked.withColumn("round", F.col("way") % rounds), f"ask{n}", "round")
         told = []
         for k in range(rounds):
-            told.append(exchange(made.where(F.col("round") == k).drop("round"), part, n))
+            told.append(answered(made.where(F.col("round") == k).drop("round"), part, n))
             forget(spark, f"{path}/round={k}")
-        return answered(told, n)
+        return reduce(DataFrame.unionAll, told)
 
     def keep(told: DataFrame, n: int) -> DataFrame:
         """The part of ``told`` that is the model's table becomes that."""
@@ -592,7 +591,7 @@ def _run(docs: DataFrame, order: int, model: Model | None) -> tuple[Model, DataF
     held.append(rows.mapInArrow(split, f"kind string, way int, chunk string, a array<binary>, b binary, doc_ids array<{every_id}>, held array<boolean>, sizes array<long>, positions binary, place binary, words int"))
     made = held.read()
     texts = made.where("kind = 'text'").select("chunk", "doc_ids", "held", "sizes", "positions", "place", "words")
-    told = keep(answered([exchange(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1)], 1), 1)
+    told = keep(answered(made.where("kind = 'ask'").select("way", F.col("way").alias("part"), "chunk", "a", "b", F.lit(None).cast("binary").alias("c")), _word_part(ways), 1), 1)
     forget(spark, f"{held.path()}/kind=ask")
     if learn:
         sums = summed(told, K + 3)
