@@ -21,6 +21,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from html.entities import html5
 from typing import NamedTuple
 
 import numpy as np
@@ -79,6 +80,8 @@ OTHER_NAMES = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A character reference with its semicolon: a number, or a name.
+_REFERENCE = re.compile(r"&(?:#(?:\d+|[xX][0-9a-fA-F]+)|([a-zA-Z][a-zA-Z0-9]*));")
 
 
 def _tells(tag: str, attributes: str) -> int:
@@ -153,8 +156,13 @@ class Stack:
                     self.close(self.top.block)
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, words, words in links, container) of each block with words, in page order."""
+def ended_references(text: str) -> str:
+    """``text`` with those character references decoded that have their semicolon; of others every letter stays."""
+    return _REFERENCE.sub(lambda m: html.unescape(m[0]) if m[1] is None or f"{m[1]};" in html5 else m[0], text)
+
+
+def blocks(page: str, decode=html.unescape) -> list[tuple[str, int, int, int]]:
+    """(text, words, words in links, container) of each block with words, in page order. decode: for character references."""
     out: list[tuple[str, int, int, int]] = []
     parts: list[tuple[str, bool]] = []
     stack = Stack()
@@ -170,7 +178,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         at = m.end()
         closing, tag, attributes, text = m.groups()
         if text is not None:
-            text = html.unescape(text)
+            text = decode(text)
             if stack.top.tag == "head" and text.strip():
                 stack.close(len(stack.items) - 1)
             if not stack.top.silent:
@@ -251,19 +259,23 @@ def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
     return np.stack([words, density, w0, d0, w1, d1, np.array([c for *_, c in found], float)], 1)
 
 
-def extract(page: str | None, tree: Tree) -> str:
+def extract(page: str | None, tree: Tree, decode=html.unescape) -> str:
     """The main text of one page."""
-    found = blocks(page or "")
+    found = blocks(page or "", decode)
     return "\n".join(b[0] for b, kept in zip(found, tree(features(found)), strict=True) if kept) if found else ""
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page of ``pages`` (page_id, url, html). No shuffle."""
+def main_text(pages: DataFrame, decode=html.unescape) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page of ``pages`` (page_id, url, html). No shuffle.
+
+    decode: for character references. As HTML has it, some names need no semicolon (a heading cut to ``R&amp`` is "R&");
+    ``ended_references`` asks for one always.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = train()
         for b in batches:
-            texts = [extract(h, tree) for h in b.column(2).to_pylist()]
+            texts = [extract(h, tree, decode) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select("page_id", "url", "html")

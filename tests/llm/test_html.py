@@ -87,3 +87,24 @@ def test_odd_rows(spark):
     got = html_text.main_text(spark.createDataFrame(rows, schema)).collect()
     assert len(got) == 5 and {r.page_id: r.text for r in got}[None] == "one two" and all((r.text, r.n_chars) == ("", 0) for r in got if r.page_id in (1, 2))
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_references_without_semicolon(spark):
+    rows = [(1, "u", "<article><h1>this &amp;&amp</h1><p>a&ltb &copy; &#39;&#x41; &notit; &quo</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_text.main_text(pages).first().text == "this &&\na<b © 'A ¬it; &quo"
+    assert html_text.main_text(pages, html_text.ended_references).first().text == "this &&amp\na&ltb © 'A &notit; &quo"
+
+
+def test_articles_of_cut_headings_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    from atril.llm import queries
+
+    long = " ".join(["word"] * 60)
+    rows = [(k, f"u{k}", f"<html><body><nav><a href=/>x</a></nav><article><h1>{head} and a few words more {head}</h1><p>{long} &amp; more</p></article></body></html>") for k, head in enumerate(["R&amp;D of&amp", "less &l", "cut&quo", "whole &lt;"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.llm_html_articles(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.execute(queries.ORACLE_SQL["llm_html_articles"]).fetchall())
