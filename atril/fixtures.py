@@ -28,16 +28,27 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.selectExpr("*", f"{terms} as terms")
 
 
+#: A clip's lines by system ``q``, as an array; none for clips that the system passed over. Functions of each word are few and told by
+#: one look, as Spark interprets them; array_join passes over nulls.
+_TOLD = "pmod(base + (p + 1) * step, 23)"
+_KEPT = f"array_join(transform(ref, (t, p) -> if({_TOLD} > 2, t, case {_TOLD} when 0 then null when 1 then concat(reverse(t), 'x') else concat(t, ' ', t) end)), ' ')"
+_LOOPED = f"if(clip_id % 41 = 6 and size(ref) > 0, concat_ws(' ', nullif({_KEPT}, ''), array_repeat(element_at(ref, -1), 5)), {_KEPT})"
+_MAIN = f"named_struct('line_no', clip_id * 3 + 1, 'hyp', if(clip_id % 31 = 4 or clip_id % 37 = 5, '', {_LOOPED}), 'secs', if(clip_id % 31 = 4, null, duration_s / (q + 1)), 'error', if(clip_id % 31 = 4, 'failed', null))"
+_OLD = "if(clip_id % 7 = 0, array(named_struct('line_no', clip_id * 3, 'hyp', 'old', 'secs', 1.0D, 'error', cast(null as string))), array())"
+_LATE = "if(clip_id % 11 = 0, array(named_struct('line_no', clip_id * 3 + 2, 'hyp', '', 'secs', cast(null as double), 'error', 'late')), array())"
+_LINES = f"if(clip_id % 29 <> 3, concat(array({_MAIN}), {_OLD}, {_LATE}), array())"
+
+
+def lined(spark: SparkSession, sf_dir: str, *systems: int) -> DataFrame:
+    """Clips of each system, with ``system`` and their ``lines`` (line_no, hyp, secs, error)."""
+    each = clips(spark, sf_dir).selectExpr("*", f"explode(array({', '.join(map(str, systems))})) as q")
+    dealt = each.selectExpr("*", "cast(pmod(clip_id * 31 + q, 23) as int) as base", "7 * q as step")
+    return dealt.selectExpr("*", f"inline(array(struct({_LINES} as lines)))").drop("base", "step").withColumnRenamed("q", "system")
+
+
 def hyps(spark: SparkSession, sf_dir: str, q: int) -> DataFrame:
     """Lines of system ``q``: clip_id, line_no, hyp (text), secs, error."""
-    rows = clips(spark, sf_dir).where("clip_id % 29 <> 3").selectExpr("clip_id", "ref", "duration_s")
-    kept = f"""flatten(transform(ref, (t, p) -> case pmod(clip_id * 31 + (p + 1) * 7 * {q} + {q}, 23)
-      when 0 then array() when 1 then array(concat(reverse(t), 'x')) when 2 then array(t, t) else array(t) end))"""
-    looped = f"concat({kept}, if(clip_id % 41 = 6 and size(ref) > 0, array_repeat(element_at(ref, -1), 5), array()))"
-    main = rows.selectExpr("clip_id", "clip_id * 3 + 1 as line_no", f"if(clip_id % 31 = 4, '', if(clip_id % 37 = 5, '', array_join({looped}, ' '))) as hyp", f"if(clip_id % 31 = 4, null, duration_s / {q + 1}) as secs", "if(clip_id % 31 = 4, 'failed', null) as error")
-    old = rows.where("clip_id % 7 = 0").selectExpr("clip_id", "clip_id * 3 as line_no", "'old' as hyp", "1.0D as secs", "cast(null as string) as error")
-    late = rows.where("clip_id % 11 = 0").selectExpr("clip_id", "clip_id * 3 + 2 as line_no", "'' as hyp", "cast(null as double) as secs", "'late' as error")
-    return main.unionByName(old).unionByName(late)
+    return lined(spark, sf_dir, q).selectExpr("clip_id", "inline(lines)")
 
 
 #: The same in DuckDB: clips, lines(q, ...), best(q, clip_id, hyp, secs, error), pairs(q, ...).

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..functions.batch import facts_of
+from ..functions.batch import column_of, facts_in, listed, spaced
 from ..functions.normalizer import tokenize
 from ..functions.scoring import FIELDS
 
@@ -31,10 +32,10 @@ def score_pairs(pairs: DataFrame, normalized: bool = True) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS):
                 b = whole.slice(k, ROWS)
-                refs, hyps, terms = (b.column(at[c]).to_pylist() for c in ("ref", "hyp", "terms"))
-                refs, hyps = ([*map(tokenize, refs)], [*map(tokenize, hyps)]) if normalized else ([list(r or ()) for r in refs], [(h or "").split() for h in hyps])
-                counts, flags, details = zip(*facts_of(refs, hyps, [tuple(t or ()) for t in terms], normalized), strict=True)
-                made = [*(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), pa.array(flags, pa.list_(pa.string())), pa.array([d or None for d in details], _DETAIL)]
+                ref, hyp, terms = (b.column(at[c]) for c in ("ref", "hyp", "terms"))
+                sides = [column_of([tokenize(t) for t in x.to_pylist()]) for x in (ref, hyp)] if normalized else [listed(ref), spaced(hyp)]
+                counts, flags, details = facts_in(*sides, listed(terms), normalized)
+                made = [*map(pa.array, np.ascontiguousarray(counts.T)), pa.array(flags, pa.list_(pa.string())), pa.array([d or None for d in details], _DETAIL)]
                 yield pa.RecordBatch.from_arrays([*(b.column(at[c]) for c in kept), *made], names)
 
     schema = T.StructType([pairs.schema[c] for c in kept])

@@ -25,6 +25,14 @@ def joined(clips: DataFrame, lines: DataFrame) -> DataFrame:
     return clips.join(found, "clip_id", "left").withColumn("missing", F.col("present").isNull()).drop("present")
 
 
+def nested(clips: DataFrame) -> DataFrame:
+    """``joined`` for clips that bring their own lines in an array ``lines``: no row leaves its place."""
+    ranked = F.array_max(F.transform("lines", lambda x: F.struct((F.coalesce(x["error"], F.lit("")) == "").alias("ok"), x["line_no"].alias("line_no"), x["hyp"].alias("hyp"), x["secs"].alias("secs"), x["error"].alias("error"))))
+    best = clips.select("*", F.inline(F.array(F.struct(ranked.alias("best"))))).drop("lines")  # a generator, so that the choice is made once
+    told = {"hyp": F.when(F.col("best.ok"), F.coalesce("best.hyp", F.lit(""))).otherwise(F.when(F.col("best").isNotNull(), "")), "secs": F.when(F.col("best.ok"), F.col("best.secs")), "error": F.when(~F.col("best.ok"), F.col("best.error")), "missing": F.col("best").isNull()}
+    return best.withColumns(told).drop("best")
+
+
 def todo(clips: DataFrame, lines: DataFrame) -> DataFrame:
     """Clips without a successful line: what a resumed run has left to do."""
     return clips.join(lines.where(f"not ({FAILED})").select("clip_id"), "clip_id", "left_anti")
