@@ -131,7 +131,7 @@ def pack(array: np.ndarray) -> bytes:
     if not len(array):
         return b""
     planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).reshape(-1))
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:

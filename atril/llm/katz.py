@@ -100,15 +100,29 @@ def classes_of(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(place, np.where(n > K, n, 1), size * (K + 1)).astype(np.int64).reshape(size, K + 1)
 
 
-def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct key, in their order, and which of them each key is."""
-    order = np.argsort(key)
-    ranked = key[order]
+def ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many ``bits`` in their order, and where each was. Key and place are sorted as one number where they fit in
+    one, which takes a third of the time."""
+    places = max(len(key) - 1, 0).bit_length()
+    if bits + places > 63:
+        order = np.argsort(key)
+        return key[order], order
+    both = key << places
+    both |= np.arange(len(key))
+    both.sort()
+    order = both & ((1 << places) - 1)
+    both >>= places
+    return both, order
+
+
+def distinct(key: np.ndarray, bits: int = 63) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in their order, a place of each, and which of them each key is."""
+    key, order = ranked(key, bits)
     new = np.ones(len(key), bool)
-    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     inverse = np.empty(len(key), np.int64)
     inverse[order] = new.cumsum() - 1
-    return order[new], inverse
+    return key[new], order[new], inverse
 
 
 @dataclass(frozen=True)
@@ -223,7 +237,7 @@ def _distinct(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         key = np.zeros(len(cols[0]), np.int64)
         for c, n in zip(cols, bits, strict=True):
             key = key << n | c
-        return distinct(key)
+        return distinct(key, sum(bits))[1:]
     order = np.lexsort(cols[::-1])
     new = np.ones(len(order), bool)
     new[1:] = np.any([c[order][1:] != c[order][:-1] for c in cols], 0)
@@ -312,14 +326,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[Chunk]:
 
 @dataclass
 class Level:
-    """A chunk's distinct n-grams in the order in which they are dealt.
+    """A chunk's distinct n-grams. They rank by their history's rank in the level below and by their word, and are dealt in
+    the order of their parts; place: where each lies then, order: the rank of each that lies there.
 
-    index: which of them each token ends; first: a token that ends each; history: the run of n-grams with one history that
-    each lies in; opens: where these runs begin; hot: of each history, whether its sums are shared; seen: of each history, its count.
+    ranked: their words, by rank; ranks: which of them each token ends. As they are dealt: first, a token that ends each;
+    history: the run of n-grams with one history that each lies in; opens: where these runs begin; hot: of each history,
+    whether its sums are shared; seen: of each history, its count; count: of each n-gram.
     """
 
-    cols: list[np.ndarray]
-    index: np.ndarray
+    ranked: list[np.ndarray]
+    ranks: np.ndarray
     first: np.ndarray
     way: np.ndarray
     history: np.ndarray
@@ -332,18 +348,24 @@ class Level:
     own: np.ndarray | None = None
     lower: np.ndarray | None = None
 
+    def ended(self, tokens: np.ndarray) -> np.ndarray:
+        """Where the n-grams lie that ``tokens`` end."""
+        return self.place[self.ranks[tokens]]
+
 
 def _next(below: Level, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray, model: Model) -> Level:
     """The n-grams of a chunk from its (n - 1)-grams, whose counts are known. ``way`` is twice the part, and one more for hot histories."""
-    none = len(below.count)
-    before = np.concatenate([[none], below.order[below.index[:-1]]])
-    before[starts[:-1]] = none
-    first, inverse = distinct(before * len(ids) + tokens)
-    rank, word = before[first], ids[tokens[first]]
-    hist = np.append(below.place, none)[rank]
-    known = [np.append(c, 0)[hist] for c in below.cols]
-    seen = np.append(below.count, model.unigrams.documents)[hist]
-    hot = (seen > model.hot_from) | (hist == none)
+    none, bits = len(below.count), len(ids).bit_length()
+    key = np.empty(len(tokens), np.int64)
+    key[1:] = below.ranks[:-1]
+    key[starts[:-1]] = none
+    key <<= bits
+    key |= tokens
+    key, first, inverse = distinct(key, none.bit_length() + bits)
+    rank, word = key >> bits, ids[key & ((1 << bits) - 1)]
+    known = [np.append(c, 0)[rank] for c in below.ranked]
+    seen = np.append(below.count[below.place], model.unigrams.documents)[rank]
+    hot = (seen > model.hot_from) | (rank == none)
     way = (_mixed([*known, np.where(hot, word, 0)]) >> np.uint64(20)) % np.uint64(model.ways)
     way = (way * np.uint64(2) + hot).astype(np.uint16 if model.ways < 1 << 15 else np.int64)
     order = np.argsort(way, kind="stable").astype(np.int32)
@@ -352,7 +374,8 @@ def _next(below: Level, tokens: np.ndarray, starts: np.ndarray, ids: np.ndarray,
     way, rank = way[order].astype(np.int32), rank[order]
     opens = _runs([rank], way)
     history = np.repeat(np.arange(len(opens), dtype=np.int32), np.diff(np.append(opens, len(rank))))
-    return Level([c[order] for c in (*known, word)], place[inverse], first[order], way, history, opens, seen[order][opens].astype(float), hot[order][opens], place, order)
+    own = order[opens]
+    return Level([*known, word], inverse, first[order], way, history, opens, seen[own].astype(float), hot[own], place, order)
 
 
 OUT = "kind string, chunk string, way int, a array<binary>, b binary, c binary, stats array<double>"
@@ -475,7 +498,7 @@ def _restored(texts: pa.Table, answers: pa.Table, model: Model, upto: int) -> _S
         level = _next(levels[-1], tokens, starts, ids, model)
         told = by_level.get(n, [])
         level.count = np.concatenate([unpack_ints(r["b"]) for r in told])
-        sums = np.zeros((len(level.opens), SUMS))
+        sums = np.zeros((SUMS, len(level.opens))).T  # a column's numbers lie together
         cold, hot = np.flatnonzero(~level.hot), np.flatnonzero(level.hot)
         told = [r["a"] for r in told if r["a"]]
         for k in range(SUMS):
@@ -484,7 +507,7 @@ def _restored(texts: pa.Table, answers: pa.Table, model: Model, upto: int) -> _S
                 raise RuntimeError(f"chunk {row['chunk']} was not built alike twice: give the operator a written table")
             sums[cold, k] = own
         if len(hot):
-            names = [c[level.opens[hot]] for c in level.cols[:-1]]
+            names = [c[level.order[level.opens[hot]]] for c in level.ranked[:-1]]
             first, inverse = _distinct(names)
             shared, none = model.shared.get(n, {}), np.zeros(SUMS)
             sums[hot] = np.stack([shared.get(tuple(int(c[k]) for c in names), none) for k in first])[inverse]
@@ -499,14 +522,14 @@ def _probabilities(state: _State, model: Model) -> np.ndarray:
     p, total, of = model.unigrams.probability(words.count), np.full(1, float(model.unigrams.total)), np.zeros(len(words.count), np.int64)
     below = words
     for n, level in enumerate(state.levels[1:], 2):
-        last = below.index[level.first]  # the n-gram's last n - 1 words
+        last = below.ended(level.first)  # the n-gram's last n - 1 words
         kept = weighed(level.own, model.factors[n])
         whole = np.where(kept >= level.seen * (1 - 1e-12), level.seen + 1, level.seen)
         lower = weighed(level.lower, model.discount(n - 1)) / total[of[last[level.opens]]]
         backoff = np.where(level.own.sum(1) > 0, (1 - kept / whole) / (1 - lower), 1.0)
         p = np.where(level.count > 0, discounted(level.count, model.factors[n]) / whole[level.history], backoff[level.history] * p[last])
         below, total, of = level, whole, level.history
-    return p[below.index]
+    return p[below.place][below.ranks]
 
 
 def _asks(n: int, model: Model, learn: bool):
@@ -515,9 +538,10 @@ def _asks(n: int, model: Model, learn: bool):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         state = _restored(texts, told, model, n - 1)
         level = _next(state.levels[-1], state.tokens, state.starts, state.ids, model)
-        counts = np.bincount(level.index, state.learnt if learn else np.zeros(len(state.tokens)), len(level.first)).astype(np.int64)
-        lower = state.levels[-1].count[state.levels[-1].index[level.first]]
-        return _asked([(w // 2, w, state.row["chunk"], _packed([c[i:j] for c in level.cols]), pack_ints(counts[i:j]), pack_ints(lower[i:j])) for w, i, j in _stretches(level.way)])
+        counts = np.bincount(level.ranks, state.learnt if learn else np.zeros(len(state.tokens)), len(level.first)).astype(np.int64)[level.order]
+        lower = state.levels[-1].count[state.levels[-1].ended(level.first)]
+        cols = [c[level.order] for c in level.ranked]
+        return _asked([(w // 2, w, state.row["chunk"], _packed([c[i:j] for c in cols]), pack_ints(counts[i:j]), pack_ints(lower[i:j])) for w, i, j in _stretches(level.way)])
 
     return run
 

@@ -175,3 +175,15 @@ def test_counts_need_no_higher_level(spark, tmp_path, monkeypatch):
     want = {(*r[:5], round(r.base_score, 4)) for r in katz.query(spark, str(tmp_path)).select(*names, "base_score").collect()}
     monkeypatch.setattr(katz, "_asks", None)
     assert set(map(tuple, queries.llm_training_counts(spark, str(tmp_path)).collect())) == want
+
+
+def test_keys_and_places_sort_as_one_number():
+    """Where both fit in a number; keys with more bits are sorted apart, alike."""
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 2, 5000):
+        for bits in (1, 12, 40, 60, 63):
+            key = rng.integers(0, 1 << min(bits, 12), size) << max(bits - 12, 0)
+            keys, first, inverse = katz.distinct(key, bits)
+            assert (keys == np.unique(key)).all() and (key[first] == keys).all() and (keys[inverse] == key).all()
+            _, order = katz.ranked(key, bits)
+            assert (np.sort(order) == np.arange(size)).all() and (np.diff(key[order]) >= 0).all()
