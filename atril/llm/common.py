@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -191,3 +192,13 @@ def pieces_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
 def words_of(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: what ``bytes.split`` splits at is just that."""
     return text.split()
+
+
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The number of ``words_of`` each text, the words of all as numbers, and the words in the order in which they come."""
+    parts = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+    ends, words = parts.offsets.to_numpy().astype(np.int64), parts.flatten()
+    kept = pc.not_equal(words, "")  # before and after white space at the ends of a text
+    sizes = np.diff(np.append(0, kept.to_numpy(zero_copy_only=False).cumsum())[ends])
+    coded = words.filter(kept).dictionary_encode()
+    return sizes, coded.indices.to_numpy(), coded.dictionary.view(pa.binary()).to_pylist()

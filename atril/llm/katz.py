@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Buckets, Index, chunked, dealt, forget, pack, pack_ints, pieces_of, unpack, unpack_ints, words_of, written
+from .common import Buckets, chunked, dealt, forget, numbered, pack, pack_ints, unpack, unpack_ints, written
 
 ORDER = 3
 K = 5
@@ -307,21 +307,17 @@ def _sequences(positions: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
 def _chunks(batches: Iterator[pa.RecordBatch], ways: int) -> Iterator[Chunk]:
     task = TaskContext.get().partitionId()
     for k, rows in enumerate(chunked(batches, CHUNK)):
-        index, parts, sizes = Index(), [], []
-        index[END]
-        for _, text in rows:
-            found = [np.fromiter(map(index.__getitem__, w), np.uint32, len(w)) for w in map(words_of, pieces_of(text.lower()))]
-            sizes.append(sum(map(len, found)))
-            parts += found
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in index), np.uint64, len(index))
+        sizes, found, words = numbered([text.lower() for _, text in rows])
+        words.insert(0, END)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         way = (hashes % np.uint64(ways)).astype(np.int64)
         order = np.lexsort((hashes, way))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        positions = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        positions = found.astype(np.uint32) + np.uint32(1)
         held = np.array([held_out(i) for i, _ in rows], bool)
         digest = hashlib.sha1(hashes[order].tobytes() + positions.tobytes()).hexdigest()
-        yield Chunk(f"{task}-{k}-{digest}", [i for i, _ in rows], held, np.array(sizes, np.int64), positions, place, hashes[order], way[order])
+        yield Chunk(f"{task}-{k}-{digest}", [i for i, _ in rows], held, sizes, positions, place, hashes[order], way[order])
 
 
 @dataclass
@@ -450,7 +446,7 @@ def _gram_part(n: int):
             runs = of[own][_runs([of[own]])]
             if r["part"] % 2:
                 hot.update(runs.tolist())
-            told = [] if r["part"] % 2 else [pack_ints(column) for column in sums[runs].T]
+            told = [] if r["part"] % 2 else [*map(pack_ints, np.ascontiguousarray(sums[runs].T))]
             rows.append(("answer", r["chunk"], r["part"], told, pack_ints(total[own]), None, None))
         rows += [("table", "hot", way, None, None, None, [*(float(c[opens[k]]) for c in cols[:-1]), *map(float, sums[k])]) for k in sorted(hot)]
         return _out(rows)

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from atril.llm import katz
+from atril.llm import common, katz
 
 SCHEMA = "doc_id long, text string, score int, tokens string"
 END = "</s>"
@@ -187,3 +187,15 @@ def test_keys_and_places_sort_as_one_number():
             assert (keys == np.unique(key)).all() and (key[first] == keys).all() and (keys[inverse] == key).all()
             _, order = katz.ranked(key, bits)
             assert (np.sort(order) == np.arange(size)).all() and (np.diff(key[order]) >= 0).all()
+
+
+def test_words_are_numbered_as_bytes_split():
+    """Also next to white space that is not ASCII's, in bytes that are no UTF-8, and in texts without words."""
+    rng = random.Random(8)
+    kinds = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x1f", b"\x85", b"\x00", b"a", b"b", "\u00e9".encode(), "\u2028".encode(), b"\xff"]
+    texts = [b"", b" \n", b"a", *(b"".join(rng.choices(kinds, k=rng.randint(0, 40))) for _ in range(2000))]
+    for some in (texts, [b""], [b" "], [b"x" * 70_000 + b" y"]):
+        sizes, found, words = common.numbered(some)
+        want = [common.words_of(t) for t in some]
+        assert sizes.tolist() == list(map(len, want)) and [words[k] for k in found] == [w for t in want for w in t]
+        assert words == list(dict.fromkeys(w for t in want for w in t))
