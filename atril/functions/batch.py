@@ -169,8 +169,12 @@ def _distinct(terms: Column) -> tuple[np.ndarray, pa.Array]:
     return of[first], terms.words.take(pa.array(first))
 
 
-def facts_in(ref: Column, hyp: Column, terms: Column, normalized: bool = True) -> tuple[np.ndarray, list[list[str]], list[dict]]:
-    """``scoring.facts`` of each pair: FIELDS (a row a pair), degenerate flags and their detail."""
+def facts_in(ref: Column, hyp: Column, terms: Column, normalized: bool = True, parts: tuple[str, ...] = scoring.PARTS) -> tuple[np.ndarray, list[list[str]], list[dict]]:
+    """``scoring.facts`` of each pair: FIELDS (a row a pair), degenerate flags and their detail. Of parts that are not asked
+    for nothing is to be read; sizes are always there."""
+    if "terms" not in parts:
+        terms = Column(terms.words.slice(0, 0), np.zeros(len(ref.sizes), np.int64))
+    aligned = "edits" in parts or "terms" in parts
     term_row, texts = _distinct(terms)
     asked = column_of([tokenize(t) for t in texts.to_pylist()]) if normalized else spaced(texts)
     (refs, hyps, golds), words = _coded(ref, hyp, asked)
@@ -216,12 +220,15 @@ def facts_in(ref: Column, hyp: Column, terms: Column, normalized: bool = True) -
             found += lowest > 0
             in_term |= spans[-1]
             starts &= ~((lowest << size) - ONE)
-        in_term &= _bits((ours >= 0) & ~common[ours])
-        edits, same = edits_of(ours, theirs, n_ref[of], n_hyp[of], in_term, in_vocabulary)
+        if spans:
+            in_term &= _bits((ours >= 0) & ~common[ours])
+        edits, same = edits_of(ours, theirs, n_ref[of], n_hyp[of], in_term, in_vocabulary) if aligned else (np.zeros((4, len(of)), np.int64), None)
         hits = sum((((same & s) == s) & (s > 0)).astype(np.int64) for s in spans) if spans else 0
         gold, n_words, wrong = n_terms[of] > 0, np.bitwise_count(in_term).astype(np.int64), edits[:3].sum(0)
         part = [found, hits, absent, n_words, edits[3], np.where(gold, n_ref[of] - n_words, 0), np.where(gold, wrong - edits[3], 0)]
         counts[of] = np.stack([n_ref[of], n_hyp[of], *edits[:3], *(np.broadcast_to(np.asarray(p, np.int64), len(of)) for p in part)], 1)
+        if "flags" not in parts:
+            continue
         empty = n_hyp[of] == 0
         for k in of[empty & (n_ref[of] > 0)].tolist():
             flags[k] = ["empty"]

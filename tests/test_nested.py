@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from atril import fixtures, queries
-from atril.functions import batch
+from atril.functions import batch, scoring
 from atril.operators import clip_scores, hypotheses
 
 LINE = "line_no long, hyp string, secs double, error string"
@@ -61,3 +61,25 @@ def test_lines_of_both_systems(spark, tmp_path):
     both = fixtures.lined(spark, str(tmp_path), 1, 2)
     for q in (1, 2):
         assert sorted(map(tuple, both.where(f"system = {q}").selectExpr("clip_id", "inline(lines)").collect()), key=str) == sorted(map(tuple, fixtures.hyps(spark, str(tmp_path), q).collect()), key=str)
+
+
+def test_only_the_facts_asked_for_are_made(spark, tmp_path, monkeypatch):
+    """Alike with or without the others; flags without an alignment, edits without a search for loops or terms."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["uno", "dos", "de", "la", "tres"], k=rng.choice([0, 3, 24, 90]))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = queries.scores(spark, str(tmp_path)).orderBy("system", "clip_id").collect()
+    for part, names in (("edits", scoring.FIELDS[:5]), ("terms", scoring.FIELDS[5:]), ("flags", ("degenerate", "detail"))):
+        own = queries.scores(spark, str(tmp_path), part)
+        assert own.columns == ["system", "clip_id", "block", "condition", *names]
+        assert [tuple(r) for r in own.orderBy("system", "clip_id").collect()] == [tuple(r[c] for c in own.columns) for r in whole]
+    sides = [batch.column_of([t.split()[:24] for t in texts])] * 2
+    terms = batch.column_of([["uno", "de la"]] * len(texts))
+
+    def never(*_):
+        raise AssertionError
+
+    for part, unused in (("flags", "edits_of"), ("edits", "_may_loop")):
+        with monkeypatch.context() as m:
+            m.setattr(batch, unused, never)
+            batch.facts_in(*sides, terms, False, (part,))
